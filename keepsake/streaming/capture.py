@@ -103,17 +103,23 @@ def run_to_end(df: DataFrame, sink: str, checkpoint: str, mode: str = "append")
     return df.sparkSession.read.schema(df.schema).parquet(sink)
 
 
-def import_incremental(spark: SparkSession, exports: str, out: str, checkpoint: str, as_of,
-                       summariser=None, embedder=None, dim: int = 64) -> StreamingQuery:
-    """Import new export files as they appear; a restart goes on where the last run stopped.
+def export_texts(spark: SparkSession, exports: str) -> DataFrame:
+    """Export files below a folder as a stream of whole texts, each file once."""
+    return (spark.readStream.format("text").option("wholetext", "true")
+            .option("pathGlobFilter", "conversations*.json").load(exports)
+            .select(F.col("_metadata.file_path").alias("file"), "value"))
 
-    Per batch: parse, gate against the ledger, summarise, embed, store thoughts, then record finished
-    conversations. Every batch writes its own folders below ``out`` (thoughts, ledger), so repeating a
-    batch after a failure stores nothing twice.
+
+def import_incremental(texts: DataFrame, out: str, checkpoint: str, as_of, summariser=None,
+                       embedder=None, dim: int = 64) -> StreamingQuery:
+    """Import new exports as they appear; a restart goes on where the last run stopped.
+
+    ``texts`` is a stream of ``file, value`` such as ``export_texts``. Per batch: parse, gate against
+    the ledger, summarise, embed, store thoughts, then record finished conversations. Every batch
+    writes its own folders below ``out`` (thoughts, ledger), so repeating a batch after a failure
+    stores nothing twice.
     """
-    texts = (spark.readStream.format("text").option("wholetext", "true")
-             .option("pathGlobFilter", "conversations*.json").load(exports)
-             .select(F.col("_metadata.file_path").alias("file"), "value"))
+    spark = texts.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
         here = lambda kind: os.path.join(out, kind, f"batch={batch_id}")
