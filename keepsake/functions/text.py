@@ -24,28 +24,32 @@ MESSAGE_SEPARATOR = "\n---\n"
 # What a capture gets when its extracted metadata cannot be parsed.
 FALLBACK_METADATA = '{"topics":["uncategorized"],"type":"observation"}'
 
-TAG_TYPE = ("struct<people:array<string>,action_items:array<string>,"
-            "dates_mentioned:array<string>,topics:array<string>,type:string>")
+TAG_KEYS = ("people", "action_items", "dates_mentioned", "topics", "type")
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters that count as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_WORD = r"(?U)[^\s\x1c-\x1f]+"
+
+
 def strip(c) -> Column:
     """Remove leading and trailing whitespace, Unicode spaces and line breaks included."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def is_blank(c) -> Column:
     """NULL, empty, or nothing but whitespace."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return ~F.coalesce(_col(c).rlike(_WORD), F.lit(False))
 
 
 def word_count(c) -> Column:
     """Words separated by Unicode whitespace (no-break space included)."""
-    words = F.split(F.coalesce(_col(c), F.lit("")), r"(?U)\s+")
-    return F.size(F.filter(words, lambda w: w != ""))
+    return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(_WORD))
 
 
 def trivial_title(c) -> Column:
@@ -130,9 +134,9 @@ def tag_text(c) -> Column:
     ``Insight: …`` an idea; ``Meeting with who about topic. … Action items: a, b.`` an observation
     with people, topic and actions; ``Saving from X: …`` a reference; anything else an observation.
     ISO dates and ``#tags`` are collected from every form; without a topic the topic is
-    ``uncategorized``.
+    ``uncategorized``. The text is expected without surrounding whitespace.
     """
-    t = strip(F.coalesce(_col(c), F.lit("")))
+    t = F.coalesce(_col(c), F.lit(""))
     none = F.array().cast("array<string>")
     decision, insight = t.rlike(r"^Decision:"), t.rlike(r"^Insight:")
     meeting, saving = t.rlike(r"^Meeting with .+? about "), t.rlike(r"^Saving from [^:]+:")

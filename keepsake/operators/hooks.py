@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepsake.functions.text import tag_text
+from keepsake.functions.text import strip, tag_text
 
 # Input limits of the usual model services, for callers that pass ``max_chars``.
 SUMMARY_INPUT_CHARS = 6000
@@ -74,7 +74,9 @@ def tag(df: DataFrame, fn: Callable[[str], str] | None = None, text: str = "cont
     reads the five capture templates.
     """
     if fn is None:
-        return df.withColumn("tags_json", F.to_json(tag_text(text)))
+        # Stripped in a step of its own: the tagger reads the text many times.
+        return (df.withColumn("_stripped", strip(text)).withColumn("tags_json", F.to_json(tag_text("_stripped")))
+                .drop("_stripped"))
 
     @F.pandas_udf("string")
     def answers(s: pd.Series) -> pd.Series:

@@ -14,11 +14,13 @@ def transcript_tail(docs: DataFrame, min_lines: int = 100, share: float = 0.3) -
 
     Works inside the row, so documents are never shuffled.
     """
-    lines = F.split("content", "\n")
-    n = F.size(lines)
-    skipped = F.when(n > min_lines, n - F.ceil(n * F.lit(share)).cast("int")).otherwise(F.lit(0))
-    return docs.select("id", F.posexplode(lines).alias("_at", "line"), skipped.alias("_skip")).where(
-        "_at >= _skip").select("id", (F.col("_at") + 1).alias("line_no"), "line")
+    n = F.size("_lines")
+    kept = F.when(n > min_lines, F.ceil(n * F.lit(share)).cast("int")).otherwise(n)
+    split = docs.select("id", F.split("content", "\n").alias("_lines"))
+    # The tail is cut out before the lines become rows, so the head is never produced.
+    tail = split.select("id", (n - kept).alias("_skip"), F.slice("_lines", n - kept + 1, kept).alias("_tail"))
+    return tail.select("id", "_skip", F.posexplode("_tail").alias("_at", "line")).select(
+        "id", (F.col("_at") + F.col("_skip") + 1).alias("line_no"), "line")
 
 
 def find_quotes(docs: DataFrame, keyword: str) -> DataFrame:

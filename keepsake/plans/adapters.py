@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import tag_text
+from keepsake.functions.text import conv_hash, tag_text
 
 OWNERS = 25
 
@@ -125,7 +125,6 @@ def chat_export(t: Tables) -> DataFrame:
         F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string").alias("k"), node.alias("v")))))
         .alias("mapping"),
         F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"))
-    from keepsake.functions.text import conv_hash
     seconds = F.lit(1704067200) + F.col("conv_id") * 3600
     return trees.select(
         conv_hash("title", seconds.cast("string")).alias("conv_hash"), F.lit("export").alias("file"),

@@ -42,12 +42,13 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def notes_to_thoughts(notes: DataFrame) -> DataFrame:
     """One thought per cleaned note; notes with nothing but structure are skipped."""
-    cleaned = notes.withColumn("_note", clean_note("body"))
-    substance = F.regexp_replace(F.col("_note.text"), r"(?m)^\s*(#{1,6} .*|[-*_]{3,}|[-*+]\s*)$", "")
+    # A one-row generator holds the cleaned note, so that it is computed once and not per use.
+    cleaned = notes.select("name", "modified_at", F.inline(F.array(clean_note("body"))))
+    substance = F.regexp_replace("text", r"(?m)^[ \t]*(#{1,6} .*|[-*_]{3,}|[-*+])[ \t]*$", "")
     meta = F.struct(F.lit("obsidian").alias("source"), F.col("name").alias("title"),
-                    F.col("_note.tags").alias("topics"))
+                    F.col("tags").alias("topics"))
     return cleaned.where(~is_blank(substance)).select(
-        F.col("_note.text").alias("content"), F.to_json(meta).alias("metadata"),
+        F.col("text").alias("content"), F.to_json(meta).alias("metadata"),
         F.col("modified_at").alias("created_at"))
 
 

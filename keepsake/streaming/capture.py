@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from keepsake.functions.text import merge_metadata
+from keepsake.functions.text import TAG_KEYS, merge_metadata, strip, tag_text
 from keepsake.operators.hooks import embed, tag
 from keepsake.operators.importer import extract_thoughts, gate_conversations, walk_messages, with_user_text
 from keepsake.operators.state import latest_edit
@@ -40,9 +40,17 @@ def captured_thoughts(events: DataFrame, source: dict | None = None, tagger=None
     names); the default tags Slack messages.
     """
     source = source or {"source": F.lit("slack"), "slack_ts": "ts"}
-    tagged = tag(events.withColumn("content", F.col("text")), tagger)
-    done = embed(tagged, embedder, dim=dim)
-    return done.select("content", "embedding", merge_metadata("tags_json", source).alias("metadata"),
+    if tagger is None:
+        # The default tagger gives typed fields, so its keys need no trip through JSON to be merged.
+        tagged = events.withColumn("_stripped", strip("text")).withColumn("_tags", tag_text("_stripped"))
+        own = [F.col(f"_tags.{k}").alias(k) for k in TAG_KEYS if k not in source]
+        laid = [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in source.items()]
+        metadata = F.to_json(F.struct(*own, *laid))
+    else:
+        tagged = tag(events, tagger, "text")
+        metadata = merge_metadata("tags_json", source)
+    done = embed(tagged.withColumn("content", F.col("text")), embedder, dim=dim)
+    return done.select("content", "embedding", metadata.alias("metadata"),
                        F.col("event_time").alias("created_at"))
 
 
