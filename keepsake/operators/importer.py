@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.functions.dates import epoch_date
 from keepsake.functions.text import (MESSAGE_SEPARATOR, chat_metadata, preview, thought_content,
@@ -63,14 +64,15 @@ def walk_messages(conversations: DataFrame) -> DataFrame:
     without content are left out.
     """
     keep = [f for f in conversations.schema.fields if f.name != "mapping"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    messages = T._parse_datatype_string(f"array<{MESSAGE}>")
+    schema = T.StructType(keep + [T.StructField("messages", messages)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            messages = [_messages_in_order(m) for m in pdf.pop("mapping")]
-            yield pdf.assign(messages=pd.Series(messages, index=pdf.index, dtype=object))
+            walked = [_messages_in_order(m) for m in pdf.pop("mapping")]
+            yield pdf.assign(messages=pd.Series(walked, index=pdf.index, dtype=object))
 
-    return conversations.mapInPandas(run, f"{ddl}, messages array<{MESSAGE}>")
+    return conversations.mapInPandas(run, schema)
 
 
 def with_user_text(walked: DataFrame) -> DataFrame:

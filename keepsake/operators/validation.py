@@ -110,14 +110,15 @@ def append_validated(df: DataFrame, spec: TableSpec | str, parents: dict[str, Da
                      as_of=None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Load rows of one table: (accepted, rejected with their ``violations``).
 
-    With ``path`` both are written in one pass (partition column ``accepted``) and read back; without
+    With ``path`` both are appended in one pass (partition column ``outcome``) and read back; without
     it the two lazy DataFrames are returned.
     """
     rows = checked(df, spec, parents, as_of)
     good = F.size("violations") == 0
     if path is not None:
-        rows.withColumn("accepted", good).write.mode("append").partitionBy("accepted").parquet(path)
+        outcome = F.when(good, "accepted").otherwise("rejected")
+        rows.withColumn("outcome", outcome).write.mode("append").partitionBy("outcome").parquet(path)
         table = df.sparkSession.read.parquet(path)
-        return (table.where("accepted").drop("accepted", "violations"),
-                table.where("not accepted").drop("accepted"))
+        return (table.where("outcome = 'accepted'").drop("outcome", "violations"),
+                table.where("outcome = 'rejected'").drop("outcome"))
     return rows.where(good).drop("violations"), rows.where(~good)

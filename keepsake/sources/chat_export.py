@@ -33,9 +33,10 @@ def _entries_of(archives: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_export_files(texts: DataFrame) -> DataFrame:
     """Conversations of whole export files given as ``file, value``."""
-    arrays = texts.where(F.regexp_replace("value", "^\\uFEFF?\\s*", "").startswith("["))
+    body = F.ltrim(F.col("value"), F.lit("\ufeff \t\r\n"))
+    arrays = texts.select("file", body.alias("body")).where(F.col("body").startswith("["))
     raw = arrays.select(
-        "file", F.posexplode(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))
+        "file", F.posexplode(F.from_json("body", "array<string>", {"mode": "FAILFAST"}))
         .alias("position", "raw"))
     item = F.from_json("raw", _ITEM, {"mode": "FAILFAST"})
     parsed = raw.select("file", "position", item.alias("c"), F.json_object_keys("raw").alias("keys"))
@@ -68,8 +69,8 @@ def read_chat_export(spark: SparkSession, path: str, zipped: bool = False,
                     .load(path).select("path", "content"))
         texts = archives.mapInPandas(_entries_of, "file string, value string")
     else:
-        texts = (spark.read.option("wholetext", "true").option("pathGlobFilter", "conversations*.json")
-                 .text(path)
+        texts = (spark.read.option("pathGlobFilter", "conversations*.json")
+                 .text(path, wholetext=True)
                  .where(F.col("_metadata.file_name").rlike(FILE_PATTERN))
                  .select(F.col("_metadata.file_path").alias("file"), "value"))
     out = parse_export_files(texts)

@@ -33,8 +33,8 @@ def emails_to_thoughts(emails: DataFrame, after=None) -> DataFrame:
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files as ``name, body, modified_at``, one row per file."""
-    return (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md")
-            .option("recursiveFileLookup", "true").text(path)
+    return (spark.read.option("pathGlobFilter", "*.md")
+            .option("recursiveFileLookup", "true").text(path, wholetext=True)
             .select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("name"),
                     F.col("value").alias("body"),
                     F.col("_metadata.file_modification_time").alias("modified_at")))

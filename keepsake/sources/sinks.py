@@ -20,9 +20,11 @@ def write_thoughts(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     expensive part of the plan) are computed once.
     """
     accepted = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    (df.withColumn("accepted", accepted).write.mode("append").partitionBy("accepted").parquet(path))
+    outcome = F.when(accepted, "accepted").otherwise("rejected")
+    df.withColumn("outcome", outcome).write.mode("append").partitionBy("outcome").parquet(path)
     table = df.sparkSession.read.parquet(path)
-    return (table.where("accepted").drop("accepted"), table.where("not accepted").drop("accepted"))
+    part = lambda name: table.where(F.col("outcome") == name).drop("outcome")
+    return part("accepted"), part("rejected")
 
 
 def to_ingest_payload(df: DataFrame) -> DataFrame:
