@@ -68,8 +68,8 @@ def import_counters(t):
 
 @query("import_totals_and_cost", """
   SELECT total, 0::BIGINT AS already_imported, filtered, processed, words AS user_words, processed AS thoughts, 0::BIGINT AS ingested,
-         0::BIGINT AS errors, round(processed * 0.00024, 9) AS summary_cost, round(processed * 0.000002, 9) AS embedding_cost,
-         round(processed * 0.000242, 9) AS total_cost
+         0::BIGINT AS errors, round(processed::DOUBLE * 0.00024, 9) AS summary_cost, round(processed::DOUBLE * 0.000002, 9) AS embedding_cost,
+         round(processed::DOUBLE * 0.000242, 9) AS total_cost
   FROM (SELECT count(*) AS total, count(skip_reason) AS filtered, count(*) - count(skip_reason) AS processed,
                sum(CASE WHEN skip_reason IS NULL THEN user_words ELSE 0 END)::BIGINT AS words FROM decisions)""",
        ("turns", "convs", "decisions"))
