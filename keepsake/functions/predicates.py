@@ -93,8 +93,8 @@ def json_contains(doc, wanted: dict, promoted: dict | None = None, is_variant: b
         return F.lit(True)
     promoted = promoted or {}
     rest = {k: w for k, w in wanted.items() if k not in promoted}
-    tests = [F.coalesce(_col(promoted[k]) == F.lit(w), F.lit(False))
-             for k, w in wanted.items() if k in promoted]
+    # Null-safe equality is a plain predicate that Parquet can evaluate.
+    tests = [_col(promoted[k]).eqNullSafe(F.lit(w)) for k, w in wanted.items() if k in promoted]
     if rest:
         tests.append(_holds(_col(doc) if is_variant else F.try_parse_json(_col(doc)), rest))
     return reduce(and_, tests)

@@ -23,16 +23,16 @@ def latest_per(df: DataFrame, keys: list[str], order: list[str], take: list[str]
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
-def task_state(tasks: DataFrame, logs: DataFrame, log_order: list[str] | None = None) -> DataFrame:
+def task_state(tasks: DataFrame, logs: DataFrame) -> DataFrame:
     """Tasks rolled forward by their last inserted log.
 
     ``last_completed`` is that log's ``completed_at``; ``next_due`` adds the task's frequency, NULL
-    for one-time tasks. The insertion order is ``log_order`` (default ``ingest_seq, id`` when the log
-    has an ``ingest_seq``, else ``completed_at, id``). Tasks without a log keep their state.
+    for one-time tasks. Insertion order is ``ingest_seq`` (unique, rising) where the log has one; else
+    the latest ``completed_at`` counts as last, which differs for back-dated logs only. Tasks without
+    a log keep their state. Both aggregates run as hash aggregates on fixed-width buffers.
     """
-    order = log_order or (["ingest_seq", "id"] if "ingest_seq" in logs.columns else ["completed_at", "id"])
-    last = logs.groupBy(F.col("task_id").alias("id")).agg(
-        F.max_by("completed_at", F.struct(*order)).alias("_done"))
+    newest = F.max_by("completed_at", "ingest_seq") if "ingest_seq" in logs.columns else F.max("completed_at")
+    last = logs.groupBy(F.col("task_id").alias("id")).agg(newest.alias("_done"))
     done = F.col("_done")
     joined = tasks.join(last, "id", "left")
     due = plus_days("_done", F.col("frequency_days"))

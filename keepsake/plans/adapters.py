@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.functions.text import conv_hash, tag_text
 
@@ -24,13 +25,15 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def schema(self, name: str) -> T.StructType:
+        """Schema of a table with its zone-less instants read as UTC timestamps."""
+        found = self.spark.read.parquet(self.path(name)).schema
+        return T.StructType([
+            T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType)
+            for f in found.fields])
+
     def read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
-        # Instants are stored without a zone; the package treats all of them as UTC.
-        for field in df.schema.fields:
-            if field.dataType.typeName() == "timestamp_ntz":
-                df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-        return df
+        return self.spark.read.schema(self.schema(name)).parquet(self.path(name))
 
 
 def _owner(key: str) -> Column:

@@ -6,23 +6,23 @@ from keepsake.operators import access, state, validation
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import day_text, query
 
-_LATEST = "arg_max(completed_at, (completed_at, id))"
-
-
-@query("task_state", f"""
+@query("task_state", """
   SELECT t.id, strftime(done, '%Y-%m-%d') AS last_completed, strftime(done + to_days(frequency_days), '%Y-%m-%d') AS next_due
-  FROM tasks t LEFT JOIN (SELECT task_id, {_LATEST} AS done FROM logs GROUP BY 1) ON task_id = t.id""", ("tasks", "logs"))
+  FROM tasks t LEFT JOIN (SELECT task_id, max(completed_at) AS done FROM logs GROUP BY 1) ON task_id = t.id""", ("tasks", "logs"))
 def task_state(t):
     return state.task_state(A.tasks(t), A.logs(t)).select("id", day_text("last_completed"), day_text("next_due"))
 
 
 @query("task_state_by_insertion", """
-  SELECT t.id, strftime(done, '%Y-%m-%d') AS last_completed
-  FROM tasks t LEFT JOIN (SELECT task_id, arg_max(completed_at, id) AS done FROM logs GROUP BY 1) ON task_id = t.id""", ("tasks", "logs"))
+  SELECT c_custkey AS id, strftime(done, '%Y-%m-%d') AS last_completed, strftime(done + to_days(c_nationkey), '%Y-%m-%d') AS next_due
+  FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderdate, o_orderkey) AS done FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def task_state_by_insertion(t):
-    """The last inserted log wins (insertion order stands for the log id), so state may move back."""
-    logs = A.logs(t).withColumn("ingest_seq", F.lit(0).cast("bigint"))
-    return state.task_state(A.tasks(t), logs).select("id", day_text("last_completed"))
+    """Orders as logs of customers: the last inserted one wins, so the state may move back in time."""
+    tasks = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("frequency_days"),
+                                      F.lit(None).cast("timestamp").alias("last_completed"), F.lit(None).cast("timestamp").alias("next_due"))
+    logs = t.read("orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderdate").alias("completed_at"),
+                                   F.col("o_orderkey").alias("ingest_seq"))
+    return state.task_state(tasks, logs).select("id", day_text("last_completed"), day_text("next_due"))
 
 
 @query("last_contacted", """

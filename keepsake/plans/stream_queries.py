@@ -11,21 +11,12 @@ from keepsake.streaming import capture
 CHANNELS = ["purchase", "view", "click", "signup"]
 
 
-def _stream(t, name: str):
-    """A table's file or files as a stream (a glob path may name a single file)."""
-    schema = t.spark.read.parquet(t.path(name)).schema
-    return t.spark.readStream.schema(schema).parquet(t.path(name)[:-1] + "[t]")
-
-
 class _StreamTables(A.Tables):
     """The same adapters over streams of the table files."""
 
     def read(self, name: str):
-        df = _stream(self, name)
-        for field in df.schema.fields:
-            if field.dataType.typeName() == "timestamp_ntz":
-                df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-        return df
+        # A glob path may name a single file.
+        return self.spark.readStream.schema(self.schema(name)).parquet(self.path(name)[:-1] + "[t]")
 
 
 def _redelivered(events):
