@@ -9,6 +9,7 @@ search for repeated conversations shuffle, and both move hashes, not texts.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 from keepsake.functions.dates import epoch_date
 from keepsake.functions.text import (MESSAGE_SEPARATOR, chat_metadata, preview, thought_content,
                                      trivial_title, word_count)
-from keepsake.operators.hooks import summarise
-from keepsake.session import reliable_checkpoint
+from keepsake.operators.hooks import embed, summarise
+from keepsake.session import fresh_path, reliable_checkpoint
+from keepsake.sources.sinks import read_ledger, stored_keys, update_ledger, write_thoughts
 
 # Thresholds of the gate, and unit costs in dollars per million tokens.
 MIN_MESSAGES = 4
@@ -123,8 +125,16 @@ def gate_conversations(df: DataFrame, ledger: DataFrame | None = None, after: st
     for test, name in reversed(checks):
         reason = F.when(test, F.lit(name)).otherwise(reason)
     gated = df.withColumn("skip_reason", reason).drop("_known")
-    if not repeats:
-        return gated
+    return mark_repeats(gated) if repeats else gated
+
+
+def mark_repeats(gated: DataFrame) -> DataFrame:
+    """Let only the first of several acceptable conversations with one hash pass.
+
+    Only hashes and positions are grouped; the join back carries the repeated hashes, a small table
+    unless most of the import is repeated. ``gated`` is read twice, so a large import should hand in a
+    written table (``run_import`` does).
+    """
     place = F.struct("file", "position")
     first = (gated.where("skip_reason is null").groupBy("conv_hash")
              .agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
@@ -242,3 +252,40 @@ def import_report(decisions: DataFrame, thoughts: DataFrame) -> tuple[DataFrame,
         "conv_hash", "title_shown", "date_text", "message_count", "user_words", "thought_no",
         "thought", preview("thought").alias("preview"))
     return import_counters(decisions), detail
+
+
+def run_import(conversations: DataFrame, folder: str, as_of, after: str | None = None, before: str | None = None,
+               limit: int = 0, fn=None, embedder=None, dry_run: bool = False, max_chars: int | None = None,
+               dim: int = 64) -> DataFrame:
+    """A whole batch import into ``folder``; returns the one-row summary with its cost.
+
+    Message trees are walked once, into a written decision table; counters, thoughts and ledger all
+    read that table. Writes ``decisions``, ``thoughts`` (split by outcome) and ``ledger`` below
+    ``folder``; a dry run writes decisions only.
+    """
+    spark = conversations.sparkSession
+    below = lambda name: os.path.join(folder, name)
+    ledger = read_ledger(spark, below("ledger"))
+    walked = gate_conversations(with_user_text(walk_messages(conversations)), ledger, after, before, repeats=False)
+    walked.write.mode("overwrite").parquet(below("decisions"))
+    decisions = limit_processed(mark_repeats(spark.read.parquet(below("decisions"))), limit)
+    thoughts = extract_thoughts(decisions, fn, max_chars)
+    if dry_run:
+        return import_cost(import_totals(decisions, thoughts), raw=fn is None)
+    # One write holds this run's thoughts: the summariser and the embedder run once per thought.
+    # Thoughts of a conversation that failed in part before are stored already and only pass through.
+    key = ["conv_hash", "thought_no"]
+    before_run = stored_keys(spark, below("thoughts"))
+    run = fresh_path(spark, "import-run")
+    embedded = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    fresh = thoughts.join(before_run, key, "left_anti")
+    new = embed(fresh, embedder, max_chars=max_chars, dim=dim).withColumn(
+        "ok", F.when(F.col("content").isNotNull(), embedded)).withColumn("fresh", F.lit(True))
+    known = thoughts.join(before_run, key, "left_semi").withColumn("ok", F.lit(True)).withColumn("fresh", F.lit(False))
+    new.unionByName(known, allowMissingColumns=True).write.parquet(run)
+    results = spark.read.parquet(run)
+    totals = import_cost(import_totals(decisions, results), raw=fn is None)
+    summary = spark.createDataFrame([totals.first()], totals.schema)  # one row
+    write_thoughts(results.where("fresh and content is not null").drop("ok", "fresh", "user_text"), below("thoughts"))
+    update_ledger(results, below("ledger"), as_of)
+    return summary

@@ -59,6 +59,12 @@ def meal_plan(plans: DataFrame, recipes: DataFrame, week_start, calendar_order:
     return out.orderBy(*keys, pg_asc("id"))
 
 
+def plan_rows(requests: DataFrame) -> DataFrame:
+    """Meal plan rows of weekly requests ``user_id, week_start, meals`` (an array of ``day_of_week,
+    meal_type, recipe_id, custom_meal, servings, notes``), ready for ``append_validated``."""
+    return requests.select("user_id", "week_start", F.inline("meals"))
+
+
 def upcoming_plans(plans: DataFrame, as_of, n: int = 7, column: str = "date") -> DataFrame:
     """The next ``n`` plan rows from today on (rows, although the original calls them days)."""
     return plans.where(F.col(column) >= day(as_of)).orderBy(pg_asc(column), pg_asc("id")).limit(n or 7)

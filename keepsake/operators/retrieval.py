@@ -22,16 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from keepsake.functions.dates import moment
 from keepsake.functions.predicates import json_contains
 from keepsake.functions.text import chunk_array
 from keepsake.functions.vectors import matrix_of, similarity_to, unit_rows
-from keepsake.session import reliable_checkpoint
 
 DEFAULT_THRESHOLD = 0.7
 DEFAULT_COUNT = 10
 BLOCK_ROWS = 8192
-MAX_PIVOTS = 1024
-PIVOTS_PER_BLOCK = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
 _TILE = 2048
 
@@ -210,11 +208,14 @@ def vector_copies(thoughts: DataFrame) -> DataFrame:
     return keyed.join(first, "_key").select("id", "representative")
 
 
-def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  cross_day: bool = True) -> DataFrame:
+def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD, cross_day: bool = True,
+                  start=None, end=None) -> DataFrame:
     """Pairs of thoughts more similar than ``threshold``: ``id_a < id_b, copies_a, copies_b,
     similarity``. With ``cross_day`` only pairs captured on different days.
 
+    ``start`` and ``end`` narrow to a window (the weekly review looks at a week); the comparison is
+    exact and its work grows with the square of the thoughts in it.
+
     Thoughts holding exactly the same vector stand as one, named by their smallest id with the number
     of copies (``vector_copies`` lists the members): a vector repeated a million times would
     otherwise alone give half a trillion rows. A pair counts as cross-day when some of its members are
@@ -223,7 +224,7 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     pair.
     """
     on = F.to_date("created_at").alias("day") if "created_at" in thoughts.columns else F.lit(None).cast("date").alias("day")
-    groups = _vectors(thoughts, on).groupBy("embedding").agg(
+    groups = _vectors(_window(thoughts, start, end), on).groupBy("embedding").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.min("day").alias("first_day"),
         F.max("day").alias("last_day"))
     id_type = thoughts.schema["id"].dataType
@@ -232,7 +233,7 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                            T.StructField("similarity", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     days = groups.withColumn("first_day", F.unix_date("first_day")).withColumn("last_day", F.unix_date("last_day"))
-    grid = _cells(days, threshold)
+    grid = _triangle(days, _block_count(groups.count(), _width(groups)))
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         a, b = _side(table, 0), _side(table, 1)
@@ -241,8 +242,7 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD,
         x, y = _unit_of(a), _unit_of(b)
         ia, na, from_a, to_a = _numbers(a, "id", "copies", "first_day", "last_day")
         ib, nb, from_b, to_b = _numbers(b, "id", "copies", "first_day", "last_day")
-        cell, visiting, i, j = (k.as_py() for k in key)
-        diagonal = not visiting and i == j
+        diagonal = key[0].as_py() == key[1].as_py()
         found = []
         for at in range(0, len(ia), _TILE):
             sims = x[at:at + _TILE] @ y.T
@@ -272,91 +272,12 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     return distinct.unionByName(same)
 
 
-def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(unit_rows(m) @ pivots.T, -1.0, 1.0))
-
-
-def _cells(groups: DataFrame, threshold: float):
-    """Candidate groups for all pairs above a similarity, exact, with far-apart regions left out.
-
-    Some vectors serve as pivots and every vector lives in the cell of its nearest pivot. Let two
-    vectors be closer than ``reach = arccos(threshold)``. By the triangle inequality the angle from the
-    first to the second one's pivot is below ``reach`` plus that cell's radius, and also below its angle
-    to its own pivot plus twice ``reach``. So a vector visits only cells within both bounds, and of
-    those only the ones numbered above its own (the other vector does the rest). Cells and their
-    visitors are cut into blocks by id, so a crowded cell becomes many groups.
-
-    With a low threshold or shapeless data the bounds exclude little; when the cells would move more
-    rows than the plain block grid, the plain grid is used.
-    """
-    count, width = groups.count(), _width(groups)
-    blocks = _block_count(count, width)
-    names = ("_cell", "_visit", "_i", "_j")
-    shape = lambda df, visit, side, i, j: df.withColumn("_i", i).withColumn("_j", j).select(
-        *groups.columns, "_cell", F.lit(visit).alias("_visit"), "_i", "_j", F.lit(side).alias("_side"))
-    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    upto = lambda low, high: F.explode(F.sequence(low, high - 1))
-    b, s, v = F.col("_b"), F.col("_s"), F.col("_v")
-
-    def triangle(live: DataFrame) -> DataFrame:
-        return shape(live, False, 0, b, upto(b, s)).unionByName(shape(live, False, 1, upto(F.lit(0), b + 1), b))
-
-    plain = groups.withColumn("_cell", F.lit(0)).withColumn("_s", F.lit(blocks)).withColumn("_b", part(F.lit(blocks)))
-    if blocks == 1:
-        return triangle(plain).groupBy(*names)
-
-    per_block = math.ceil(count / blocks)
-    sample = groups.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS_PER_BLOCK * blocks, MAX_PIVOTS))
-    pivots = _unit_of(sample.select("embedding").toArrow())  # at most MAX_PIVOTS vectors
-    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
-
-    @F.arrow_udf("struct<cell:int,angle:double>")
-    def home(v: pa.Array) -> pa.Array:
-        cells, near = [np.zeros(0, np.int32)], [np.zeros(0)]
-        for at in range(0, len(v), _TILE):
-            angles = _angles(matrix_of(v.slice(at, _TILE)), pivots)
-            nearest = angles.argmin(axis=1)
-            cells.append(nearest.astype(np.int32))
-            near.append(angles[np.arange(len(nearest)), nearest])
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(near))],
-                                          names=["cell", "angle"])
-
-    # Written once to the shared folder: the cells are read several times below.
-    placed = reliable_checkpoint(groups.withColumn("_home", home("embedding")).select(
-        *groups.columns, F.col("_home.cell").alias("_cell"), F.col("_home.angle").alias("_angle")))
-    radius = np.full(len(pivots), -np.inf)
-    residents = {}
-    for row in placed.groupBy("_cell").agg(F.max("_angle").alias("r"), F.count("*").alias("n")).collect():
-        radius[row["_cell"]], residents[row["_cell"]] = row["r"], row["n"]  # one row per pivot
-
-    @F.arrow_udf("array<int>")
-    def visits(v: pa.Array, cell: pa.Array, angle: pa.Array) -> pa.Array:
-        own, far = cell.to_numpy(zero_copy_only=False), angle.to_numpy(zero_copy_only=False)
-        lists = []
-        for at in range(0, len(v), _TILE):
-            angles = _angles(matrix_of(v.slice(at, _TILE)), pivots)
-            bound = np.minimum(reach + radius, far[at:at + _TILE, None] + 2 * reach)
-            close = (angles < bound) & (np.arange(len(pivots)) > own[at:at + _TILE, None])
-            lists += [np.nonzero(row)[0].astype(np.int32) for row in close]
-        return pa.array(lists, type=pa.list_(pa.int32()))
-
-    guests = placed.select("*", F.explode(visits("embedding", "_cell", "_angle")).alias("_to"))
-    visitors = {r["_to"]: r["n"] for r in guests.groupBy("_to").agg(F.count("*").alias("n")).collect()}
-    cut = lambda n: math.ceil(n / per_block)
-    sizes = [(c, cut(n), cut(visitors.get(c, 0))) for c, n in residents.items()]
-    moved = sum(residents[c] * (1 + sc + vc) + visitors.get(c, 0) * sc for c, sc, vc in sizes)
-    if moved >= count * (blocks + 1):
-        return triangle(plain).groupBy(*names)
-
-    spark = groups.sparkSession
-    sizes = F.broadcast(spark.createDataFrame(sizes, "_cell int, _s int, _v int"))  # one row per pivot
-    live = placed.drop("_angle").join(sizes, "_cell").withColumn("_b", part(s))
-    came = (guests.drop("_angle", "_cell").withColumnRenamed("_to", "_cell").join(sizes, "_cell")
-            .withColumn("_b", part(v)))
-    rows = (triangle(live)
-            .unionByName(shape(came, True, 0, b, upto(F.lit(0), s)))
-            .unionByName(shape(live.where("_v > 0"), True, 1, upto(F.lit(0), v), b)))
-    return rows.groupBy(*names)
+def _window(thoughts: DataFrame, start, end) -> DataFrame:
+    if start is not None:
+        thoughts = thoughts.where(F.col("created_at") >= moment(start))
+    if end is not None:
+        thoughts = thoughts.where(F.col("created_at") < moment(end))
+    return thoughts
 
 
 def novelty(thoughts: DataFrame, start=None, end=None, n: int | None = 3) -> DataFrame:
@@ -366,12 +287,7 @@ def novelty(thoughts: DataFrame, start=None, end=None, n: int | None = 3) -> Dat
     alone has novelty 1. Each block pair reports one maximum per thought, so the result of the grid
     grows with the thoughts times the number of blocks, not with the pairs.
     """
-    rows = thoughts
-    if start is not None:
-        rows = rows.where(F.col("created_at") >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        rows = rows.where(F.col("created_at") < F.lit(end).cast("timestamp"))
-    vectors = _vectors(rows)
+    vectors = _vectors(_window(thoughts, start, end))
     schema = T.StructType([T.StructField("id", thoughts.schema["id"].dataType), T.StructField("nearest", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     # Exact copies have a neighbour at similarity 1; one representative per vector is enough.

@@ -77,16 +77,16 @@ def daily_digest(thoughts: DataFrame, as_of, topics: int = 5, highlights: int =
     day = _within(thoughts, moment(as_of) - _days(1), moment(as_of))
     count = day.agg(F.count("*").cast("double").alias("value")).select(
         F.lit("count").alias("section"), F.lit(1).alias("rank"), F.lit("thoughts").alias("label"), "value")
-    order = Window.orderBy(F.col("thoughts").desc(), F.col("topic").asc())
-    top = themes(day, n=topics).select(  # the window sees at most ``topics`` rows
-        F.lit("topic").alias("section"), F.row_number().over(order).alias("rank"),
+    order = Window.partitionBy("section").orderBy(F.col("thoughts").desc(), F.col("topic").asc())
+    top = themes(day, n=topics).withColumn("section", F.lit("topic")).select(  # at most ``topics`` rows
+        "section", F.row_number().over(order).alias("rank"),
         F.col("topic").alias("label"), F.col("thoughts").cast("double").alias("value"))
     out = count.unionByName(top)
     if "embedding" in thoughts.columns:
-        odd = novelty(day, n=highlights)
-        order = Window.orderBy(F.col("novelty").desc(), F.col("id").asc())
+        odd = novelty(day, n=highlights).withColumn("section", F.lit("highlight"))
+        order = Window.partitionBy("section").orderBy(F.col("novelty").desc(), F.col("id").asc())
         out = out.unionByName(odd.select(
-            F.lit("highlight").alias("section"), F.row_number().over(order).alias("rank"),
+            "section", F.row_number().over(order).alias("rank"),
             F.col("id").cast("string").alias("label"), F.col("novelty").alias("value")))
     return out
 

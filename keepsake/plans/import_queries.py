@@ -6,6 +6,7 @@ from keepsake.functions.text import preview
 from keepsake.operators import hooks, importer
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import query, time_text
+from keepsake.session import fresh_path
 from keepsake.sources import imports, sinks
 
 
@@ -197,3 +198,44 @@ def summarise_with_hook(t):
     wanted = F.least(F.lit(3), F.greatest(F.col("message_count") - 3, F.lit(0)))
     return rows.select("conv_hash", F.posexplode(F.slice("thoughts", F.lit(1), wanted)).alias("i", "thought")).select(
         "conv_hash", (F.col("i") + 1).cast("bigint").alias("thought_no"))
+
+
+@query("thought_sink", """
+  SELECT CASE WHEN embedding IS NULL THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS thoughts, sum(length(content))::BIGINT AS characters
+  FROM thoughts GROUP BY 1""", ("thoughts",))
+def thought_sink(t):
+    """Thoughts written to the sink and read back."""
+    good, bad = sinks.write_thoughts(A.thoughts(t), fresh_path(t.spark, "thoughts"))
+    both = good.withColumn("outcome", F.lit("accepted")).unionByName(bad.withColumn("outcome", F.lit("rejected")))
+    return both.groupBy("outcome").agg(F.count("*").alias("thoughts"), F.sum(F.length("content")).alias("characters"))
+
+
+@query("run_import", """
+  SELECT count(*) AS total, 0::BIGINT AS already_imported, count(skip_reason) AS filtered, count(*) - count(skip_reason) AS processed,
+         count(*) - count(skip_reason) AS thoughts, count(*) - count(skip_reason) AS ingested, 0::BIGINT AS errors, 0::DOUBLE AS summary_cost
+  FROM decisions""", ("turns", "convs", "decisions"))
+def run_import(t):
+    """A whole raw-mode import into a new folder."""
+    summary = importer.run_import(A.chat_export(t), fresh_path(t.spark, "import"), "2024-02-01", dim=16)
+    return summary.select("total", "already_imported", "filtered", "processed", "thoughts", "ingested", "errors", "summary_cost")
+
+
+@query("direct_captures", """
+  SELECT id, type, array_to_string(list_concat(['inbox'], topics), '|') AS topics FROM captures""", ("captures",))
+def direct_captures(t):
+    """Captures stored directly with a tag of their own."""
+    rows = A.captures(t).select(F.col("content").alias("thought"), F.array(F.lit("inbox")).alias("tags"), "created_at", "id")
+    told = imports.captures_to_thoughts(rows.withColumn("created_at", F.struct("created_at", "id")))
+    topics = F.from_json(F.get_json_object("metadata", "$.topics"), "array<string>")
+    return told.select("created_at.id", F.get_json_object("metadata", "$.type").alias("type"), F.array_join(topics, "|").alias("topics"))
+
+
+@query("planned_meals", """
+  SELECT o_orderkey AS id, meal_type FROM orders, (VALUES ('lunch'), ('dinner')) v(meal_type)""")
+def planned_meals(t):
+    """Weekly requests of two meals each, as plan rows."""
+    from keepsake.operators.meals import plan_rows
+    meal = lambda kind: F.struct(F.lit("monday").alias("day_of_week"), F.lit(kind).alias("meal_type"), F.col("o_orderkey").alias("recipe_id"))
+    requests = t.read("orders").select(F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("week_start"),
+                                       F.array(meal("lunch"), meal("dinner")).alias("meals"))
+    return plan_rows(requests).select(F.col("recipe_id").alias("id"), "meal_type")

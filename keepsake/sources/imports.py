@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions.dates import day
-from keepsake.functions.text import clean_note, is_blank, row_sentence
+from keepsake.functions.text import clean_note, is_blank, row_sentence, strip, tag_text
 
 THOUGHT_COLUMNS = ("content", "metadata", "created_at")
 
@@ -62,6 +62,21 @@ def rows_to_thoughts(rows: DataFrame, cols: list[str], source: str = "csv",
     return out.where(F.col("content") != "")
 
 
+def captures_to_thoughts(captures: DataFrame, source: str = "mcp") -> DataFrame:
+    """Thoughts of direct captures ``thought, tags, created_at``: tagged from their text, the given tags
+    among the topics. Blank thoughts are left out; embed the result before storing it."""
+    text = strip("thought")
+    told = captures.where(~is_blank("thought")).select(text.alias("content"), "tags", "created_at")
+    found = told.select("content", "created_at", "tags", tag_text("content").alias("t"))
+    given = F.coalesce("tags", F.array().cast("array<string>"))
+    own = F.filter("t.topics", lambda x: (x != "uncategorized") | (F.size(given) == 0))
+    meta = F.struct(F.col("t.people").alias("people"), F.col("t.action_items").alias("action_items"),
+                    F.col("t.dates_mentioned").alias("dates_mentioned"),
+                    F.array_distinct(F.concat(given, own)).alias("topics"), F.col("t.type").alias("type"),
+                    F.lit(source).alias("source"))
+    return found.select("content", F.to_json(meta).alias("metadata"), "created_at")
+
+
 def union_sources(*thoughts: DataFrame) -> DataFrame:
     """One thoughts table from several sources; a column a source lacks is NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), thoughts)

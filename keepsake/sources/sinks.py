@@ -27,6 +27,18 @@ def write_thoughts(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return part("accepted"), part("rejected")
 
 
+def stored_keys(spark: SparkSession, path: str) -> DataFrame:
+    """``conv_hash, thought_no`` of the accepted thoughts of a sink; none when it does not exist yet."""
+    schema = "conv_hash string, thought_no int"
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return table.where("outcome = 'accepted'").select("conv_hash", "thought_no").distinct()
+
+
 def to_ingest_payload(df: DataFrame) -> DataFrame:
     """One JSON payload per thought for a custom ingest endpoint.
 

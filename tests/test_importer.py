@@ -227,6 +227,25 @@ def test_totals_cost_report_and_payload(spark, decide, tmp_path):
     assert body["full_text"].startswith("w0 w1")
 
 
+def test_run_import_end_to_end(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "conversations.json", [conversation("one"), conversation("fails"), conversation("Haiku"), conversation("one"),
+                                                  conversation("nothing to keep")])
+    out = str(tmp_path / "out")
+    fn = lambda title, day, body: [] if title.startswith("nothing") else [f"{title} 1", f"{title} 2"]
+    good = lambda texts: [None if "fails 2" in t else [1.0] for t in texts]
+    load = lambda **o: importer.run_import(read_chat_export(spark, str(tmp_path / "in")), out, "2024-02-01", fn=fn, embedder=good, **o).first()
+    dry = load(dry_run=True)
+    assert (dry.total, dry.processed, dry.thoughts, dry.ingested) == (5, 3, 4, 0) and dry.summary_cost > 0
+    first = load()
+    assert (first.processed, first.already_imported, first.thoughts, first.ingested, first.errors) == (3, 1, 4, 3, 1)
+    assert sinks.read_ledger(spark, out + "/ledger").count() == 2
+    second = load(limit=5)
+    assert (second.already_imported, second.processed, second.filtered) == (3, 1, 1)
+    stored = spark.read.parquet(out + "/thoughts").where("outcome = 'accepted'")
+    assert sorted(r.thought for r in stored.collect()) == ["fails 1", "one 1", "one 2"]   # nothing twice
+
+
 def test_incremental_import_resumes_and_repeats_nothing(spark, tmp_path):
     exports, out, state = tmp_path / "exports", str(tmp_path / "out"), str(tmp_path / "state")
     exports.mkdir()
@@ -266,3 +285,11 @@ def test_rows_and_union(spark):
     assert [r.content for r in rows.collect()] == ["name: n. size: 1"]
     both = imports.union_sources(rows, spark.createDataFrame([("x", 1)], "content string, extra int"))
     assert both.count() == 2 and "extra" in both.columns
+
+
+def test_direct_captures(spark):
+    df = spark.createDataFrame([("Decision: go. Owner: Ann.", ["work"], None), ("plain", None, None), (" ", ["x"], None)],
+                               "thought string, tags array<string>, created_at timestamp")
+    found = {r.content: json.loads(r.metadata) for r in imports.captures_to_thoughts(df).collect()}
+    assert found["Decision: go. Owner: Ann."]["topics"] == ["work"] and found["Decision: go. Owner: Ann."]["people"] == ["Ann"]
+    assert found["plain"]["topics"] == ["uncategorized"] and len(found) == 2
