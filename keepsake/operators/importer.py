@@ -145,6 +145,15 @@ def mark_repeats(gated: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
+def decision_table(conversations: DataFrame, path: str, ledger: DataFrame | None = None,
+                   after: str | None = None, before: str | None = None) -> DataFrame:
+    """Decisions on all conversations, written to ``path`` so that every later step reads the result of
+    one walk over the message trees."""
+    gated = gate_conversations(with_user_text(walk_messages(conversations)), ledger, after, before, repeats=False)
+    gated.write.mode("overwrite").parquet(path)
+    return mark_repeats(conversations.sparkSession.read.parquet(path))
+
+
 def _place_order() -> list:
     return [F.col("create_time").asc_nulls_first(), F.col("conv_hash").asc(), F.col("file").asc(),
             F.col("position").asc()]
@@ -266,9 +275,7 @@ def run_import(conversations: DataFrame, folder: str, as_of, after: str | None =
     spark = conversations.sparkSession
     below = lambda name: os.path.join(folder, name)
     ledger = read_ledger(spark, below("ledger"))
-    walked = gate_conversations(with_user_text(walk_messages(conversations)), ledger, after, before, repeats=False)
-    walked.write.mode("overwrite").parquet(below("decisions"))
-    decisions = limit_processed(mark_repeats(spark.read.parquet(below("decisions"))), limit)
+    decisions = limit_processed(decision_table(conversations, below("decisions"), ledger, after, before), limit)
     thoughts = extract_thoughts(decisions, fn, max_chars)
     if dry_run:
         return import_cost(import_totals(decisions, thoughts), raw=fn is None)

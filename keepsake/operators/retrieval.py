@@ -67,7 +67,7 @@ def _block_count(rows: int, width: int) -> int:
 def _vectors(df: DataFrame, *extra) -> DataFrame:
     """Usable vectors only: present, not zero, no NaN."""
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return df.where(F.col("embedding").isNotNull()).where(norm > 0).where(~F.isnan(norm)).select(
+    return df.where(F.col("embedding").isNotNull()).where(F.nanvl(norm, F.lit(0.0)) > 0).select(
         "id", "embedding", *extra)
 
 

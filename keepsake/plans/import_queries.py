@@ -11,7 +11,7 @@ from keepsake.sources import imports, sinks
 
 
 def _decisions(t, **options):
-    return importer.gate_conversations(importer.with_user_text(importer.walk_messages(A.chat_export(t))), **options)
+    return importer.decision_table(A.chat_export(t), fresh_path(t.spark, "decisions"), **options)
 
 
 def _ledger(t):

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keepsake.functions.text import TAG_KEYS, merge_metadata, strip, tag_text
 from keepsake.operators.hooks import embed, tag
-from keepsake.operators.importer import extract_thoughts, gate_conversations, walk_messages, with_user_text
+from keepsake.operators.importer import decision_table, extract_thoughts
 from keepsake.operators.state import latest_edit
 from keepsake.sources.chat_export import parse_export_files
 from keepsake.sources.sinks import ledger_rows, read_ledger
@@ -124,7 +124,7 @@ def import_incremental(texts: DataFrame, out: str, checkpoint: str, as_of, summa
 
     ``texts`` is a stream of ``file, value`` such as ``export_texts``. Per batch: parse, gate against
     the ledger, summarise, embed, store thoughts, then record finished conversations. Every batch
-    writes its own folders below ``out`` (thoughts, ledger), so repeating a batch after a failure
+    writes its own folders below ``out`` (decisions, thoughts, ledger), so repeating a batch after a failure
     stores nothing twice.
     """
     spark = texts.sparkSession
@@ -132,7 +132,7 @@ def import_incremental(texts: DataFrame, out: str, checkpoint: str, as_of, summa
     def store(batch: DataFrame, batch_id: int) -> None:
         here = lambda kind: os.path.join(out, kind, f"batch={batch_id}")
         earlier = _ledger_before(spark, out, batch_id)
-        decided = gate_conversations(with_user_text(walk_messages(parse_export_files(batch))), earlier)
+        decided = decision_table(parse_export_files(batch), here("decisions"), earlier)
         rows = embed(extract_thoughts(decided, summariser), embedder, dim=dim)
         stored = (F.col("content").isNull() | (F.col("embedding").isNotNull() & (F.size("embedding") > 0)))
         rows.withColumn("ok", stored).write.mode("overwrite").parquet(here("thoughts"))

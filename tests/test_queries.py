@@ -38,6 +38,9 @@ def table(columns, rows):
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_agrees_with_sql(spark, duck, name):
     df = all_queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert costly not in plan
     found = table(df.columns, [tuple(r) for r in df.collect()])
     if name in all_sql():
         answer = duck.execute(all_sql()[name])
