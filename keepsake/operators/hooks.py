@@ -57,7 +57,7 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list] | None = None, text: st
             return pd.Series(list(fn([t[:max_chars] for t in s])), index=s.index)
 
         return df.withColumn("embedding", vectors(F.coalesce(F.col(text), F.lit(""))))
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+")
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\W+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim)
     unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))

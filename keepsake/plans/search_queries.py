@@ -160,7 +160,9 @@ def chunk_coverage(t):
     return chunks.groupBy("doc_id").agg(F.sum(size).alias("characters"))
 
 
-@query("embed_documents")
+@query("embed_documents", r"""
+  SELECT doc_id, CASE WHEN regexp_matches(text, '[\pL\pN_]') THEN 64 END AS dim,
+         CASE WHEN regexp_matches(text, '[\pL\pN_]') THEN 1.0::DOUBLE END AS norm FROM documents""")
 def embed_documents(t):
     """Default (hashing) embedder over whole documents: the vectors are unit length."""
     docs = embed(t.read("documents").select("doc_id", "text"), text="text")

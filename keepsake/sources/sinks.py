@@ -13,14 +13,28 @@ from keepsake.functions.dates import moment
 LEDGER_SCHEMA = "conv_hash string, ingested_at timestamp"
 
 
-def write_thoughts(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+def promote_keys(df: DataFrame, keys: tuple[str, ...] = ("source", "type")) -> DataFrame:
+    """Repeat frequent metadata keys as text columns, which Parquet statistics can filter.
+
+    Pass them to a search as ``promoted={"source": "source"}``.
+    """
+    for key in keys:
+        if key not in df.columns:
+            df = df.withColumn(key, F.get_json_object("metadata", f"$.{key}"))
+    return df
+
+
+def write_thoughts(df: DataFrame, path: str, promote: tuple[str, ...] = ("source", "type")) -> tuple[DataFrame, DataFrame]:
     """Append thoughts; a row without an embedding is rejected. Returns (accepted, rejected).
 
     Accepted and rejected rows go to two partition folders of one write, so that embeddings (the
-    expensive part of the plan) are computed once.
+    expensive part of the plan) are computed once. ``promote`` names the metadata keys stored as
+    columns as well.
     """
     accepted = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     outcome = F.when(accepted, "accepted").otherwise("rejected")
+    if "metadata" in df.columns:
+        df = promote_keys(df, promote)
     df.withColumn("outcome", outcome).write.mode("append").partitionBy("outcome").parquet(path)
     table = df.sparkSession.read.parquet(path)
     part = lambda name: table.where(F.col("outcome") == name).drop("outcome")

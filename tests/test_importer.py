@@ -293,3 +293,14 @@ def test_direct_captures(spark):
     found = {r.content: json.loads(r.metadata) for r in imports.captures_to_thoughts(df).collect()}
     assert found["Decision: go. Owner: Ann."]["topics"] == ["work"] and found["Decision: go. Owner: Ann."]["people"] == ["Ann"]
     assert found["plain"]["topics"] == ["uncategorized"] and len(found) == 2
+
+
+def test_promoted_keys_reach_the_scan(spark, tmp_path):
+    from keepsake.operators.retrieval import match_thoughts
+    rows = [(i, f"t{i}", '{"source":"%s","type":"idea"}' % ("slack" if i % 2 else "gmail"), [1.0, float(i)], None) for i in range(6)]
+    df = spark.createDataFrame(rows, "id int, content string, metadata string, embedding array<float>, created_at timestamp")
+    stored, _ = sinks.write_thoughts(df, str(tmp_path / "t"))
+    found = match_thoughts(stored, [1.0, 0.0], threshold=0.0, filter={"source": "slack"}, promoted={"source": "source"})
+    assert [r.id for r in found.collect()] == [1, 3, 5]
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line)
+    assert "EqualNullSafe(source,slack)" in scan and "outcome" in scan.split("PartitionFilters:")[1]
