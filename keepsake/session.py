@@ -36,17 +36,22 @@ def build_session(app: str = "keepsake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_FALLBACK: dict[str, str] = {}  # application id -> temporary folder, only where none is configured
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a single machine) is a temporary one made and
-    recorded in the session, so that all later callers agree on it.
+    Only when the session names none (tests, a single machine) a temporary one is made, once per
+    application.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="keepsake-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
-    return configured
+    if configured:
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="keepsake-")
+    return _FALLBACK[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
