@@ -31,11 +31,15 @@ def slack_events(payloads: DataFrame) -> DataFrame:
 
 
 def discord_events(messages: DataFrame) -> DataFrame:
-    """Messages of a Discord server in the same shape, plus the fields its metadata keeps."""
+    """Messages of a Discord server in the same shape, plus the fields its metadata keeps.
+
+    ``ts`` names a version of a message, so that an edit is not taken for a redelivery.
+    """
     nothing = F.lit(None).cast("string")
+    version = F.unix_micros(F.coalesce("edited_at", "timestamp")).cast("string")
     return messages.select(
         F.lit("message").alias("type"), nothing.alias("subtype"), nothing.alias("bot_id"), "channel",
-        F.col("content").alias("text"), F.col("message_id").alias("ts"),
+        F.col("content").alias("text"), F.concat_ws(":", "message_id", version).alias("ts"),
         F.col("timestamp").alias("event_time"), "server", "author", "message_id", "edited_at")
 
 

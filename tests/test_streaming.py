@@ -68,6 +68,13 @@ def test_discord_messages(spark):
         "source": "discord", "server": "srv", "channel": "general", "author": "ann", "timestamp": "2024-01-01T00:00:00Z"}
 
 
+def test_an_edit_is_no_redelivery(spark):
+    at = lambda second: datetime(2024, 1, 1, 0, 0, second)
+    rows = [("1", "srv", "c", "ann", "first", at(0), None), ("1", "srv", "c", "ann", "first", at(0), None), ("1", "srv", "c", "ann", "edited", at(0), at(9))]
+    events = source.discord_events(spark.createDataFrame(rows, source.DISCORD_MESSAGE))
+    assert sorted(r.text for r in capture.dedup_retries(events).collect()) == ["edited", "first"]
+
+
 def test_edits_over_batches(spark, tmp_path):
     folder, table = str(tmp_path / "in"), str(tmp_path / "table")
     line = lambda i, at, text: {"message_id": i, "server": "s", "channel": "c", "author": "a", "content": text, "timestamp": "2024-01-01T00:00:00",
