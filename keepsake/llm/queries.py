@@ -14,7 +14,8 @@ from keepsake.session import fresh_path
 def op1_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document in ORC files, read back."""
     path = fresh_path(spark, "token-orc")
-    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.PATTERN)
     return token_files.token_digests(spark, path)
 
 

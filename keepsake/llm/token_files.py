@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,32 +15,37 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import whole
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
-CACHE_PIECES = 300_000
-CHUNK_CHARS = 4_000_000
+KNOWN_PIECES = 300_000
+CHUNK_CHARS = 1_000_000
+ENCODE_AT_ONCE = 2_000
 
 
 class PieceEncoder:
     """Encodes texts with the tokenizers library, one distinct piece at a time.
 
-    A byte-level vocabulary splits a text into pre-tokens before merging, and a single space between two other
-    characters always starts a new one. So a text can be cut there, each distinct piece encoded once and the ids
-    joined; the result is that of encoding the whole text. Where white space meets the cut, no cut is made.
+    A byte-level vocabulary splits a text into pre-tokens (``pattern``) before merging, and a single space between
+    two other characters always starts a new one. So a text can be cut there, each distinct piece encoded once and
+    the ids joined; the result is that of encoding the whole text. Where white space meets the cut, no cut is made.
+    A new piece is cut into its pre-tokens, and each distinct pre-token is given to the library once. What is known
+    is forgotten at ``limit`` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_PIECES):
+    def __init__(self, path: str, pattern: str, limit: int = KNOWN_PIECES):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.pretokens = regex.compile(pattern).findall
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.pieces_known: dict[str, bytes] = {}
+        self.pretokens_known: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         raw = text.split(" ")
         if len(raw) == 1:
             return raw if text else []
-        if all(w and not (w[0].isspace() or w[-1].isspace()) for w in raw):
-            return [raw[0], *[" " + w for w in raw[1:]]]
         out = [raw[0]]
         for w in raw[1:]:
             if w and not w[0].isspace() and out[-1] and not out[-1][-1].isspace():
@@ -48,16 +54,39 @@ class PieceEncoder:
                 out[-1] += " " + w
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.pretokens_known) > self.limit:
+            self.pretokens_known.clear()
+        known = self.pretokens_known
+        cut = [[p] if any(s in p for s in self.specials) else self.pretokens(p) for p in pieces]
+        new = list({w for words in cut for w in words if w not in known})
+        for i in range(0, len(new), ENCODE_AT_ONCE):
+            some = new[i:i + ENCODE_AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for p, words in zip(pieces, cut):
+            self.pieces_known[p] = b"".join([known[w] for w in words])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.pieces_known) > self.limit:
+            self.pieces_known.clear()
+        known = self.pieces_known
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        new = {p for pieces in cut for p in pieces if p not in known}
+        if new:
+            self._learn(list(new))
+        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+
+
+_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}  # of this Python worker: what it knows serves its later tasks
+
+
+def _encoder(path: str, pattern: str) -> PieceEncoder:
+    if (path, pattern) not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS[path, pattern] = PieceEncoder(path, pattern)
+    return _ENCODERS[path, pattern]
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -71,9 +100,9 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _encode_batches(tokenizer_path: str, end_id: int):
+def _encode_batches(tokenizer_path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = _encoder(tokenizer_path, pattern), np.array([end_id], dtype="<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -93,10 +122,12 @@ def _encode_batches(tokenizer_path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, row_index_stride: int = 1000,
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 2, row_index_stride: int = 1000,
                  stripe_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:
     """Encode every whole text, append ``end_id`` and write the ids as ORC files in ascending doc_id order.
 
+    ``pattern`` is the vocabulary's pre-token pattern.
+
     Rows are range partitioned by doc_id (ties by a hash of the text, null ids last), so file after file and row
     after row ids ascend; each row also has the number of ids before it in its file. Integer columns, the ids
     among them, use ORC's run-length encoding; ``doc_id`` has row indexes every ``row_index_stride`` rows and
@@ -108,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered = (docs.select("doc_id", whole().alias("text"))
                .repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
                .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")))
-    (ordered.mapInArrow(_encode_batches(tokenizer_path, end_id), FILE_SCHEMA)
+    (ordered.mapInArrow(_encode_batches(tokenizer_path, pattern, end_id), FILE_SCHEMA)
      .write.option("compression", "zstd").option("orc.create.index", "true")
      .option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes))
      .option("orc.rows.between.memory.checks", str(row_index_stride))

@@ -17,7 +17,7 @@ TEXTS = ["", " ", "one", "one two", " lead", "trail ", "two  spaces", "tab\t x\n
 
 def test_pieces_give_the_ids_of_the_whole_text():
     whole = Tokenizer.from_file(PATH)
-    encoder = token_files.PieceEncoder(PATH, limit=3)
+    encoder = token_files.PieceEncoder(PATH, public_tokenizers.PATTERN, limit=3)
     for _ in range(2):
         for text, found in zip(TEXTS, encoder.encode(TEXTS)):
             assert np.frombuffer(found, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
@@ -41,7 +41,7 @@ def test_op1_query_against_whole_texts(spark, folder_of, documents):
 
 def test_repeated_and_null_ids(spark, documents):
     path = fresh_path(spark, "tokens")
-    token_files.write_tokens(documents([(1, "a b", "s"), (1, "a b", "s"), (1, "c", "s"), (None, "d", "s")]), path, PATH)
+    token_files.write_tokens(documents([(1, "a b", "s"), (1, "a b", "s"), (1, "c", "s"), (None, "d", "s")]), path, PATH, public_tokenizers.PATTERN)
     found = token_files.token_digests(spark, path).collect()
     assert len(found) == 4
     at = 0
@@ -53,13 +53,13 @@ def test_repeated_and_null_ids(spark, documents):
 
 def test_empty_table_and_extra_columns(spark, documents):
     path = fresh_path(spark, "tokens")
-    token_files.write_tokens(documents([]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "part"), path, PATH)
+    token_files.write_tokens(documents([]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "part"), path, PATH, public_tokenizers.PATTERN)
     assert token_files.token_digests(spark, path).count() == 0
 
 
 def test_files_have_stripes_indexes_and_pruned_reads(spark, documents):
     path = fresh_path(spark, "tokens")
-    token_files.write_tokens(documents([(i, f"text number {i} of many", "s") for i in range(9000)]), path, PATH,
+    token_files.write_tokens(documents([(i, f"text number {i} of many", "s") for i in range(9000)]), path, PATH, public_tokenizers.PATTERN,
                              stripe_bytes=4096, row_index_stride=1000)
     files = spark.read.orc(path).inputFiles()
     assert any(orc.ORCFile(f.removeprefix("file://")).nstripes > 1 for f in files)
