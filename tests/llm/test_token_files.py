@@ -12,12 +12,12 @@ from keepsake.session import fresh_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", " ", "one", "one two", " lead", "trail ", "two  spaces", "tab\t x\n y", "it's we'll <|endoftext|> end",
-         "né  ü   x", "a" * 3000, "12 345,67 $% --", "\n\n a\n\n", "x \ty", "漢字 かな 🙂 🙂"]
+         "né  ü   x", "a" * 3000, "12 345,67 $% --", "\n\n a\n\n", "x \ty", "漢字 かな 🙂 🙂", "x² ½ ª\xa0y\x85 \x1c z_", "Ünï’s I'LL they're"]
 
 
-def test_pieces_give_the_ids_of_the_whole_text():
+def test_pretokens_give_the_ids_of_the_whole_text():
     whole = Tokenizer.from_file(PATH)
-    encoder = token_files.PieceEncoder(PATH, public_tokenizers.PATTERN, limit=3)
+    encoder = token_files.PretokenEncoder(PATH, public_tokenizers.PATTERN, limit=3)
     for _ in range(2):
         for text, found in zip(TEXTS, encoder.encode(TEXTS)):
             assert np.frombuffer(found, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
