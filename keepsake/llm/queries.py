@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import mixing, token_files
+from keepsake.llm import mixing, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -26,5 +26,14 @@ def op6_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op6_pivotal_mix)}
+def op9_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels are learned outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(toxicity.in_training_fold("doc_id"))
+    scored = toxicity.score_documents(docs, toxicity.train(docs, labels), ["doc_id"])
+    return scored.select("doc_id", F.coalesce(~toxicity.in_training_fold("doc_id"), F.lit(False)).alias("held_out"),
+                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op6_pivotal_mix, op9_compression_toxicity)}
 SQL: dict[str, str] = {}
