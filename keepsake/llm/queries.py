@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import mixing, token_files, toxicity
+from keepsake.llm import decontamination, mixing, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -19,6 +19,11 @@ def op1_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op5_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    return decontamination.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words each document gives to a mix of all sources."""
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
@@ -35,5 +40,5 @@ def op9_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op6_pivotal_mix, op9_compression_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity)}
 SQL: dict[str, str] = {}

@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     ids = docs.sparkSession.createDataFrame([(i, side) for side in picked for i in picked[side]], "id long, side int")
     rows = (docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"])  # at most 2 * sample_rows ids
             .where(F.length(docs["text"]) <= sample_chars)
-            .select(docs["doc_id"].alias("id"), "side", docs["text"].alias("text")).collect())
+            .select(docs["doc_id"].alias("id"), ids["side"], docs["text"].alias("text")).collect())
     rows = sorted({(r["id"], r["side"], r["text"]) for r in rows})[:2 * sample_rows]
     texts = {side: [t for _, s, t in rows if s == side] for side in (0, 1)}
     return fit(texts[1], texts[0], n.get(1, 0) / max(1, sum(n.values())))
