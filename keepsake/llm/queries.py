@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, mixing, token_files, toxicity
+from keepsake.llm import decontamination, mixing, quality_model, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -40,5 +40,11 @@ def op9_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity)}
+def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by a scorer trained on weighted votes."""
+    return quality_model.score_quality(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_orc, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity, op10_weak_label_quality)}
 SQL: dict[str, str] = {}
