@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, mixing, quality_model, token_files, toxicity
+from keepsake.llm import decontamination, line_rules, mixing, quality_model, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -19,6 +19,13 @@ def op1_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents stay once lines shared by many documents of their source are removed."""
+    return line_rules.apply_line_rules(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_words_left")
+
+
 def op5_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     return decontamination.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -46,5 +53,5 @@ def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_orc, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity, op10_weak_label_quality)}
-SQL: dict[str, str] = {}
+    op1_token_orc, op2_line_frequency, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity, op10_weak_label_quality)}
+SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL}
