@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, line_rules, mixing, quality_model, token_files, toxicity
+from keepsake.llm import decontamination, line_rules, mixing, personal_data, quality_model, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -26,6 +26,14 @@ def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
         "n_words_left")
 
 
+def op4_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    found = personal_data.find_personal_data(table(spark, folder, "documents"))
+    counts = [personal_data.count_of("base", kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        personal_data.listed(F.col("spans")).alias("spans"))
+
+
 def op5_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     return decontamination.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -53,5 +61,5 @@ def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_orc, op2_line_frequency, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity, op10_weak_label_quality)}
+    op1_token_orc, op2_line_frequency, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity, op10_weak_label_quality)}
 SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL}

@@ -32,7 +32,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_line_rules_on_odd_rows(spark, folder_of, documents):
     common = "Share this page  with 12 friends"
-    rows = [(i, f"{common.replace('12', str(i))}\nown text of {chr(97 + i % 26) * (i + 1)} " + "x y z " * 3 + "k l m n o p q r", "h") for i in range(40)]
+    rows = [(i, f"{common.replace('12', str(i))}\nown text of {chr(97 + i % 26) * (i + 1)} " + "e f g h i j k l m n o p q r", "h") for i in range(40)]
     rows += [(100 + i, f"{common}\n{common.upper()}\nfew words here only {i}", "h") for i in range(3)]
     rows += [(200, None, "h"), (201, "", None), (202, " \t\n", "h"), (203, "a b c d e " * 5, "h"), (203, "a b c d e " * 5, "h"),
              (204, "é 漢字 🙂 " + "w1 w2 w3 w4 w5 w6 x w1 w2 w3 w4 w5 w6 #*|<\n\nx\nx\ny\r\nx", None), (None, "k " * 9, "h"),
