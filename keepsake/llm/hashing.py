@@ -24,14 +24,30 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A word is a run of ASCII letters, digits and non-ASCII characters.
     """
-    parts = [t.lower().encode("utf-8", "replace") for t in texts]
+    return _hashes([t.lower().encode("utf-8", "replace") for t in texts], WORD_BYTES, None)
+
+
+SPACED_BYTES = np.ones(256, dtype=bool)
+SPACED_BYTES[[*b" \t\n\x0b\x0c\r"]] = False
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[65:91] += 32
+
+
+def spaced_word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words cut at ASCII white space, of which only A-Z are lower-cased."""
+    return _hashes([t.encode("utf-8", "surrogatepass") for t in texts], SPACED_BYTES, ASCII_LOWER)
+
+
+def _hashes(parts: list[bytes], word_bytes: np.ndarray, fold: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)
+    if fold is not None:
+        data = fold[data]
     ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-    inside = WORD_BYTES[data]
+    inside = word_bytes[data]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(parts) + 1, dtype=np.int64)
     letters = np.flatnonzero(inside)
     word = np.repeat(np.arange(len(starts)), stops - starts)
     values = (data[letters].astype(np.uint64) + np.uint64(1)) * _BASE[(letters - starts[word]) % _POWERS]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, line_rules, mixing, personal_data, quality_model, token_files, toxicity
+from keepsake.llm import decontamination, jaccard_join, line_rules, mixing, personal_data, quality_model, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -46,6 +46,11 @@ def op6_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
+def op7_vertical_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 4-word shingles agree by 85%."""
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
 def op9_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels are learned outside the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -61,5 +66,5 @@ def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_orc, op2_line_frequency, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op9_compression_toxicity, op10_weak_label_quality)}
+    op1_token_orc, op2_line_frequency, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op9_compression_toxicity, op10_weak_label_quality)}
 SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL}
