@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, jaccard_join, line_rules, mixing, personal_data, quality_model, token_files, toxicity
+from keepsake.llm import decontamination, jaccard_join, line_rules, mixing, personal_data, quality_model, repeats, token_files, toxicity
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -26,6 +26,14 @@ def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
         "n_words_left")
 
 
+def op3_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without byte strings of 100 that came before."""
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op4_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     found = personal_data.find_personal_data(table(spark, folder, "documents"))
@@ -66,5 +74,5 @@ def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_orc, op2_line_frequency, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op9_compression_toxicity, op10_weak_label_quality)}
+    op1_token_orc, op2_line_frequency, op3_deep_shallow, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op9_compression_toxicity, op10_weak_label_quality)}
 SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL}
