@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, jaccard_join, line_rules, mixing, personal_data, quality_model, repeats, token_files, toxicity
+from keepsake.llm import (decontamination, jaccard_join, line_rules, mixing, personal_data, quality_model, repeats, token_files,
+                          tool_calls, toxicity)
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -59,6 +60,11 @@ def op7_vertical_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, folder, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as linked tool calls and results."""
+    return tool_calls.link_calls(*tool_calls.turns_as_calls(table(spark, folder, "conversations")), {"ask": tool_calls.ASK})
+
+
 def op9_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels are learned outside the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -74,5 +80,6 @@ def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_orc, op2_line_frequency, op3_deep_shallow, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op9_compression_toxicity, op10_weak_label_quality)}
-SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL}
+    op1_token_orc, op2_line_frequency, op3_deep_shallow, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op8_tool_calls,
+    op9_compression_toxicity, op10_weak_label_quality)}
+SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL, "op8_tool_calls": tool_calls.SQL}
