@@ -59,14 +59,14 @@ class Order:
 
 
 def _batches(docs: DataFrame, work, schema: str) -> DataFrame:
-    """``work(ids, sets)`` for each batch of documents, giving arrow arrays in the order of ``schema``."""
+    """``work(ids, versions, texts)`` for each batch of documents, giving arrow arrays in the order of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
+            texts, ids, versions = batch.column(2).to_pylist(), batch.column(0), batch.column(1)
             for a, b in text_chunks(texts, 8_000_000):
-                yield pa.RecordBatch.from_arrays(work(ids.slice(a, b - a), texts[a:b]), names=names)
+                yield pa.RecordBatch.from_arrays(work(ids.slice(a, b - a), versions.slice(a, b - a), texts[a:b]), names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -74,7 +74,7 @@ def _batches(docs: DataFrame, work, schema: str) -> DataFrame:
 def _describe(n: int):
     """Rows of two kinds: a document with its set's id and size, or an n-gram that several sets of a batch hold."""
 
-    def work(ids, texts):
+    def work(ids, versions, texts):
         sets = list(ngram_sets(texts, n))
         keys = [set_id(s) for s in sets]
         once = list({k: s for k, s in zip(keys, sets)}.values())
@@ -82,7 +82,7 @@ def _describe(n: int):
         often = counts >= FREQUENT_LOCAL
         grams, counts = grams[often].view(np.int64), counts[often].astype(np.int64)
         none, few = pa.nulls(len(grams), pa.int64()), pa.nulls(len(keys), pa.int64())
-        return [pa.concat_arrays([ids.cast(pa.int64()), none]), pa.concat_arrays([pa.array(keys, pa.int64()), none]),
+        return [pa.concat_arrays([ids, none]), pa.concat_arrays([versions, none]), pa.concat_arrays([pa.array(keys, pa.int64()), none]),
                 pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), none]),
                 pa.concat_arrays([few, pa.array(grams)]), pa.concat_arrays([few, pa.array(counts)])]
 
@@ -92,7 +92,7 @@ def _describe(n: int):
 def _prefixes(n: int, percent: int, order):
     """The first n-grams of each set in the global order: two sets that link share one of them."""
 
-    def work(ids, texts):
+    def work(ids, versions, texts):
         sets = {set_id(s): s for s in ngram_sets(texts, n) if len(s)}
         grams, owners, sizes = [], [], []
         for key, s in sets.items():
@@ -111,7 +111,7 @@ def _prefixes(n: int, percent: int, order):
 def _fragments(n: int, order, wanted):
     """The sets of the wanted documents, cut along the global order."""
 
-    def work(ids, texts):
+    def work(ids, versions, texts):
         rows = {}
         for s in ngram_sets(texts, n):
             if len(s) and _in(wanted.value, key := set_id(s)) and key not in rows:
@@ -144,7 +144,8 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest doc_id that links lead to.
+    """One row per row of ``docs``: ``doc_id, version`` (hash of the text), ``n_shingles,
+    component_id``, the smallest doc_id that links lead to.
 
     Texts link when 100 * common n-grams >= ``percent`` * all n-grams of both. Words are cut at ASCII white space
     and lower-cased in A-Z; a text with fewer than n words has one shingle, one without words none and no links.
@@ -161,9 +162,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     class and each give a row. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole(docs["text"]).alias("text"))
-    seen = written(_batches(source, _describe(n), "doc_id long, sid long, size long, gram long, n long"), "sets")
-    rows, grams = seen.where("gram is null").select("doc_id", "sid", "size"), seen.where("gram is not null")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole(docs["text"])).alias("version"),
+                         whole(docs["text"]).alias("text"))
+    seen = written(_batches(source, _describe(n), "doc_id long, version long, sid long, size long, gram long, n long"), "sets")
+    rows, grams = seen.where("gram is null").select("doc_id", "version", "sid", "size"), seen.where("gram is not null")
     frequent = (grams.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_GLOBAL)
                 .orderBy(F.desc("n"), "gram").limit(FREQUENT_KEPT).toPandas())  # at most FREQUENT_KEPT n-grams
     found = frequent["gram"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -216,10 +218,24 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         classes = rows.join(roots, rows["sid"] == roots["node"], "left").select(rows["*"], F.coalesce("root", "sid").alias("class"))
     smallest = classes.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     joined = classes.join(smallest, "class", "left")
-    return joined.select("doc_id", F.col("size").alias("n_shingles"),
+    return joined.select("doc_id", "version", F.col("size").alias("n_shingles"),
                          F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, all its columns unchanged; of rows alike in
+    doc_id and text one. Documents without words are in no component and all stay. Rows without a doc_id can't name
+    a component: one made of such rows only keeps each different text."""
+    found = jaccard_components(docs, n, percent)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("id"), F.col("version").alias("of")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
+                       F.xxhash64(whole(docs["text"])).alias("version"))
+    met = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["version"] == kept["of"]), "left_semi")
+    alike = Window.partitionBy("doc_id", "version").orderBy("doc_id")
+    return met.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")
+
+
 def _pieces(source: DataFrame, n: int, order, needed: DataFrame) -> DataFrame:
     """``sid, fragment, grams`` of the sets in ``needed``, each once."""
     needed = written(needed.distinct(), "needed")

@@ -57,7 +57,7 @@ def op6_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_vertical_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 4-word shingles agree by 85%."""
-    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+    return jaccard_join.jaccard_components(table(spark, folder, "documents")).drop("version")
 
 
 def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:

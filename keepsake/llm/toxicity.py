@@ -189,6 +189,20 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
     return kept.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The documents that score below ``threshold``, all their columns unchanged. A null or empty text stays
+    unless toxic texts are the rule."""
+    model = train(docs, labels, **options)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def in_training_fold(doc_id) -> object:
     """Rows whose crc32 of the id as text leaves a remainder other than 2 by 4."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
