@@ -156,7 +156,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     list whose entries have come together needs no more pairs, and in the end every pair of a list is either
     compared or in one component, so no link is lost and no list is squared that holds one group. Compared
     pairs are counted by vertical partitioning: sets are cut into fragments along the global order, each fragment
-    counts its partial overlaps by itself, and the counts are summed per pair.
+    counts its partial overlaps by itself, and the counts are summed per pair. The first n-grams are counted
+    first; most pairs can't link any more after that, and only the sets of the others are cut.
 
     Null text: no words. Null doc_id: a row of its own that never names a component. Repeated rows are in one
     class and each give a row. An empty table gives no rows; other columns are ignored.
@@ -175,6 +176,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     lists = _batches(source, _prefixes(n, percent, order), "gram long, sid long, size long").repartition("gram").distinct()
     lists = written(lists.withColumn("at", F.row_number().over(one_list.orderBy(F.xxhash64("sid"), "sid")))
                     .withColumn("n", F.count(F.lit(1)).over(one_list)).where("n > 1").drop("n"), "lists")
+    fronts = written(lists.groupBy("sid").agg(F.collect_list("gram").alias("front")), "fronts")
     links, roots, pieces, low, high = [], None, None, 0, 1
     while True:
         open_lists = lists.withColumn("root", F.col("sid"))
@@ -191,7 +193,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         pairs = left.join(pivots, "gram").where(
             (F.col("at_a") > F.col("at_b")) & (F.col("root_a") != F.col("root_b"))
             & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")))
-        pairs = written(pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes")).distinct(), "pairs")
+        pairs = _possible(pairs.select("a", "b", "size_a", "size_b").distinct(), fronts, percent)
+        pairs = written(pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes")), "pairs")
         if pairs.isEmpty():
             if open_lists.isEmpty():
                 break
@@ -236,6 +239,19 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> D
     return met.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")
 
 
+def _possible(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can still link once the first fragment, their first n-grams, is counted.
+
+    Of the n-grams that two sets share, those among the first of the set whose first part ends earlier are among the
+    first of the other too. So the rest of either set is all that can be added to what the first parts share.
+    """
+    one, two = fronts.toDF("a", "front_a"), fronts.toDF("b", "front_b")
+    first = lambda size: size - F.ceil(percent * size / 100) + 1
+    rest = F.greatest(F.col("size_a") - first(F.col("size_a")), F.col("size_b") - first(F.col("size_b")))
+    most = F.size(F.array_intersect("front_a", "front_b")) + rest
+    return pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b")))
+
+
 def _pieces(source: DataFrame, n: int, order, needed: DataFrame) -> DataFrame:
     """``sid, fragment, grams`` of the sets in ``needed``, each once."""
     needed = written(needed.distinct(), "needed")
