@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm.common import same, word_count, written
 
-MESSAGES = ("conv_id long, call_id string, level long, turn long, role string, status string, problem string, json string")
+MESSAGES = ("conv_id long, call_id string, after long, level long, turn long, role string, status string, problem string, json string")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -58,33 +58,55 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def dependency_levels(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level``: 0 without dependencies, else one more than the highest of them; null in and behind
-    cycles. ``calls`` has ``conv_id, call_id, depends_on`` (array); unknown dependencies don't count.
+def dependency_order(calls: DataFrame) -> DataFrame:
+    """``conv_id, call_id, after, level``: sorted by ``after`` and then ``level``, every call comes behind what it needs.
 
-    One round per level, each a join on conversation and call, so a hot conversation is spread like any other.
+    ``calls`` has ``conv_id, call_id, turn, depends_on`` (array of call ids); unknown ones don't count. ``after`` is the latest
+    turn among a call and all it needs, so calls that need earlier ones only, as nearly all do, are in order by
+    their own turn and take no further step however long their chain is. ``level`` orders calls with equal ``after``
+    that need each other; it is null in a cycle and, at the same ``after``, behind one. Steps are joins on conversation
+    and call, so a hot conversation is spread like any other; their number grows with the longest run of
+    calls that wait for later turns.
     """
-    nodes = written(calls.select("conv_id", "call_id").distinct(), "calls")
+    place = F.coalesce(F.col("turn"), F.lit(-1 << 62)).cast("long")
+    nodes = written(calls.groupBy("conv_id", "call_id").agg(F.min(place).alias("after")), "calls")
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
-    known = nodes.select(F.col("conv_id").alias("of"), F.col("call_id").alias("needs"))
-    edges = written(edges.join(known, edges["conv_id"].eqNullSafe(known["of"]) & (edges["needs"] == known["needs"]), "left_semi"), "needs")
-    levels, rest, level = None, nodes, 0
+    known = nodes.select(F.col("conv_id").alias("of"), F.col("call_id").alias("known"))
+    edges = written(edges.join(known, edges["conv_id"].eqNullSafe(known["of"]) & (edges["needs"] == known["known"]), "left_semi"), "needs")
+
+    def with_places(own: DataFrame) -> DataFrame:
+        """The edges with the ``after`` of both ends."""
+        needed = own.select(F.col("conv_id").alias("of"), F.col("call_id").alias("known"), F.col("after").alias("needed_after"))
+        both = edges.join(own, same(edges, own, "conv_id", "call_id")).select(edges["*"], own["after"])
+        return both.join(needed, both["conv_id"].eqNullSafe(needed["of"]) & (both["needs"] == needed["known"])).drop("of", "known")
+
     while True:
+        raised = written(with_places(nodes).where("needed_after > after").groupBy("conv_id", "call_id").agg(
+            F.max("needed_after").alias("raised")), "raised")
+        if raised.isEmpty():
+            break
+        nodes = written(nodes.join(raised, same(nodes, raised, "conv_id", "call_id"), "left").select(
+            nodes["conv_id"], nodes["call_id"], F.coalesce("raised", "after").alias("after")), "calls")
+    edges = written(with_places(nodes).where("needed_after = after").select("conv_id", "call_id", "needs"), "needs")
+    tied = written(edges.select("conv_id", "call_id").distinct(), "rest")
+    levels, rest, level = nodes.join(tied, same(nodes, tied, "conv_id", "call_id"), "left_anti").withColumn("level", F.lit(0).cast("long")), tied, 1
+    ready = levels.select("conv_id", "call_id")
+    while not rest.isEmpty():
+        met = ready.select(F.col("conv_id").alias("of"), F.col("call_id").alias("done"))
+        edges = written(edges.join(met, edges["conv_id"].eqNullSafe(met["of"]) & (edges["needs"] == met["done"]), "left_anti"), "needs")
         ready = written(rest.join(edges, same(rest, edges, "conv_id", "call_id"), "left_anti"), "ready")
         if ready.isEmpty():
             break
-        done = ready.withColumn("level", F.lit(level).cast("long"))
-        levels = done if levels is None else levels.unionByName(done)
+        done = nodes.join(ready, same(nodes, ready, "conv_id", "call_id"), "left_semi").withColumn("level", F.lit(level).cast("long"))
+        levels = levels.unionByName(done)
         rest = written(rest.join(ready, same(rest, ready, "conv_id", "call_id"), "left_anti"), "rest")
-        met = ready.select(F.col("conv_id").alias("of"), F.col("call_id").alias("done"))
-        edges = written(edges.join(met, edges["conv_id"].eqNullSafe(met["of"]) & (edges["needs"] == met["done"]), "left_anti"), "needs")
         level += 1
-    rest = rest.withColumn("level", F.lit(None).cast("long"))
-    return rest if levels is None else levels.unionByName(rest)
+    blocked = nodes.join(rest, same(nodes, rest, "conv_id", "call_id"), "left_semi").withColumn("level", F.lit(None).cast("long"))
+    return levels.unionByName(blocked).withColumn("after", F.when(F.col("after") > -1 << 62, F.col("after")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per message, a call or a result, ordered by ``conv_id, level, turn, call_id, role``.
+    """One row per message, a call or a result, ordered by ``conv_id, after, level, turn, call_id, role``.
 
     ``calls``: ``conv_id, turn, call_id, name, arguments`` (JSON text), ``depends_on`` (array of call ids). ``results``:
     ``conv_id, turn, call_id, content``. ``status`` is ``linked``, ``no_result``, ``orphan`` (a result without its
@@ -102,32 +124,32 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     first = named.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n"))
     given = results.where("call_id is not null").groupBy(*key).agg(
         F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("m"))
-    levels = dependency_levels(first.select(*key, F.col("c.depends_on").alias("depends_on")))
+    order = dependency_order(first.select(*key, "c.turn", "c.depends_on"))
     pair = (first.join(given, same(first, given, *key), "left")
             .select(first["conv_id"], first["call_id"], "c", "n", "r", "m"))
-    pair = written(pair.join(levels, same(pair, levels, *key)).select(pair["*"], "level"), "linked-calls")
+    pair = written(pair.join(order, same(pair, order, *key)).select(pair["*"], "after", "level"), "linked-calls")
     status = F.when(F.col("r").isNull(), "no_result").otherwise("linked")
     blank = F.lit(None).cast("string")
 
     def message(df, level, turn, role, status, name=blank, payload=blank):
-        return df.select("conv_id", "call_id", level.cast("long").alias("level"), turn.cast("long").alias("turn"),
+        return df.select("conv_id", "call_id", *(c.cast("long").alias(n) for n, c in zip(("after", "level"), level)), turn.cast("long").alias("turn"),
                          F.lit(role).alias("role"), status.alias("status"), name.alias("name"), payload.alias("payload"))
 
-    no_level = F.lit(None)
+    own, no_level = (F.col("after"), F.col("level")), (F.lit(None), F.lit(None))
     orphans = results.join(first, same(results, first, *key), "left_anti").where("call_id is not null")
-    messages = message(pair, F.col("level"), F.col("c.turn"), "assistant", status, F.col("c.name"), F.col("c.arguments"))
-    more = [message(pair.where("r is not null"), F.col("level"), F.col("r.turn"), "tool", F.lit("linked"), payload=F.col("r.content")),
+    messages = message(pair, own, F.col("c.turn"), "assistant", status, F.col("c.name"), F.col("c.arguments"))
+    more = [message(pair.where("r is not null"), own, F.col("r.turn"), "tool", F.lit("linked"), payload=F.col("r.content")),
             message(orphans, no_level, F.col("turn"), "tool", F.lit("orphan"), payload=F.col("content")),
             message(calls.where("call_id is null"), no_level, F.col("turn"), "assistant", F.lit("no_id"), F.col("name"), F.col("arguments")),
             message(results.where("call_id is null"), no_level, F.col("turn"), "tool", F.lit("no_id"), payload=F.col("content"))]
-    extra_calls = named.join(pair.where("n > 1").select(F.col("conv_id").alias("of"), F.col("call_id").alias("id"), "c", "level"),
+    extra_calls = named.join(pair.where("n > 1").select(F.col("conv_id").alias("of"), F.col("call_id").alias("id"), "c", "after", "level"),
                              F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("call_id") == F.col("id")))
     extra_calls = extra_calls.where(~F.struct("turn", "name", "arguments", "depends_on").eqNullSafe(F.col("c")))
-    extra_results = results.join(pair.where("m > 1").select(F.col("conv_id").alias("of"), F.col("call_id").alias("id"), "r", "level"),
+    extra_results = results.join(pair.where("m > 1").select(F.col("conv_id").alias("of"), F.col("call_id").alias("id"), "r", "after", "level"),
                                  F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("call_id") == F.col("id")))
     extra_results = extra_results.where(~F.struct("turn", "content").eqNullSafe(F.col("r")))
-    more += [message(extra_calls, F.col("level"), F.col("turn"), "assistant", F.lit("repeated"), F.col("name"), F.col("arguments")),
-             message(extra_results, F.col("level"), F.col("turn"), "tool", F.lit("repeated"), payload=F.col("content"))]
+    more += [message(extra_calls, own, F.col("turn"), "assistant", F.lit("repeated"), F.col("name"), F.col("arguments")),
+             message(extra_results, own, F.col("turn"), "tool", F.lit("repeated"), payload=F.col("content"))]
     for one in more:
         messages = messages.unionByName(one)
 
@@ -147,8 +169,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 problems.append(found)
                 texts.append(canonical({"role": role, "tool_calls": [{"arguments": value, "id": call_id, "name": name}]}))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("conv_id", "call_id", "level", "turn", "role", "status")), pa.array(problems, pa.string()),
-                 pa.array(texts, pa.string())], names=["conv_id", "call_id", "level", "turn", "role", "status", "problem", "json"])
+                [*(batch.column(k) for k in ("conv_id", "call_id", "after", "level", "turn", "role", "status")), pa.array(problems, pa.string()),
+                 pa.array(texts, pa.string())], names=["conv_id", "call_id", "after", "level", "turn", "role", "status", "problem", "json"])
 
     return messages.mapInArrow(run, MESSAGES)
 
@@ -171,22 +193,20 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 SQL = r"""
-WITH RECURSIVE u AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || turn AS call_id,
+WITH u AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || turn AS call_id,
     len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
     FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
-l AS (SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS
-        (SELECT 1 FROM u b WHERE b.conv_id = u.conv_id AND b.turn = u.turn - 2)
-      UNION ALL SELECT u.conv_id, u.turn, l.level + 1 FROM l JOIN u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2)
-SELECT conv_id, call_id, CAST(level AS BIGINT) AS level, turn, 'assistant' AS role,
+a AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant')
+SELECT conv_id, call_id, turn AS after, CAST(0 AS BIGINT) AS level, turn, 'assistant' AS role,
     CASE WHEN call_id IN (SELECT call_id FROM a) THEN 'linked' ELSE 'no_result' END AS status,
     CASE WHEN length(text) < 1 THEN '$.question: minLength' WHEN length(text) > 200 THEN '$.question: maxLength'
          WHEN words < 1 THEN '$.words: minimum' WHEN words > 40 THEN '$.words: maximum' END AS problem,
     '{"role":"assistant","tool_calls":[{"arguments":{"question":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || words
         || '},"id":"' || call_id || '","name":"ask"}]}' AS json
-FROM u JOIN l USING (conv_id, turn)
+FROM u
 UNION ALL
-SELECT a.conv_id, a.call_id, CAST(l.level AS BIGINT), a.turn, 'tool', CASE WHEN l.level IS NULL THEN 'orphan' ELSE 'linked' END,
-    NULL, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || a.call_id || '"}'
-FROM a LEFT JOIN l ON l.conv_id = a.conv_id AND l.turn = a.turn - 1
+SELECT a.conv_id, a.call_id, u.turn, CASE WHEN u.turn IS NOT NULL THEN CAST(0 AS BIGINT) END, a.turn, 'tool',
+    CASE WHEN u.turn IS NULL THEN 'orphan' ELSE 'linked' END, NULL,
+    '{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || a.call_id || '"}'
+FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
 """

@@ -28,8 +28,8 @@ def test_linking_order_and_odd_rows(spark):
     rows = T.link_calls(calls, results, schema).collect()
     assert len(rows) == 10 + 5
     found = {(r["conv_id"], r["call_id"], r["role"], r["status"]): r for r in rows}
-    levels = {k[1]: r["level"] for k, r in found.items() if k[0] in (1, 2, 4) and k[2] == "assistant"}
-    assert levels == {"c": 0, "b": 1, "a": 2, "p": None, "q": None, "r": None, "s": None}
+    order = {k[1]: (r["after"], r["level"]) for k, r in found.items() if k[0] in (1, 2, 4) and k[2:] != ("assistant", "repeated") and k[2] == "assistant"}
+    assert order == {"c": (4, 0), "b": (4, 1), "a": (5, 0), "p": (2, None), "q": (2, None), "r": (3, 0), "s": (1, None)}
     assert found[1, "a", "assistant", "linked"]["json"] == (
         '{"role":"assistant","tool_calls":[{"arguments":{"b":"é","n":1},"id":"a","name":"go"}]}')
     assert found[1, "b", "assistant", "no_result"]["problem"] == "$.n: not of type integer"
@@ -40,5 +40,17 @@ def test_linking_order_and_odd_rows(spark):
             (5, None, "tool", "no_id"), (None, "a", "assistant", "linked"), (None, "a", "tool", "linked")} <= set(found)
 
 
+def test_order_of_long_chains_and_later_needs(spark):
+    rows = [(1, f"c{i}", i, [f"c{i - 1}"]) for i in range(3000)]  # each needs the one before
+    rows += [(2, f"d{i}", i, [f"d{i + 1}", "d0" if i == 5 else "d9"]) for i in range(6)]  # each needs the next
+    found = T.dependency_order(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends_on array<string>")).collect()
+    place = {r["call_id"]: (r["after"], r["level"]) for r in found}
+    assert all(place[f"c{i}"] == (i, 0) for i in range(3000))
+    assert [place[f"d{i}"] for i in range(6)] == [(5, None)] * 6  # d0 ... d5 -> d0 is a cycle
+    chain = [(1, f"e{i}", i, [f"e{i + 1}"]) for i in range(5)]
+    found = T.dependency_order(spark.createDataFrame(chain, "conv_id long, call_id string, turn long, depends_on array<string>")).collect()
+    assert {r["call_id"]: (r["after"], r["level"]) for r in found} == {f"e{i}": (4, 4 - i) for i in range(5)}
+
+
 def test_empty_tables(spark):
     assert T.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), {}).count() == 0
