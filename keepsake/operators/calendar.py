@@ -18,8 +18,8 @@ def with_member(df: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def week_schedule(activities: DataFrame, week_start, member: str | None = None,
-                  strict: bool = False) -> DataFrame:
-    """Activities of a week by start time.
+                  strict: bool = False, members: DataFrame | None = None) -> DataFrame:
+    """Activities of a week by start time; with ``members`` each has its member's name and relationship.
 
     As in the original, the week reaches to the next Monday inclusive, recurring activities ignore
     their date range, and a member filter drops whole-family rows. ``strict`` ends on Sunday, keeps
@@ -39,6 +39,8 @@ def week_schedule(activities: DataFrame, week_start, member: str | None = None,
     if member is not None:
         mine = F.col("family_member_id") == member
         out = out.where(mine | F.col("family_member_id").isNull() if strict else mine)
+    if members is not None:  # before the sort: a join keeps no order
+        out = with_member(out, members)
     return out.orderBy(pg_asc("start_time"), pg_asc("id"))
 
 
@@ -54,11 +56,14 @@ def search_activities(activities: DataFrame, q: str | None = None, kind: str | N
     return activities.orderBy(pg_desc("start_date"), pg_asc("id"))
 
 
-def between_days(df: DataFrame, column: str, as_of, days: int = 30) -> DataFrame:
-    """Rows dated from ``as_of`` to ``days`` days later, both ends included; 0 means 30."""
+def between_days(df: DataFrame, column: str, as_of, days: int = 30, members: DataFrame | None = None) -> DataFrame:
+    """Rows dated from ``as_of`` to ``days`` days later, both ends included; 0 means 30. With ``members`` each has
+    its member's name and relationship."""
     today = day(as_of)
-    return (df.where(F.col(column).between(today, days_from(today, days or 30)))
-            .orderBy(pg_asc(column), pg_asc("id")))
+    out = df.where(F.col(column).between(today, days_from(today, days or 30)))
+    if members is not None:
+        out = with_member(out, members)
+    return out.orderBy(pg_asc(column), pg_asc("id"))
 
 
 def expand_recurring(activities: DataFrame, start, end) -> DataFrame:

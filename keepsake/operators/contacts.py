@@ -33,7 +33,8 @@ def contact_history(contacts: DataFrame, interactions: DataFrame, opportunities:
     (``interaction``, ``opportunity``, or NULL for a contact without entries), ``entry_id, at,
     detail, text``. Sorted by contact, interactions before opportunities, newest first. Rows instead
     of nested arrays keep a contact with very many entries spread over tasks: the counts are combined
-    before the shuffle and the sort is a range sort over (contact, kind, time).
+    before the shuffle, entries join contacts inner (so that a hot contact's entries can be split), and the sort
+    is a range sort over (contact, kind, time).
     """
     counts = interactions.groupBy(F.col("contact_id").alias("id"), "user_id").agg(
         F.count("*").alias("interaction_count"))
@@ -47,7 +48,10 @@ def contact_history(contacts: DataFrame, interactions: DataFrame, opportunities:
         F.col("contact_id").alias("id"), "user_id", F.lit("opportunity").alias("kind"),
         F.col("id").alias("entry_id"), F.col("created_at").alias("at"),
         F.col("stage").alias("detail"), F.col("title").alias("text"))
-    return (head.join(calls.unionByName(deals), ["id", "user_id"], "left")
+    entries, key = calls.unionByName(deals), ["id", "user_id"]
+    filled = entries.join(head, key).select(*head.columns, "kind", "entry_id", "at", "detail", "text")
+    bare = head.join(entries.select(*key).distinct(), key, "left_anti")
+    return (filled.unionByName(bare, allowMissingColumns=True)
             .orderBy("id", "kind", F.col("at").desc_nulls_first(), "entry_id"))
 
 

@@ -31,7 +31,6 @@ TOKENS_IN, TOKENS_OUT, TOKENS_EMBEDDED = 800, 200, 100
 PRICE_IN, PRICE_OUT, PRICE_EMBEDDING = 0.15, 0.60, 0.02
 
 MESSAGE = "struct<pos:int,role:string,content_type:string,text:string>"
-SORT_IN_ONE_PLACE = 100_000
 
 
 def _messages_in_order(mapping_text: str | None) -> list[dict]:
@@ -168,11 +167,7 @@ def limit_processed(decisions: DataFrame, n: int) -> DataFrame:
         return decisions
     keys = ["create_time", "conv_hash", "file", "position"]
     wanted = decisions.where("skip_reason is null").select(*keys)
-    if n <= SORT_IN_ONE_PLACE:
-        last = wanted.orderBy(*_place_order()).offset(n - 1).limit(1)
-    else:
-        last = _nth(wanted, n)
-    row = last.first()  # one row
+    row = _nth(wanted, n).first()  # one row
     if row is None:
         return decisions
     before = F.lit(True)
@@ -184,7 +179,7 @@ def limit_processed(decisions: DataFrame, n: int) -> DataFrame:
 
 
 def _nth(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n``-th row in import order for large ``n``: a distributed sort, then partition counts."""
+    """The ``n``-th row in import order: a distributed sort, then partition counts."""
     placed = reliable_checkpoint(
         rows.orderBy(*_place_order())
         .withColumn("_part", F.spark_partition_id())
@@ -214,6 +209,22 @@ def extract_thoughts(decisions: DataFrame, fn=None, max_chars: int | None = None
         chat_metadata("id", "title_shown", "date_text").alias("metadata")).drop("_i")
 
 
+def embed_new(thoughts: DataFrame, stored: DataFrame, embedder=None, max_chars: int | None = None, dim: int = 64) -> DataFrame:
+    """Add ``embedding``, ``ok`` and ``fresh`` to thoughts of which some may be stored already (``conv_hash,
+    thought_no``): those of a conversation that failed in part before. They pass through without another call.
+
+    ``thoughts`` must be a written table: it is read twice, and the summariser must not run twice. Only stored keys
+    of these conversations are looked at.
+    """
+    key = ["conv_hash", "thought_no"]
+    stored = stored.join(thoughts.select("conv_hash").distinct(), "conv_hash", "left_semi").select(*key).distinct()
+    embedded = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    new = embed(thoughts.join(stored, key, "left_anti"), embedder, max_chars=max_chars, dim=dim).withColumn(
+        "ok", F.when(F.col("content").isNotNull(), embedded)).withColumn("fresh", F.lit(True))
+    known = thoughts.join(stored, key, "left_semi").withColumn("ok", F.lit(True)).withColumn("fresh", F.lit(False))
+    return new.unionByName(known, allowMissingColumns=True)
+
+
 def import_counters(decisions: DataFrame) -> DataFrame:
     """Counts by outcome: ``reason`` is a skip reason, or ``processed``."""
     return (decisions.groupBy(F.coalesce("skip_reason", F.lit("processed")).alias("reason"))
@@ -279,17 +290,10 @@ def run_import(conversations: DataFrame, folder: str, as_of, after: str | None =
     thoughts = extract_thoughts(decisions, fn, max_chars)
     if dry_run:
         return import_cost(import_totals(decisions, thoughts), raw=fn is None)
-    # One write holds this run's thoughts: the summariser and the embedder run once per thought.
-    # Thoughts of a conversation that failed in part before are stored already and only pass through.
-    key = ["conv_hash", "thought_no"]
-    before_run = stored_keys(spark, below("thoughts"))
-    run = fresh_path(spark, "import-run")
-    embedded = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    fresh = thoughts.join(before_run, key, "left_anti")
-    new = embed(fresh, embedder, max_chars=max_chars, dim=dim).withColumn(
-        "ok", F.when(F.col("content").isNotNull(), embedded)).withColumn("fresh", F.lit(True))
-    known = thoughts.join(before_run, key, "left_semi").withColumn("ok", F.lit(True)).withColumn("fresh", F.lit(False))
-    new.unionByName(known, allowMissingColumns=True).write.parquet(run)
+    summed, run = fresh_path(spark, "import-thoughts"), fresh_path(spark, "import-run")
+    thoughts.write.parquet(summed)
+    embed_new(spark.read.schema(thoughts.schema).parquet(summed), stored_keys(spark, below("thoughts")), embedder,
+              max_chars, dim).write.parquet(run)
     results = spark.read.parquet(run)
     totals = import_cost(import_totals(decisions, results), raw=fn is None)
     summary = spark.createDataFrame([totals.first()], totals.schema)  # one row

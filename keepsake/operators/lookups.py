@@ -20,11 +20,11 @@ def lookup(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     A key that does not find exactly one row is an error for the caller: keep ``matches != 1``.
     Unknown keys come back with NULL columns and 0 matches.
     """
-    found = keys.select(*on).distinct().join(df.withColumn("_one", F.lit(1)), on, "left")
-    counts = df.join(keys.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(
-        F.count("*").alias("matches"))
-    return (found.join(counts, on, "left").drop("_one")
-            .withColumn("matches", F.coalesce("matches", F.lit(0))))
+    asked = keys.select(*on).distinct()
+    found = df.join(asked, on, "left_semi")  # the table is never the outer side: a hot key's rows can be split
+    counts = found.groupBy(*on).agg(F.count("*").alias("matches"))
+    unknown = asked.join(counts, on, "left_anti").withColumn("matches", F.lit(0).cast("long"))
+    return found.join(counts, on).unionByName(unknown, allowMissingColumns=True)
 
 
 def with_count(df: DataFrame, per: list[str]) -> DataFrame:

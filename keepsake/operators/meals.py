@@ -49,9 +49,9 @@ def meal_plan(plans: DataFrame, recipes: DataFrame, week_start, calendar_order:
     Sorted by day and meal as text, as the original does; ``calendar_order`` sorts Monday first.
     """
     fields = ["name", "cuisine", "prep_time_minutes", "cook_time_minutes"] + (["servings"] if with_servings else [])
-    dish = recipes.select(F.col("id").alias("recipe_id"), "user_id",
+    dish = recipes.select(F.col("id").alias("recipe_id"),
                           *[F.col(f).alias(f"recipe_{f}") for f in fields])
-    out = plans.where(F.col("week_start") == day(week_start)).join(dish, ["recipe_id", "user_id"], "left")
+    out = plans.where(F.col("week_start") == day(week_start)).join(dish, "recipe_id", "left")
     if calendar_order:
         keys = [_position("day_of_week", DAYS_OF_WEEK).asc(), _position("meal_type", MEAL_TYPES).asc()]
     else:
@@ -100,7 +100,7 @@ def shopping_list(plans: DataFrame, ingredients: DataFrame, week_start=None) ->
         "user_id", "week_start", F.col("id").alias("plan_id"), "recipe_id",
         _position("day_of_week", DAYS_OF_WEEK).alias("day_no"),
         _position("meal_type", MEAL_TYPES).alias("meal_no"))
-    lines = order.join(ingredients, ["recipe_id", "user_id"])
+    lines = order.join(ingredients.drop("user_id"), "recipe_id")
     key = ["user_id", "week_start", "name", "unit"]
     joined = F.expr("listagg(quantity, ' + ') within group (order by plan_id, pos)")
     per_meal = lines.groupBy(*key, "day_no", "meal_no").agg(

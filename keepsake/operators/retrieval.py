@@ -9,6 +9,7 @@ equal or similar vectors, however many, spread evenly.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -48,15 +49,14 @@ def match_thoughts(thoughts: DataFrame, query_vec, threshold: float = DEFAULT_TH
     if filter:
         rows = rows.where(json_contains("metadata", filter, promoted))
     scored = rows.select("id", "content", "metadata",
-                         similarity_to("embedding", query_vec).alias("similarity"), "created_at")
+                         similarity_to("embedding", query_vec, once=True).alias("similarity"), "created_at")
     return (scored.where(F.col("similarity") > threshold)
             .orderBy(F.col("similarity").desc(), F.col("id").asc()).limit(k))
 
 
 def _width(vectors: DataFrame) -> int:
-    """Dimension of a table of vectors (1 for an empty one)."""
-    row = vectors.select(F.size("embedding").alias("n")).first()
-    return max(row["n"], 1) if row else 1
+    """Largest dimension in a table of vectors (1 for an empty one)."""
+    return max(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1, 1)
 
 
 def _block_count(rows: int, width: int) -> int:
@@ -64,7 +64,7 @@ def _block_count(rows: int, width: int) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
-def _vectors(df: DataFrame, *extra) -> DataFrame:
+def usable_vectors(df: DataFrame, *extra) -> DataFrame:
     """Usable vectors only: present, not zero, no NaN."""
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return df.where(F.col("embedding").isNotNull()).where(F.nanvl(norm, F.lit(0.0)) > 0).select(
@@ -78,10 +78,11 @@ def _block_of(blocks: int) -> Column:
 def _pair_blocks(left: DataFrame, right: DataFrame):
     """Rows of both sides of a block grid, grouped by block pair (``_i``, ``_j``).
 
-    Both sides have the same columns; ``_side`` tells them apart inside a group.
+    Both sides have the same columns; ``_side`` tells them apart inside a group. Vectors of different widths
+    have no similarity and never share a group.
     """
     return (left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
-            .groupBy("_i", "_j"))
+            .groupBy("_i", "_j", F.size("embedding").alias("_width")))
 
 
 def _triangle(df: DataFrame, blocks: int):
@@ -118,7 +119,7 @@ def match_many(queries: DataFrame, thoughts: DataFrame, threshold: float = 0.5,
     scores its rows against all queries at once and passes on at most ``k`` rows per query. A larger
     one is cut into blocks and meets the blocks of thoughts on a grid; the result is the same.
     """
-    asked, rows = _vectors(queries), _vectors(thoughts)
+    asked, rows = usable_vectors(queries), usable_vectors(thoughts)
     width, n = _width(asked), asked.count()
     schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType),
                            T.StructField("id", thoughts.schema["id"].dataType),
@@ -126,18 +127,19 @@ def match_many(queries: DataFrame, thoughts: DataFrame, threshold: float = 0.5,
     id_types = to_arrow_schema(schema)
     if n * width * 8 <= BROADCAST_BYTES:
         block = asked.toArrow()  # bounded by BROADCAST_BYTES
-        ids, q = _numbers(block, "id")[0], _unit_of(block) if n else np.zeros((0, width))
+        sizes = pc.list_value_length(block["embedding"])
+        asked_by_width = {w: block.filter(pc.equal(sizes, w)) for w in pc.unique(sizes).to_pylist()}
+        sides = {w: (_numbers(part, "id")[0], _unit_of(part)) for w, part in asked_by_width.items()}
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
             for batch in batches:
-                usable = pc.equal(pc.list_value_length(batch["embedding"]), width)
-                batch = batch.filter(usable)
-                if not batch.num_rows:
-                    continue
-                found = _best(q, ids, unit_rows(matrix_of(batch["embedding"])),
-                              batch["id"].to_numpy(zero_copy_only=False), threshold, k)
-                best = found if best is None else _keep(pd.concat([best, found]), k)
+                for width, (ids, q) in sides.items():  # other widths have no similarity
+                    own = batch.filter(pc.equal(pc.list_value_length(batch["embedding"]), width))
+                    if own.num_rows:
+                        found = _best(q, ids, unit_rows(matrix_of(own["embedding"])),
+                                      own["id"].to_numpy(zero_copy_only=False), threshold, k)
+                        best = found if best is None else _keep(pd.concat([best, found]), k)
             if best is not None and len(best):
                 yield pa.RecordBatch.from_pandas(best, schema=id_types, preserve_index=False)
 
@@ -203,7 +205,7 @@ def vector_copies(thoughts: DataFrame) -> DataFrame:
 
     The representative is the smallest id that holds the same vector.
     """
-    keyed = _vectors(thoughts).select("id", vector_key("embedding").alias("_key"))
+    keyed = usable_vectors(thoughts).select("id", vector_key("embedding").alias("_key"))
     first = keyed.groupBy("_key").agg(F.min("id").alias("representative"))
     return keyed.join(first, "_key").select("id", "representative")
 
@@ -211,7 +213,8 @@ def vector_copies(thoughts: DataFrame) -> DataFrame:
 def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD, cross_day: bool = True,
                   start=None, end=None) -> DataFrame:
     """Pairs of thoughts more similar than ``threshold``: ``id_a < id_b, copies_a, copies_b,
-    similarity``. With ``cross_day`` only pairs captured on different days.
+    similarity``. With ``cross_day`` only pairs captured on different days;
+    an unknown day differs from none.
 
     ``start`` and ``end`` narrow to a window (the weekly review looks at a week); the comparison is
     exact and its work grows with the square of the thoughts in it.
@@ -224,7 +227,7 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD, cro
     pair.
     """
     on = F.to_date("created_at").alias("day") if "created_at" in thoughts.columns else F.lit(None).cast("date").alias("day")
-    groups = _vectors(_window(thoughts, start, end), on).groupBy("embedding").agg(
+    groups = usable_vectors(_window(thoughts, start, end), on).groupBy("embedding").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.min("day").alias("first_day"),
         F.max("day").alias("last_day"))
     id_type = thoughts.schema["id"].dataType
@@ -251,7 +254,8 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD, cro
             r = r + at
             keep = ia[r] < ib[c] if diagonal else np.ones(len(r), dtype=bool)
             if cross_day:
-                keep &= ~((from_a[r] == to_a[r]) & (from_b[c] == to_b[c]) & (from_a[r] == from_b[c]))
+                known = np.isfinite(from_a[r].astype(float)) & np.isfinite(from_b[c].astype(float))
+                keep &= known & ~((from_a[r] == to_a[r]) & (from_b[c] == to_b[c]) & (from_a[r] == from_b[c]))
             r, c, s = r[keep], c[keep], s[keep]
             swap = ia[r] > ib[c]
             found.append(pa.Table.from_arrays([
@@ -287,7 +291,7 @@ def novelty(thoughts: DataFrame, start=None, end=None, n: int | None = 3) -> Dat
     alone has novelty 1. Each block pair reports one maximum per thought, so the result of the grid
     grows with the thoughts times the number of blocks, not with the pairs.
     """
-    vectors = _vectors(_window(thoughts, start, end))
+    vectors = usable_vectors(_window(thoughts, start, end))
     schema = T.StructType([T.StructField("id", thoughts.schema["id"].dataType), T.StructField("nearest", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     # Exact copies have a neighbour at similarity 1; one representative per vector is enough.
@@ -331,16 +335,16 @@ def match_documents(docs: DataFrame, chunks: DataFrame, query_vec, predicate: Co
                     threshold: float = DEFAULT_THRESHOLD, k: int = DEFAULT_COUNT) -> DataFrame:
     """The ``k`` best documents by their best chunk, among documents that satisfy ``predicate``.
 
-    ``docs``: ``id, …``; ``chunks``: ``doc_id, position, embedding``. Chunks are scored where they are
-    read and reduced to one row per document before the join, so no vector and no text is shuffled.
+    ``docs``: ``id, …``; ``chunks``: ``doc_id, position, embedding``. Documents are filtered first, so only chunks
+    of those that may count are scored, once each, and reduced to one row per document.
     """
-    scored = chunks.where(F.col("embedding").isNotNull()).select(
-        "doc_id", "position", similarity_to("embedding", query_vec).alias("similarity"))
-    best = (scored.where(F.col("similarity") > threshold).groupBy("doc_id")
-            .agg(F.max(F.struct("similarity", (-F.col("position")).alias("p"))).alias("_best")))
     kept = docs if predicate is None else docs.where(predicate)
-    found = best.join(kept.select(F.col("id").alias("doc_id")), "doc_id").select(
-        "doc_id", (-F.col("_best.p")).alias("position"), F.col("_best.similarity").alias("similarity"))
+    mine = chunks.where(F.col("embedding").isNotNull()).join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    scored = mine.select("doc_id", "position", similarity_to("embedding", query_vec, once=True).alias("similarity"))
+    found = (scored.where(F.col("similarity") > threshold).groupBy("doc_id")
+             .agg(F.max("similarity").alias("similarity"),
+                  F.min_by("position", F.struct((-F.col("similarity")).alias("s"), "position")).alias("position"))
+             .select("doc_id", "position", "similarity"))
     return found.orderBy(F.col("similarity").desc(), F.col("doc_id").asc()).limit(k)
 
 
@@ -356,7 +360,7 @@ def ann_index(thoughts: DataFrame, tables: int = 8, bits: int = 8, seed: int = 7
 
     Write it with ``write_ann_index``; a query then reads only its buckets.
     """
-    rows = _vectors(thoughts)
+    rows = usable_vectors(thoughts)
     planes = _planes(_width(rows), tables, bits, seed)
     weights = 1 << np.arange(bits)
 
@@ -393,7 +397,7 @@ def match_thoughts_ann(index: DataFrame, query_vec, k: int = DEFAULT_COUNT, tabl
     for t in range(tables):
         code = int(((margins[t] > 0) * (1 << np.arange(bits))).sum())
         wanted = wanted | ((F.col("table_no") == t) & F.col("bucket").isin(*_nearby(code, np.abs(margins[t]), probes)))
-    scored = index.where(wanted).select("id", similarity_to("embedding", q).alias("similarity"))
+    scored = index.where(wanted).select("id", similarity_to("embedding", q, once=True).alias("similarity"))
     # An id occurs at most once per table, so the first k * tables rows hold the k best ids.
     top = (scored.where(F.col("similarity") > threshold)
            .orderBy(F.col("similarity").desc(), F.col("id").asc()).limit(k * tables))
@@ -403,16 +407,16 @@ def match_thoughts_ann(index: DataFrame, query_vec, k: int = DEFAULT_COUNT, tabl
 
 def _nearby(code: int, certainty: np.ndarray, probes: int) -> list[int]:
     """The bucket itself and the ``probes`` buckets reached by flipping the least certain bits."""
-    flips = sorted(range(1 << min(len(certainty), 10)),
-                   key=lambda m: sum(certainty[np.argsort(certainty)[b]] for b in range(10) if m >> b & 1))
     order = np.argsort(certainty)
-    out = []
-    for m in flips[:probes + 1]:
-        flipped = code
-        for b in range(min(len(certainty), 10)):
-            if m >> b & 1:
-                flipped ^= 1 << int(order[b])
-        out.append(flipped)
+    costs = certainty[order]
+    out, heap = [code], [(float(costs[0]), 0, 1 << int(order[0]))] if len(costs) else []
+    while heap and len(out) <= probes:  # sets of flips in order of their summed margins
+        cost, last, flips = heapq.heappop(heap)
+        out.append(code ^ flips)
+        if last + 1 < len(costs):
+            bit = 1 << int(order[last + 1])
+            heapq.heappush(heap, (cost + float(costs[last + 1]), last + 1, flips | bit))
+            heapq.heappush(heap, (cost + float(costs[last + 1] - costs[last]), last + 1, (flips ^ 1 << int(order[last])) | bit))
     return out
 
 

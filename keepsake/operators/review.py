@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.dates import moment
-from keepsake.operators.retrieval import novelty
+from keepsake.operators.retrieval import novelty, usable_vectors
 
 
 def _within(df: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -61,8 +61,8 @@ def themes(thoughts: DataFrame, start=None, end=None, n: int = 5) -> DataFrame:
 
 
 def vector_themes(thoughts: DataFrame, n: int = 5, seed: int = 7) -> DataFrame:
-    """Thoughts with the theme their vector falls into (k-means on unit vectors): ``id, theme``."""
-    rows = thoughts.where(F.col("embedding").isNotNull()).select(
+    """Thoughts with the theme their vector falls into (k-means by cosine): ``id, theme``. Zero vectors have none."""
+    rows = usable_vectors(thoughts).select(
         "id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=n, seed=seed, distanceMeasure="cosine").fit(rows)
     return model.transform(rows).select("id", F.col("prediction").alias("theme"))

@@ -84,16 +84,22 @@ def checked(df: DataFrame, spec: TableSpec | str, parents: dict[str, DataFrame]
             as_of=None) -> DataFrame:
     """Rows with defaults applied and ``violations`` filled, parent checks included.
 
+    ``parents`` holds every table that the rows refer to, by name; None in its place skips that check.
+
     Each parent check is one left join against the parent's keys, so accepted and rejected rows come
     out of a single pass.
     """
     spec = _spec(spec)
     out = validate(apply_defaults(df, spec, as_of), rule_columns(spec))
     for key in spec.foreign_keys:
-        if key.parent not in (parents or {}):
+        if parents is None or key.parent not in parents:
+            raise ValueError(f"{key.parent} is needed to check {', '.join(key.columns)}; pass None for it to skip the check")
+        if parents[key.parent] is None:
             continue
-        shared = [(c, p) for c, p in zip(key.columns, key.parent_columns)
-                  if c in out.columns and p in parents[key.parent].columns]
+        missing = [p for p in key.parent_columns if p not in parents[key.parent].columns]
+        if missing:
+            raise ValueError(f"{key.parent} has no {', '.join(missing)}")
+        shared = list(zip(key.columns, key.parent_columns))
         keys = (parents[key.parent].select(*[F.col(p).alias(f"_{c}") for c, p in shared])
                 .distinct().withColumn("_found", F.lit(True)))
         match = reduce(and_, [out[c] == keys[f"_{c}"] for c, _ in shared])

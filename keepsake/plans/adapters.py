@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepsake.functions.text import conv_hash, tag_text
+from keepsake.functions.text import TRIVIAL_TITLE_PATTERN, conv_hash, tag_text
+
+_TITLES = TRIVIAL_TITLE_PATTERN.replace("'", "''")  # inside SQL quotes
 
 OWNERS = 25
 
@@ -359,9 +361,9 @@ CTES: dict[str, str] = {
              sha256(max(title) || '|' || (1704067200 + conv_id * 3600)::VARCHAR)[1:16] AS conv_hash
       FROM (SELECT t.*, c.text AS title FROM turns t LEFT JOIN conversations c
             ON c.conv_id = t.conv_id AND c.turn = 0) GROUP BY conv_id""",
-    "decisions": r"""
+    "decisions": rf"""
       SELECT *, CASE WHEN message_count < 4 THEN 'too_few_messages'
-        WHEN regexp_matches(title, '(?i)do not remember|forget this|don''t remember|ignore this|limerick|haiku|poem |joke |riddle|image of|generate.*image|draw |create.*art|tooth fairy|santa letter|bedtime stor|translate this|what is .{1,15} in \w+') THEN 'skip_title'
+        WHEN regexp_matches(title, '(?i){_TITLES}') THEN 'skip_title'
         WHEN user_words < 20 THEN 'too_little_text' END AS skip_reason FROM convs""",
     "contacts": """
       SELECT c_custkey AS id, c_custkey % 25 AS user_id, c_name AS name, c_mktsegment AS company,

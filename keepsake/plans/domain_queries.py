@@ -1,5 +1,6 @@
 """Household, maintenance, calendar, meals, contacts and job search."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.dates import next_yearly, reminder_date
@@ -131,8 +132,23 @@ def spend_by_category(t):
   LEFT JOIN members m ON m.id = a.family_member_id AND m.user_id = a.user_id
   WHERE (start_date <= DATE '2024-01-15' AND (end_date >= DATE '2024-01-08' OR end_date IS NULL)) OR day_of_week IS NOT NULL""", ("activities", "members"))
 def week_schedule(t):
-    week = calendar.week_schedule(A.activities(t), "2024-01-08")
-    return calendar.with_member(week, A.members(t)).select("id", "title", "member_name", "relationship", "start_time")
+    week = calendar.week_schedule(A.activities(t), "2024-01-08", members=A.members(t))
+    return week.select("id", "title", "member_name", "relationship", "start_time")
+
+
+@query("week_schedule_in_order", """
+  SELECT a.id, m.name AS member_name, row_number() OVER (ORDER BY start_time NULLS LAST, a.id) AS place FROM activities a
+  LEFT JOIN members m ON m.id = a.family_member_id AND m.user_id = a.user_id
+  WHERE (start_date <= DATE '2024-01-15' AND (end_date >= DATE '2024-01-08' OR end_date IS NULL)) OR day_of_week IS NOT NULL""", ("activities", "members"))
+def week_schedule_in_order(t):
+    """The place of each row in the result as it is returned."""
+    return _placed(calendar.week_schedule(A.activities(t), "2024-01-08", members=A.members(t))).select("id", "member_name", "place")
+
+
+def _placed(rows):
+    """Rows with ``place``, their number in the order in which a sorted result comes out."""
+    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+        "place", F.row_number().over(Window.orderBy("_at")).cast("bigint")).drop("_at")
 
 
 @query("week_schedule_strict", """
@@ -153,8 +169,8 @@ def search_activities(t):
   SELECT o_orderkey AS id, c_name AS member_name, strftime(o_orderdate, '%Y-%m-%d') AS date_value FROM orders JOIN customer ON c_custkey = o_custkey
   WHERE o_orderdate::DATE BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'""")
 def upcoming_dates(t):
-    soon = calendar.between_days(A.important_dates(t), "date_value", "1998-01-01", 0)
-    return calendar.with_member(soon, A.members(t)).select("id", "member_name", day_text("date_value"))
+    soon = calendar.between_days(A.important_dates(t), "date_value", "1998-01-01", 0, members=A.members(t))
+    return soon.select("id", "member_name", day_text("date_value"))
 
 
 @query("yearly_reminders", """
@@ -220,16 +236,22 @@ def browse_recipes(t):
   FROM plans p LEFT JOIN recipes r ON r.id = p.recipe_id WHERE week_start = DATE '1998-01-05'""", ("plans", "recipes"))
 def meal_plan_of_week(t):
     """Plans of one week; an order is cooked from the part of the same number, if there is one."""
-    plans = A.plans(t).withColumn("user_id", F.pmod("recipe_id", F.lit(25)))
-    rows = meals.meal_plan(plans, A.recipes(t), "1998-01-05", with_servings=True)
+    rows = meals.meal_plan(A.plans(t), A.recipes(t), "1998-01-05", with_servings=True)
     return rows.select("id", "day_of_week", "meal_type", "recipe_name", "recipe_cuisine", "recipe_servings")
 
 
+@query("meal_plan_in_order", """
+  SELECT p.id, r.name AS recipe_name, row_number() OVER (ORDER BY day_of_week NULLS LAST, meal_type NULLS LAST, p.id) AS place
+  FROM plans p LEFT JOIN recipes r ON r.id = p.recipe_id WHERE week_start = DATE '1998-01-05'""", ("plans", "recipes"))
+def meal_plan_in_order(t):
+    return _placed(meals.meal_plan(A.plans(t), A.recipes(t), "1998-01-05")).select("id", "recipe_name", "place")
+
+
 @query("shopping_list", """
   , l AS (SELECT p.user_id, p.week_start, i.name, i.unit, i.quantity, p.recipe_id,
       list_position(['monday','tuesday','wednesday','thursday','friday','saturday','sunday'], day_of_week) AS d,
       list_position(['breakfast','lunch','dinner','snack'], meal_type) AS m, p.id, l_linenumber, l_partkey, l_quantity
-    FROM plans p JOIN ingredients i ON i.recipe_id = p.recipe_id AND i.user_id = p.user_id)
+    FROM plans p JOIN ingredients i ON i.recipe_id = p.recipe_id)
   SELECT user_id, strftime(week_start, '%Y-%m-%d') AS week_start, name, unit,
          string_agg(quantity, ' + ' ORDER BY d, m, id, l_linenumber, l_partkey, l_quantity) AS quantity, false AS purchased,
          arg_min(recipe_id, (d, m, id, l_linenumber, l_partkey, l_quantity)) AS recipe_id

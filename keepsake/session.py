@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,12 +43,14 @@ _FALLBACK: dict[str, str] = {}  # application id -> temporary folder, only where
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a single machine) a temporary one is made, once per
-    application.
+    Only on a local master a temporary one is made where none is named, once per application; elsewhere that is
+    an error, because every executor would write to its own disk.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="keepsake-")

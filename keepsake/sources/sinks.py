@@ -50,7 +50,7 @@ def stored_keys(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return table.where("outcome = 'accepted'").select("conv_hash", "thought_no").distinct()
+    return table.where("outcome = 'accepted'").select("conv_hash", "thought_no")
 
 
 def to_ingest_payload(df: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keepsake.functions.text import TAG_KEYS, merge_metadata, strip, tag_text
 from keepsake.operators.hooks import embed, tag
-from keepsake.operators.importer import decision_table, extract_thoughts
+from keepsake.operators.importer import decision_table, embed_new, extract_thoughts
 from keepsake.operators.state import latest_edit
 from keepsake.sources.chat_export import parse_export_files
-from keepsake.sources.sinks import ledger_rows, read_ledger
+from keepsake.sources.sinks import LEDGER_SCHEMA, ledger_rows
 
 
 def dedup_retries(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -72,15 +72,23 @@ def start_capture(events: DataFrame, sink: str, checkpoint: str, dedup: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _batch_folder(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Where a batch of the query behind ``checkpoint`` stores its rows. Batch numbers start again with a new
+    checkpoint, so the folder also carries the query's id, which the checkpoint keeps."""
+    row = spark.read.schema("id string").json(os.path.join(checkpoint, "metadata")).first()
+    return os.path.join(f"query={row['id']}", f"batch={batch_id}")
+
+
 def apply_edits(messages: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Keep message versions up to date: each batch stores its newest version per message.
 
-    A batch overwrites its own folder, so a repeated batch changes nothing, and nothing that was
-    written before is rewritten; ``read_edited`` gives the newest version over all batches.
+    A batch overwrites its own folder, so a repeated batch changes nothing, and nothing that another batch or
+    another checkpoint wrote is touched; ``read_edited`` gives the newest version over all batches.
     """
+    spark = messages.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        latest_edit(batch).write.mode("overwrite").parquet(os.path.join(table, f"batch={batch_id}"))
+        latest_edit(batch).write.mode("overwrite").parquet(os.path.join(table, _batch_folder(spark, checkpoint, batch_id)))
 
     writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -88,7 +96,7 @@ def apply_edits(messages: DataFrame, table: str, checkpoint: str, available_now:
 
 def read_edited(spark: SparkSession, table: str) -> DataFrame:
     """The newest version of every message."""
-    return latest_edit(spark.read.parquet(table).drop("batch"))
+    return latest_edit(spark.read.parquet(table).drop("query", "batch"))
 
 
 def windowed_digest(thoughts: DataFrame, period: str = "1 day", lateness: str = "1 day") -> DataFrame:
@@ -124,33 +132,42 @@ def import_incremental(texts: DataFrame, out: str, checkpoint: str, as_of, summa
 
     ``texts`` is a stream of ``file, value`` such as ``export_texts``. Per batch: parse, gate against
     the ledger, summarise, embed, store thoughts, then record finished conversations. Every batch
-    writes its own folders below ``out`` (decisions, thoughts, ledger), so repeating a batch after a failure
-    stores nothing twice.
+    writes its own folders below ``out`` (decisions, summaries, thoughts, ledger), so repeating a batch after a
+    failure stores nothing twice. The summariser's answers are written before anything reads them. Thoughts that
+    an earlier batch, also of another checkpoint, has stored are not embedded or stored again.
     """
     spark = texts.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        here = lambda kind: os.path.join(out, kind, f"batch={batch_id}")
-        earlier = _ledger_before(spark, out, batch_id)
+        own = _batch_folder(spark, checkpoint, batch_id)
+        here = lambda kind: os.path.join(out, kind, own)
+        earlier = _earlier(spark, os.path.join(out, "ledger"), LEDGER_SCHEMA, own)
         decided = decision_table(parse_export_files(batch), here("decisions"), earlier)
-        rows = embed(extract_thoughts(decided, summariser), embedder, dim=dim)
-        stored = (F.col("content").isNull() | (F.col("embedding").isNotNull() & (F.size("embedding") > 0)))
-        rows.withColumn("ok", stored).write.mode("overwrite").parquet(here("thoughts"))
+        thoughts = extract_thoughts(decided, summariser)
+        thoughts.write.mode("overwrite").parquet(here("summaries"))
+        stored = _earlier(spark, os.path.join(out, "thoughts"), "conv_hash string, thought_no int, ok boolean", own)
+        rows = embed_new(spark.read.schema(thoughts.schema).parquet(here("summaries")),
+                         stored.where("ok").select("conv_hash", "thought_no"), embedder, dim=dim)
+        rows.withColumn("ok", F.coalesce("ok", F.lit(True))).write.mode("overwrite").parquet(here("thoughts"))
         ledger_rows(spark.read.parquet(here("thoughts")), as_of).write.mode("overwrite").parquet(here("ledger"))
 
     return (texts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _ledger_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
-    """Ledger rows of earlier batches (a repeated batch must not see its own)."""
-    path = os.path.join(out, "ledger")
+def _earlier(spark: SparkSession, path: str, schema: str, own: str) -> DataFrame:
+    """Rows of all batches but ``own`` (a repeated batch must not see what it wrote before)."""
+    query, batch = (part.split("=")[1] for part in own.split(os.sep))
     try:
-        return spark.read.option("basePath", path).parquet(path).where(F.col("batch") < batch_id).drop("batch")
-    except AnalysisException:
-        return read_ledger(spark, path + "-none")
+        rows = spark.read.schema(f"{schema}, query string, batch long").option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return rows.where((F.col("query") != query) | (F.col("batch") != int(batch))).drop("query", "batch")
 
 
 def imported_thoughts(spark: SparkSession, out: str) -> DataFrame:
     """Stored thoughts of an incremental import."""
-    return spark.read.parquet(os.path.join(out, "thoughts")).where("ok and content is not null").drop("batch", "ok")
+    return spark.read.parquet(os.path.join(out, "thoughts")).where("ok and fresh and content is not null").drop(
+        "query", "batch", "ok", "fresh")

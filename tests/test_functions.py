@@ -153,14 +153,14 @@ def test_source_keys_win_over_extracted_ones(evaluate):
 
 
 @pytest.mark.parametrize("capture, kind, people, topics, actions, days", [
-    ("Decision: Ship on 2026-03-15. Context: three blockers. Owner: Rachel.", "task", ["Rachel"], ["uncategorized"], [], ["2026-03-15"]),
-    ("Decision: Split it. Owner: Ann and Bo, Cy.", "task", ["Ann", "Bo", "Cy"], ["uncategorized"], [], []),
-    ("Marcus — wants to move teams.", "person_note", ["Marcus"], ["uncategorized"], [], []),
-    ("Sarah Chen — left. #people", "person_note", ["Sarah Chen"], ["people"], [], []),
-    ("Insight: permissions confuse people. Triggered by: a new hire.", "idea", [], ["uncategorized"], [], []),
-    ("Meeting with design team about the redesign. Key points: x. Action items: send the spec, send mocks.", "observation",
-     ["design team"], ["the redesign"], ["send the spec", "send mocks"], []),
-    ("Saving from an assistant: a scoring framework.", "reference", [], ["uncategorized"], [], []),
+    ("Decision: Rent the north depot from 2026-03-15. Context: cheaper fuel. Owner: Ilse.", "task", ["Ilse"], ["uncategorized"], [], ["2026-03-15"]),
+    ("Decision: Paint it green. Owner: Ann and Bo, Cy.", "task", ["Ann", "Bo", "Cy"], ["uncategorized"], [], []),
+    ("Mateus — plays the cello on Thursdays.", "person_note", ["Mateus"], ["uncategorized"], [], []),
+    ("Yuki Tan — back in May. #people", "person_note", ["Yuki Tan"], ["people"], [], []),
+    ("Insight: late ferries keep regulars away. Triggered by: a tide table.", "idea", [], ["uncategorized"], [], []),
+    ("Meeting with harbour crew about winter berths. Key points: x. Action items: tar the ropes, count buoys.", "observation",
+     ["harbour crew"], ["winter berths"], ["tar the ropes", "count buoys"], []),
+    ("Saving from an almanac: a table of frost dates.", "reference", [], ["uncategorized"], [], []),
     ("Just a note", "observation", [], ["uncategorized"], [], []),
     ("lower — case is not a name", "observation", [], ["uncategorized"], [], []),
     (None, "observation", [], ["uncategorized"], [], []),

@@ -152,9 +152,7 @@ def test_gate_ledger_and_repeats(spark, decide):
     assert importer.not_imported(decided, ledger).count() == 4
 
 
-@pytest.mark.parametrize("in_one_place", [100_000, 0])
-def test_limit_counts_processed_and_stops_there(decide, monkeypatch, in_one_place):
-    monkeypatch.setattr(importer, "SORT_IN_ONE_PLACE", in_one_place)
+def test_limit_counts_processed_and_stops_there(decide):
     decided = decide([conversation("late skip Haiku", 50), conversation("p1", 10), conversation("Haiku", 15), conversation("p2", 20),
                       conversation("p3", 30), conversation("undated", None)])
     counts = lambda n: {r.reason: r.conversations for r in importer.import_counters(importer.limit_processed(decided, n)).collect()}
@@ -260,6 +258,43 @@ def test_incremental_import_resumes_and_repeats_nothing(spark, tmp_path):
     assert sorted(r.title_shown for r in capture.imported_thoughts(spark, out).collect()) == ["one", "two"]
 
 
+def test_summariser_runs_once_per_conversation_and_run(spark, tmp_path):
+    calls, out = tmp_path / "calls", str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+
+    def fn(title, day, text, log=str(calls)):
+        with open(log, "a", encoding="utf-8") as f:
+            f.write(title + "\n")
+        return [title + " 1", title + " 2"]
+
+    flaky = lambda texts: [None if "b 2" in t else [1.0] for t in texts]
+    for names, embedder in ((["a", "b"], flaky), (["a", "b", "c"], lambda texts: [[1.0] for _ in texts])):
+        write(tmp_path / "in", "conversations.json", [conversation(n) for n in names])
+        importer.run_import(read_chat_export(spark, str(tmp_path / "in")), out, "2024-02-01", fn=fn, embedder=embedder)
+    assert sorted(calls.read_text(encoding="utf-8").split()) == ["a", "b", "b", "c"]  # a is in the ledger
+    stored = spark.read.parquet(out + "/thoughts").where("outcome = 'accepted'")
+    assert sorted(r.thought for r in stored.collect()) == [f"{n} {k}" for n in "abc" for k in (1, 2)]
+
+
+def test_incremental_import_after_a_partial_failure_and_under_a_new_checkpoint(spark, tmp_path):
+    exports, out = tmp_path / "exports", str(tmp_path / "out")
+    exports.mkdir()
+
+    def run(state, embedder):
+        capture.import_incremental(capture.export_texts(spark, str(exports)), out, str(tmp_path / state), "2024-02-01",
+                                   lambda title, day, text: [title + " 1", title + " 2"], embedder).awaitTermination()
+        return sorted(r.thought for r in capture.imported_thoughts(spark, out).collect())
+
+    write(exports, "conversations.json", [conversation("a"), conversation("b")])
+    assert run("one", lambda texts: [None if "b 2" in t else [1.0] for t in texts]) == ["a 1", "a 2", "b 1"]
+    write(exports, "conversations-001.json", [conversation("b"), conversation("c")])
+    everything = [f"{n} {k}" for n in "abc" for k in (1, 2)]
+    whole = lambda texts: [[1.0] for _ in texts]
+    assert run("one", whole) == everything
+    write(exports, "conversations-002.json", [])
+    assert run("two", whole) == everything  # every file comes again, nothing is lost or stored twice
+
+
 # ── other sources ────────────────────────────────────────────────────────────────────────────────
 
 

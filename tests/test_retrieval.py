@@ -47,6 +47,26 @@ def ranked(row, threshold, k, skip=()):
     return order[:k]
 
 
+def test_other_widths_and_unusable_vectors_have_no_similarity(spark, blocks):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (4, [1.0, 0.1, 0.0, 0.0, 0.0, 0.0]),
+            (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, None), (8, [])]
+    df = spark.createDataFrame([(i, v, None) for i, v in rows], "id long, embedding array<float>, created_at timestamp")
+    found = {(r.query_id, r.id) for r in R.match_many(df, df, threshold=0.5, k=9).collect()}
+    assert found == {(a, b) for pair in ((1, 2), (3, 4)) for a in pair for b in pair}
+    pairs = R.similar_pairs(df, threshold=0.5, cross_day=False).collect()
+    assert {(r.id_a, r.id_b) for r in pairs} == {(1, 2), (3, 4)}
+    assert R.similar_pairs(df, threshold=0.5).count() == 0  # no dates, so no different days
+    assert {r.id for r in R.novelty(df, n=None).collect()} == {1, 2, 3, 4}
+
+
+def test_nearby_buckets_come_in_order_of_certainty():
+    certainty = np.array([0.5, 0.1, 0.4, 0.2, 0.9, 0.3, 0.8, 0.7, 0.6, 1.1, 1.3, 1.2])
+    out = R._nearby(0, certainty, 4095)
+    cost = [sum(c for b, c in enumerate(certainty) if m >> b & 1) for m in out]
+    assert len(set(out)) == 4096 and np.diff(cost).min() > -1e-9
+
+
 def test_match_thoughts(thoughts, data, sims):
     query = [float(x) for x in data[3]]
     found = R.match_thoughts(thoughts, query, threshold=0.2, k=6).collect()

@@ -97,25 +97,27 @@ def test_every_table_accepts_a_minimal_row_and_rejects_violations(spark, name):
     fields = {f.name: f.dataType for f in T._parse_datatype_string(spec.ddl).fields}
     some = {T.StringType: "'x'", T.DateType: "date'2024-01-01'"}
     minimal = ", ".join(f"{spec.enums[c][0]!r} as {c}" if c in spec.enums else f"{some[type(fields[c])]} as {c}" for c in spec.required)
-    good, bad = validation.append_validated(spark.sql(f"select {minimal}"), spec, as_of="2024-01-01")
+    unchecked = {k.parent: None for k in spec.foreign_keys}
+    good, bad = validation.append_validated(spark.sql(f"select {minimal}"), spec, unchecked, "2024-01-01")
     assert good.count() == 1 and bad.count() == 0 and good.columns == list(fields)
     for column in spec.required:
         if column in spec.defaults:
             continue
         rows = spark.sql(f"select {minimal}").withColumn(column, F.lit(None).cast(fields[column]))
-        assert [r.violations for r in validation.append_validated(rows, spec)[1].collect()] == [[f"{column} required"]]
+        assert [r.violations for r in validation.append_validated(rows, spec, unchecked)[1].collect()] == [[f"{column} required"]]
     for column in spec.enums:
         if column not in spec.forced:
             rows = spark.sql(f"select {minimal}").withColumn(column, F.lit("no such value"))
-            assert [r.violations for r in validation.append_validated(rows, spec)[1].collect()] == [[f"{column} legal"]]
+            assert [r.violations for r in validation.append_validated(rows, spec, unchecked)[1].collect()] == [[f"{column} legal"]]
     for column, (low, high) in spec.ranges.items():
         values = spark.sql(f"select {minimal}").withColumn(column, F.explode(F.array(*[F.lit(v) for v in (low, high, low - 1, high + 1)])))
-        good, bad = validation.append_validated(values, spec)
+        good, bad = validation.append_validated(values, spec, unchecked)
         assert (good.count(), bad.count()) == ((2, 2) if low - 1 != 0 or column not in spec.falsy_to_default else (3, 1))
 
 
 def one(spark, table, sql, **options):
-    return validation.append_validated(spark.sql(sql), table, **options)[0].first()
+    unchecked = {k.parent: None for k in TABLES[table].foreign_keys}
+    return validation.append_validated(spark.sql(sql), table, unchecked, **options)[0].first()
 
 
 def test_defaults_follow_the_listed_columns(spark):
@@ -154,6 +156,15 @@ def test_parents_must_exist_and_belong_to_the_same_user(spark, tmp_path):
     assert {r.id for r in known.collect()} == {"1", "4"} and {r.id for r in lost.collect()} == {"2", "3"}
 
 
+def test_a_check_is_skipped_only_on_request(spark):
+    rows = spark.sql("select 'c1' contact_id, 'u' user_id, 'call' interaction_type, 's' summary")
+    with pytest.raises(ValueError, match="professional_contacts is needed"):
+        validation.append_validated(rows, "contact_interactions")
+    with pytest.raises(ValueError, match="has no user_id"):
+        validation.append_validated(rows, "contact_interactions", {"professional_contacts": spark.sql("select 'c1' id")})
+    assert validation.append_validated(rows, "contact_interactions", {"professional_contacts": None}, "2024-01-01")[0].count() == 1
+
+
 def test_optional_reference_may_be_null(spark):
     parents = spark.createDataFrame([("m", "u")], "id string, user_id string")
     rows = spark.sql("select 'u' user_id, 't' title, cast(null as string) family_member_id union all select 'u', 't', 'm' union all select 'u', 't', 'x'")

@@ -85,6 +85,10 @@ def test_edits_over_batches(spark, tmp_path):
     drop(folder, "2.json", [line("1", 2, "second, late"), line("2", 5, "changed")])
     run()
     assert {r.message_id: r.content for r in capture.read_edited(spark, table).collect()} == {"1": "third", "2": "changed"}
+    drop(folder, "1.json", [line("3", 1, "new")])  # the same table under a new checkpoint, whose batches start at 0 again
+    os.remove(os.path.join(folder, "2.json"))
+    capture.apply_edits(spark.readStream.schema(source.DISCORD_MESSAGE).json(folder), table, str(tmp_path / "other")).awaitTermination()
+    assert {r.message_id: r.content for r in capture.read_edited(spark, table).collect()} == {"1": "third", "2": "changed", "3": "new"}
 
 
 def test_windows_match_the_batch_form(spark, tmp_path):
