@@ -220,6 +220,20 @@ def run_import(t):
     return summary.select("total", "already_imported", "filtered", "processed", "thoughts", "ingested", "errors", "summary_cost")
 
 
+@query("run_import_twice", """
+  SELECT count(*) AS total, count(*) - count(skip_reason) AS already_imported, count(skip_reason) AS filtered, 0::BIGINT AS processed,
+         0::BIGINT AS ingested, count(*) - count(skip_reason) AS stored FROM decisions""", ("turns", "convs", "decisions"))
+def run_import_twice(t):
+    """The same export imported twice, the first time with an embedder that fails on some thoughts: a third run finds
+    everything in the ledger, and every thought is stored once."""
+    folder, export = fresh_path(t.spark, "import"), A.chat_export(t)
+    importer.run_import(export, folder, "2024-02-01", embedder=lambda texts: [None if len(x) % 2 else [1.0] for x in texts])
+    importer.run_import(export, folder, "2024-02-02", embedder=lambda texts: [[1.0] for _ in texts])
+    summary = importer.run_import(export, folder, "2024-02-03", embedder=lambda texts: [[1.0] for _ in texts])
+    stored = t.spark.read.parquet(f"{folder}/thoughts").where("outcome = 'accepted'").count()
+    return summary.select("total", "already_imported", "filtered", "processed", "ingested", F.lit(stored).cast("long").alias("stored"))
+
+
 @query("direct_captures", """
   SELECT id, type, array_to_string(list_concat(['inbox'], topics), '|') AS topics FROM captures""", ("captures",))
 def direct_captures(t):

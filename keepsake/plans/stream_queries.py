@@ -104,3 +104,18 @@ def import_incremental(t):
     texts = t.spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
     capture.import_incremental(texts, out, fresh_path(t.spark, "import-state"), "2024-02-01", dim=16).awaitTermination()
     return capture.imported_thoughts(t.spark, out).select("conv_hash", "content")
+
+
+@query("import_incremental_partial_failure", """
+  SELECT conv_hash, '[ChatGPT: ' || title || ' | ' || date_text || '] ' || user_text AS content FROM decisions WHERE skip_reason IS NULL""",
+       ("turns", "convs", "decisions"))
+def import_incremental_partial_failure(t):
+    """Exports imported with an embedder that fails on some thoughts, then again under a new checkpoint."""
+    folder, out = fresh_path(t.spark, "exports"), fresh_path(t.spark, "imported")
+    one = F.struct("id", "title", F.col("create_time").cast("bigint").alias("create_time"), "is_do_not_remember",
+                   F.parse_json("mapping").alias("mapping"))
+    A.chat_export(t).select(F.concat(F.lit("["), F.to_json(one), F.lit("]")).alias("value")).write.text(folder)
+    for embedder in (lambda texts: [None if len(x) % 2 else [1.0] for x in texts], lambda texts: [[1.0] for _ in texts]):
+        texts = t.spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+        capture.import_incremental(texts, out, fresh_path(t.spark, "import-state"), "2024-02-01", embedder=embedder).awaitTermination()
+    return capture.imported_thoughts(t.spark, out).select("conv_hash", "content")
