@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     lists = written(lists.withColumn("at", F.row_number().over(one_list.orderBy(F.xxhash64("sid"), "sid")))
                     .withColumn("n", F.count(F.lit(1)).over(one_list)).where("n > 1").drop("n"), "lists")
     fronts = written(lists.groupBy("sid").agg(F.collect_list("gram").alias("front")), "fronts")
-    links, roots, pieces, low, high = [], None, None, 0, 1
+    links, roots, low, high = [], None, 0, 1
     while True:
         open_lists = lists.withColumn("root", F.col("sid"))
         if roots is not None:
@@ -199,23 +199,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
             if open_lists.isEmpty():
                 break
         else:
-            if pieces is None:
-                needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-                current = _pieces(source, n, order, needed)
-            else:
-                current = pieces
-            links.append(_linked(pairs, current, percent))
+            needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+            links.append(_linked(pairs, _pieces(source, rows, n, order, needed, few=low > 0), percent))
             everything = links[0]
             for more in links[1:]:
                 everything = everything.unionByName(more)
             roots = written(connected_components(everything), "roots")
         low, high = high, 2 * high
-        if pieces is None:  # later rounds concern few sets
-            again = lists.join(roots, lists["sid"] == roots["node"], "left").select("gram", "sid", F.coalesce("root", "sid").alias("root")) \
-                if roots is not None else lists.select("gram", "sid", F.col("sid").alias("root"))
-            several = again.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
-            needed = again.join(several.where("r0 <> r1 and k > 2").select("gram"), "gram").select("sid").distinct()
-            pieces = written(_pieces(source, n, order, needed), "pieces")
     classes = rows.withColumn("class", F.col("sid"))
     if roots is not None:
         classes = rows.join(roots, rows["sid"] == roots["node"], "left").select(rows["*"], F.coalesce("root", "sid").alias("class"))
@@ -252,9 +242,13 @@ def _possible(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b")))
 
 
-def _pieces(source: DataFrame, n: int, order, needed: DataFrame) -> DataFrame:
-    """``sid, fragment, grams`` of the sets in ``needed``, each once."""
+def _pieces(source: DataFrame, rows: DataFrame, n: int, order, needed: DataFrame, few: bool) -> DataFrame:
+    """``sid, fragment, grams`` of the sets in ``needed``. With ``few``, as in all rounds but the first, the texts are
+    first narrowed to one of each set."""
     needed = written(needed.distinct(), "needed")
+    if few:
+        texts = written(rows.join(needed, "sid").groupBy("sid").agg(F.min("version").alias("version")).select("version"), "texts")
+        source = source.join(texts, "version", "left_semi").select("doc_id", "version", "text")
     wanted = source.sparkSession.sparkContext.broadcast(_wanted(needed))
     cut = _batches(source, _fragments(n, order, wanted), "sid long, fragment int, grams array<long>")
     return cut.join(needed, "sid", "left_semi")
