@@ -111,19 +111,20 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     ``calls``: ``conv_id, turn, call_id, name, arguments`` (JSON text), ``depends_on`` (array of call ids). ``results``:
     ``conv_id, turn, call_id, content``. ``status`` is ``linked``, ``no_result``, ``orphan`` (a result without its
     call), ``no_id`` or ``repeated``: of several calls, or results, of one id the first by turn and content
-    counts. ``problem`` says how a call's arguments break the schema of its tool, null if they don't. ``json`` is the message
+    counts, and each further one is a row, also if it equals the first in everything. ``problem`` says how a call's arguments break the schema of its tool, null if they don't. ``json`` is the message
     as canonical JSON; arguments that aren't JSON stay text. A conversation is never collected: its messages are rows.
 
     Null conv_id: a conversation of its own. Null turn: first. Null arguments or content: JSON null. Empty tables give
     no rows; other columns are ignored.
     """
     key = ["conv_id", "call_id"]
-    calls = written(calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on"), "all-calls")
-    results = written(results.select("conv_id", "turn", "call_id", "content"), "all-results")
+    number = F.monotonically_increasing_id().alias("row")  # written, so it stays: tells equal messages apart
+    calls = written(calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on", number), "all-calls")
+    results = written(results.select("conv_id", "turn", "call_id", "content", number), "all-results")
     named = calls.where("call_id is not null")
-    first = named.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n"))
+    first = named.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "depends_on", "row")).alias("c"), F.count(F.lit(1)).alias("n"))
     given = results.where("call_id is not null").groupBy(*key).agg(
-        F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("m"))
+        F.min(F.struct("turn", "content", "row")).alias("r"), F.count(F.lit(1)).alias("m"))
     order = dependency_order(first.select(*key, "c.turn", "c.depends_on"))
     pair = (first.join(given, same(first, given, *key), "left")
             .select(first["conv_id"], first["call_id"], "c", "n", "r", "m"))
@@ -144,10 +145,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             message(results.where("call_id is null"), no_level, F.col("turn"), "tool", F.lit("no_id"), payload=F.col("content"))]
     extra_calls = named.join(pair.where("n > 1").select(F.col("conv_id").alias("of"), F.col("call_id").alias("id"), "c", "after", "level"),
                              F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("call_id") == F.col("id")))
-    extra_calls = extra_calls.where(~F.struct("turn", "name", "arguments", "depends_on").eqNullSafe(F.col("c")))
+    extra_calls = extra_calls.where(F.col("row") != F.col("c.row"))
     extra_results = results.join(pair.where("m > 1").select(F.col("conv_id").alias("of"), F.col("call_id").alias("id"), "r", "after", "level"),
                                  F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("call_id") == F.col("id")))
-    extra_results = extra_results.where(~F.struct("turn", "content").eqNullSafe(F.col("r")))
+    extra_results = extra_results.where(F.col("row") != F.col("r.row"))
     more += [message(extra_calls, own, F.col("turn"), "assistant", F.lit("repeated"), F.col("name"), F.col("arguments")),
              message(extra_results, own, F.col("turn"), "tool", F.lit("repeated"), payload=F.col("content"))]
     for one in more:

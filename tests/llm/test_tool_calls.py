@@ -1,8 +1,11 @@
 import json
+from collections import Counter
 
+import duckdb
 import pytest
 
 from keepsake.llm import tool_calls as T
+from keepsake.llm.queries import QUERIES
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>, level string"
 RESULTS = "conv_id long, turn long, call_id string, content string, status string"
@@ -54,3 +57,28 @@ def test_order_of_long_chains_and_later_needs(spark):
 
 def test_empty_tables(spark):
     assert T.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), {}).count() == 0
+
+
+def test_exact_repeats_keep_a_row_each(spark):
+    call, result = (1, 1, "a", "go", "{}", ["b"], None), (1, 2, "a", "done", None)
+    calls = spark.createDataFrame([call] * 3 + [(1, 4, "a", "go", "{}", ["b"], None)] * 2 + [(2, None, "n", None, None, None, None)] * 2
+                                  + [(None, 1, "m", "go", "{}", [], None)] * 2, CALLS)
+    results = spark.createDataFrame([result] * 4 + [(1, 3, "a", "done", None)] * 2 + [(3, 1, "z", "x", None)] * 2, RESULTS)
+    found = Counter((r["conv_id"], r["role"], r["turn"], r["status"]) for r in T.link_calls(calls, results, {"go": {}}).collect())
+    assert found == {
+        (1, "assistant", 1, "linked"): 1, (1, "assistant", 1, "repeated"): 2, (1, "assistant", 4, "repeated"): 2,
+        (2, "assistant", None, "no_result"): 1, (2, "assistant", None, "repeated"): 1,
+        (None, "assistant", 1, "no_result"): 1, (None, "assistant", 1, "repeated"): 1,
+        (1, "tool", 2, "linked"): 1, (1, "tool", 2, "repeated"): 3, (1, "tool", 3, "repeated"): 2, (3, "tool", 1, "orphan"): 2}
+
+
+def test_exact_repeats_against_sql(spark, folder_of):
+    """Without the status: the SQL doesn't tell first and repeated rows apart."""
+    rows = [(1, 0, "user", "hi")] + [(1, 1, "assistant", "yes")] * 3 + [(1, 2, "user", "again")] * 3 + [(2, 5, "assistant", "lost")] * 2
+    folder = folder_of(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder.removeprefix('file://')}/conversations.parquet/*.parquet'")
+    columns = "conv_id, call_id, after, level, turn, role, problem, json"
+    asked = con.execute(f"select {columns} from ({T.SQL})").fetchall()
+    found = QUERIES["op8_tool_calls"](spark, folder).select(*columns.split(", ")).collect()
+    assert len(asked) == len(rows) and sorted(map(tuple, found), key=str) == sorted(asked, key=str)
