@@ -105,11 +105,12 @@ def dependency_order(calls: DataFrame) -> DataFrame:
     return levels.unionByName(blocked).withColumn("after", F.when(F.col("after") > -1 << 62, F.col("after")))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per message, a call or a result, ordered by ``conv_id, after, level, turn, call_id, role``.
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others: DataFrame | None = None) -> DataFrame:
+    """One row per message: a call, a result or another one, ordered by ``conv_id, after, level, turn, call_id, role``.
 
     ``calls``: ``conv_id, turn, call_id, name, arguments`` (JSON text), ``depends_on`` (array of call ids). ``results``:
-    ``conv_id, turn, call_id, content``. ``status`` is ``linked``, ``no_result``, ``orphan`` (a result without its
+    ``conv_id, turn, call_id, content``. ``others``, what is neither: ``conv_id, turn, role, content``; these rows have the status
+    ``other``, no call_id and the place of their turn. ``status`` of the rest is ``linked``, ``no_result``, ``orphan`` (a result without its
     call), ``no_id`` or ``repeated``: of several calls, or results, of one id the first by turn and content
     counts, and each further one is a row, also if it equals the first in everything. ``problem`` says how a call's arguments break the schema of its tool, null if they don't. ``json`` is the message
     as canonical JSON; arguments that aren't JSON stay text. A conversation is never collected: its messages are rows.
@@ -151,13 +152,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     extra_results = extra_results.where(F.col("row") != F.col("r.row"))
     more += [message(extra_calls, own, F.col("turn"), "assistant", F.lit("repeated"), F.col("name"), F.col("arguments")),
              message(extra_results, own, F.col("turn"), "tool", F.lit("repeated"), payload=F.col("content"))]
+    if others is not None:
+        more.append(others.select("conv_id", blank.alias("call_id"), F.col("turn").cast("long").alias("after"), F.lit(0).cast("long").alias("level"),
+                                  F.col("turn").cast("long").alias("turn"), "role", F.lit("other").alias("status"), blank.alias("name"),
+                                  F.col("content").alias("payload")))
     for one in more:
         messages = messages.unionByName(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             problems, texts = [], []
-            for call_id, role, name, payload in zip(*(batch.column(k).to_pylist() for k in ("call_id", "role", "name", "payload"))):
+            for call_id, role, status, name, payload in zip(*(
+                    batch.column(k).to_pylist() for k in ("call_id", "role", "status", "name", "payload"))):
+                if status == "other":
+                    problems.append(None)
+                    texts.append(canonical({"content": payload, "role": role}))
+                    continue
                 if role == "tool":
                     problems.append(None)
                     texts.append(canonical({"content": payload, "role": role, "tool_call_id": call_id}))
@@ -182,7 +192,7 @@ ASK = {"type": "object", "required": ["question", "words"], "additionalPropertie
 
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as tool traffic: each user turn calls ``ask`` with its text and number of words and needs the
-    user turn before, each assistant turn is the result of the call one turn earlier."""
+    user turn before, each assistant turn is the result of the call one turn earlier. ``other_turns`` has the rest."""
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     calls = turns.where("role = 'user'").select(
         "conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("ask").alias("name"), F.to_json(F.struct(
@@ -193,6 +203,11 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """The turns that ``turns_as_calls`` leaves: of any other role, or of none."""
+    return turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
 SQL = r"""
 WITH u AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || turn AS call_id,
     len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
@@ -211,3 +226,10 @@ SELECT a.conv_id, a.call_id, u.turn, CASE WHEN u.turn IS NOT NULL THEN CAST(0 AS
     '{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || a.call_id || '"}'
 FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
 """
+
+#: Every row of the table: what SQL has, and the turns of other roles.
+ALL_SQL = SQL + r"""UNION ALL
+SELECT conv_id, NULL, turn, CAST(0 AS BIGINT), turn, role, 'other', NULL,
+    '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+"""

@@ -82,3 +82,17 @@ def test_exact_repeats_against_sql(spark, folder_of):
     asked = con.execute(f"select {columns} from ({T.SQL})").fetchall()
     found = QUERIES["op8_tool_calls"](spark, folder).select(*columns.split(", ")).collect()
     assert len(asked) == len(rows) and sorted(map(tuple, found), key=str) == sorted(asked, key=str)
+
+
+def test_turns_of_other_roles_are_carried(spark, folder_of):
+    rows = [(1, 0, "system", 'be "brief", é'), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, None, "odd"), (1, 4, "tool", None),
+            (1, 4, "tool", None), (2, 0, "system", ""), (2, None, None, None), (None, 1, "system", "x")]
+    folder = folder_of(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder.removeprefix('file://')}/conversations.parquet/*.parquet'")
+    answer = con.execute(T.ALL_SQL)
+    columns = [c[0] for c in answer.description]
+    found = list(map(tuple, QUERIES["op8_all_messages"](spark, folder).select(*columns).collect()))
+    assert len(found) == len(rows) and sorted(found, key=str) == sorted(answer.fetchall(), key=str)
+    assert (1, None, 3, 0, 3, None, "other", None, '{"content":"odd","role":null}') in found
+    assert (1, None, 0, 0, 0, "system", "other", None, '{"content":"be \\"brief\\", é","role":"system"}') in found
