@@ -15,7 +15,7 @@ from keepsake.llm.hashing import mixed, text_chunks, word_hashes
 
 # Which of the words of a window count; the others may be anything.
 MASKS = ("111011", "1101100101", "1110010011", "10110100101", "110010010101")
-SHORT_MASK = 3
+PIECE = 3  # words of an item that make a seed of their own, if enough of them
 TABLE_BITS = 22
 HITS = "doc_id long, item_id long, doc_start long, item_start long, n_aligned long, n_equal long"
 _FACTORS = mixed(np.arange(1, 65, dtype=np.uint64))
@@ -44,23 +44,38 @@ def masked(words: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mixed(out + np.uint64(mask.sum()))
 
 
+def short_seeds(n: int, min_words: int) -> list[tuple[tuple[int, ...], int]]:
+    """Masks and positions such that, in an item of ``n`` words of which four fifths are enough, whichever words differ
+    leave one of them whole. Cut into one piece more than words may differ, a piece stays equal; where pieces would be
+    shorter than ``PIECE``, each word is left out in turn, for which one differing word must be all."""
+    spare = int(n - np.ceil(min(min_words, 0.8 * n)))
+    if not spare:
+        return [(tuple(range(n)), 0)]
+    if n // (spare + 1) < PIECE and spare == 1:
+        kept = [tuple(k for k in range(n) if k != out) for out in range(n)]
+        return [(tuple(k - places[0] for k in places), places[0]) for places in kept]
+    cuts = [n * k // (spare + 1) for k in range(spare + 2)]
+    return [(tuple(range(end - start)), start) for start, end in zip(cuts, cuts[1:])]
+
+
 def build_index(rows: list[tuple], min_words: int, penalty: float) -> Index:
-    """``rows``: (item_id, text). Items too short for a mask are seeded by their first three words, or all of them."""
+    """``rows``: (item_id, text). All windows of an item are seeded by the spaced masks; items short enough that four fifths of
+    them count have ``short_seeds`` too, which miss none of the overlaps that count. In longer items only the masks
+    find the place, so an overlap that differs from the item in a word of every masked window isn't found."""
     items = [i for i, _ in rows]
     words = [word_hashes([t or ""])[0] for _, t in rows]
     masks = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
-    shortest = min(int(m[-1]) + 1 for m in masks)
-    masks += [np.arange(k) for k in range(1, SHORT_MASK + 1)]
     table, seeds = np.zeros(1 << TABLE_BITS, dtype=bool), []
-    for at, mask in enumerate(masks):
-        found = []
-        for number, w in enumerate(words):
-            short = at - len(MASKS) + 1
-            if short > 0 and not (len(w) < shortest and short == min(len(w), SHORT_MASK)):
-                continue
-            h = masked(w, mask)[:1 if short > 0 else None]
-            found.append((h, np.full(len(h), number), np.arange(len(h))))
-        h, item, position = (np.concatenate(x) for x in zip(*found)) if found else (
+    found = [[(h := masked(w, mask), np.full(len(h), number), np.arange(len(h))) for number, w in enumerate(words)] for mask in masks]
+    short: dict[tuple[int, ...], list] = {}
+    for number, w in enumerate(words):
+        if 0 < len(w) and 0.8 * len(w) < min_words:
+            for mask, start in short_seeds(len(w), min_words):
+                h = masked(w[start:start + mask[-1] + 1], np.array(mask))
+                short.setdefault(mask, []).append((h, np.full(1, number), np.full(1, start)))
+    masks += [np.array(mask) for mask in short]
+    for parts in [*found, *short.values()]:
+        h, item, position = (np.concatenate(x) for x in zip(*parts)) if parts else (
             np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=int), np.zeros(0, dtype=int))
         order = np.argsort(h, kind="stable")
         seeds.append((h[order], item[order], position[order]))
@@ -89,11 +104,15 @@ def _diagonals(words: np.ndarray, bounds: np.ndarray, index: Index) -> np.ndarra
 
 
 def _best_run(equal: np.ndarray, penalty: float) -> tuple[int, int]:
-    """Start and end of the run with most equal words, less ``penalty`` for each other word."""
+    """Start and end of the run with most equal words, less ``penalty`` for each other word; of several the one with
+    most equal words."""
     total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -penalty))])
     lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    return int(np.argmin(total[:end + 1])), end
+    starts = np.maximum.accumulate(np.where(np.concatenate([[True], total[1:] < lowest[:-1]]), np.arange(len(total)), 0))
+    ends = np.flatnonzero(total - lowest == (total - lowest).max())
+    count = np.concatenate([[0], np.cumsum(equal)])
+    end = int(ends[np.argmax(count[ends] - count[starts[ends]])])
+    return int(starts[end]), end
 
 
 def overlaps(texts: list[str], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -75,3 +76,30 @@ def test_op5_query(folder_of, tables, spark):
     docs, benchmark, leaked = tables
     found = QUERIES["op5_spaced_seeds"](spark, folder_of(documents=docs, benchmark=benchmark)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == leaked
+
+
+def test_short_items_are_found_with_words_changed_anywhere():
+    """Items of 4 to 12 words: what four fifths allow to differ, at every place; one more doesn't count."""
+    for n in range(4, 13):
+        words = [f"v{k}" for k in range(n)]
+        index = D.build_index([(n, " ".join(words))], 10, 1.0)
+        spare = int(n - np.ceil(0.8 * n))
+        for out in [(), *((k,) for k in range(n)), *itertools.combinations(range(n), 2)]:
+            passage = " ".join("other" if k in out else w for k, w in enumerate(words))
+            equal = np.array([k not in out for k in range(n)])
+            start, end = D._best_run(equal, 1.0)
+            counts = equal[start:end].sum() >= 0.8 * n
+            assert counts == (len(out) <= spare) or len(out) == 2
+            for text in (passage, f"some words before {passage} and after it"):
+                assert bool(list(D.overlaps([text], index))) == counts, (n, out)
+        for text in (" ".join(words[1:]), " ".join(words[:-1])):  # the other word is not even there
+            assert bool(list(D.overlaps([text], index))) == (spare > 0)
+
+
+def test_best_run_is_that_of_brute_force():
+    rng = random.Random(1)
+    for _ in range(500):
+        equal = np.array([rng.random() < 0.7 for _ in range(rng.randint(0, 14))], dtype=bool)
+        start, end = D._best_run(equal, 1.0)
+        value = lambda a, b: (2 * int(equal[a:b].sum()) - (b - a), int(equal[a:b].sum()))
+        assert value(start, end) == max(value(a, b) for a in range(len(equal) + 1) for b in range(a, len(equal) + 1))
