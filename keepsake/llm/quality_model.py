@@ -20,6 +20,7 @@ LABELLERS = ("symbols", "capitals", "bars", "exclamations", "stutter", "variety"
              "plain_words")
 DIMENSIONS = 4096
 KNOWN_WORDS = 200_000
+KNOWN_CHARS = 64  # longer words are hashed anew each time
 
 
 def _between(value: float, bad_above: float, good_below: float) -> int:
@@ -53,8 +54,9 @@ def votes(text: str, words: list[str], counts: Counter) -> list[int]:
 
 
 def _shape(word: str) -> str:
+    """The kinds of all characters of a word, runs as one."""
     out = []
-    for c in word[:40]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if c.isascii() else "?"
         if not out or out[-1] != kind:
             out.append(kind)
@@ -69,8 +71,10 @@ def _slots(word: str) -> tuple[int, int]:
     if found is None:
         if len(_SLOTS) > KNOWN_WORDS:
             _SLOTS.clear()
-        found = _SLOTS[word] = (zlib.crc32(("shape " + _shape(word)).encode()) % DIMENSIONS,
-                                zlib.crc32(("tail " + word[-3:]).encode("utf-8", "replace")) % DIMENSIONS)
+        found = (zlib.crc32(("shape " + _shape(word)).encode()) % DIMENSIONS,
+                 zlib.crc32(("tail " + word[-3:]).encode("utf-8", "replace")) % DIMENSIONS)
+        if len(word) <= KNOWN_CHARS:
+            _SLOTS[word] = found
     return found
 
 

@@ -49,3 +49,11 @@ def test_op10_query_keeps_clean_and_rejects_junk(spark, folder_of, documents):
 
 def test_empty_table(documents):
     assert Q.score_quality(documents([])).count() == 0
+
+
+def test_long_words_count_whole():
+    def x(word):
+        return Q.hashed([word], Q.Counter([word]))
+    same, other = "a" * 50 + "end", "a" * 45 + "###aaend"
+    assert Q._shape(same) == "a" and Q._shape(other) == "a#a" and Q._shape("a" * 40 + "A0") == "aA0"
+    assert (x(same) == x("a" * 2000 + "end")).all() and (x(same) != x(other)).any()
