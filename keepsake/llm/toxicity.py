@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ GRAM_CHARS = (5, 6, 7, 8)
 TYPICAL_GRAMS = 400
 TYPICAL_RATIO = 16.0
 GAINS = (1, 2, 3, 4, 5, 7)
+TRAINING_SPANS = 50_000
 PRIMER = bytes([*range(1, 9), *range(14, 31)])  # every window starts with it, so each pays for its block header
 
 
@@ -64,7 +66,7 @@ def _gram_counts(texts: list[str]) -> tuple[Counter, int]:
         seen.update(zip(words, words[1:], words[2:]))
     counts: Counter = Counter()
     for word, n in Counter(middle for _, middle, _ in seen).items():
-        padded = f" {word[:64]} "
+        padded = f" {word} "
         for gram in {padded[i:i + k] for k in GRAM_CHARS for i in range(len(padded) - k + 1)}:
             counts[gram] += n
     return counts, max(1, len(seen))
@@ -105,8 +107,13 @@ def _typical_spans(texts: list[str], grams: list[str]) -> list[bytes]:
 
 
 def _trained(samples: list[bytes]) -> bytes:
+    """A dictionary of the spans; of more than ``TRAINING_SPANS`` those count that come first by a hash of place and span."""
+    used = samples
+    if len(samples) > TRAINING_SPANS:
+        order = sorted(range(len(samples)), key=lambda i: (zlib.crc32(samples[i], zlib.crc32(i.to_bytes(8, "little"))), i))
+        used = [samples[i] for i in sorted(order[:TRAINING_SPANS])]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples[:50_000]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, used).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
@@ -157,7 +164,8 @@ def scorer(model: Model):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 1_000,
           sample_chars: int = 20_000) -> Model:
     """Fit on a bounded sample: the first ``sample_rows`` labelled rows of each class in the order of a hash of
-    the id, of which texts over ``sample_chars`` are left out. At most that much reaches the driver. The share of
+    the id, of which texts over ``sample_chars`` are left out. Rows alike in id and text count as one; if ids have several texts,
+    the first ``2 * sample_rows`` texts by a hash of id and text are taken. At most that much reaches the driver. The share of
     toxic rows is counted over all labels. A doc_id with several labels counts as toxic if any says so."""
     classes = (labels.select("doc_id", F.col(label).cast("int").alias("label"))
                .where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")))
@@ -167,8 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     ids = docs.sparkSession.createDataFrame([(i, side) for side in picked for i in picked[side]], "id long, side int")
     rows = (docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"])  # at most 2 * sample_rows ids
             .where(F.length(docs["text"]) <= sample_chars)
-            .select(docs["doc_id"].alias("id"), ids["side"], docs["text"].alias("text")).collect())
-    rows = sorted({(r["id"], r["side"], r["text"]) for r in rows})[:2 * sample_rows]
+            .select(docs["doc_id"].alias("id"), ids["side"], docs["text"].alias("text")).distinct()
+            .orderBy(F.xxhash64("id", "text"), "id", "text").limit(2 * sample_rows).collect())
+    rows = sorted((r["id"], r["side"], r["text"]) for r in rows)
     texts = {side: [t for _, s, t in rows if s == side] for side in (0, 1)}
     return fit(texts[1], texts[0], n.get(1, 0) / max(1, sum(n.values())))
 

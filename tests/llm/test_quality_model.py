@@ -57,3 +57,11 @@ def test_long_words_count_whole():
     same, other = "a" * 50 + "end", "a" * 45 + "###aaend"
     assert Q._shape(same) == "a" and Q._shape(other) == "a#a" and Q._shape("a" * 40 + "A0") == "aA0"
     assert (x(same) == x("a" * 2000 + "end")).all() and (x(same) != x(other)).any()
+
+
+def test_sample_takes_copies_once_and_is_bounded(documents, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(Q, "train_scorer", lambda x, target: sizes.append(len(x)))
+    Q.fit(documents([(1, clean(1), "s")] * 500 + [(i, clean(i), "s") for i in range(2, 60)]))
+    Q.fit(documents([(i, clean(i), "s") for i in range(300)]), sample_rows=40)
+    assert sizes == [59, 40]

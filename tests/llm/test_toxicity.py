@@ -65,3 +65,27 @@ def test_op9_query_learns_outside_the_held_out_fold(spark, folder_of, documents)
     right = [p == int(i < 80) for i, held, s, p in found if held and i < 280]
     assert sum(right) >= 0.95 * len(right)
     assert all(held == (zlib.crc32(str(i).encode()) % 4 == 2) and p == int(s >= 0.3) for i, held, s, p in found)
+
+
+def test_sample_is_bounded_before_the_driver_and_by_hash(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, prior: seen.append((toxic, ordinary)))
+    rows = [(i, f"text {i} {k}", "s") for i in range(12) for k in range(1 if i else 400)] + [(11, "text 11 0", "s")] * 300
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    collected, collect = [], type(labels).collect
+    monkeypatch.setattr(type(labels), "collect", lambda self: collected.append(out := collect(self)) or out)
+    toxicity.train(documents(rows), labels, sample_rows=6)
+    (toxic, ordinary), = seen
+    assert len(toxic) + len(ordinary) == 12 == len(set(toxic + ordinary)) and max(map(len, collected)) <= 12
+
+
+def test_grams_of_whole_words_and_spans_of_all_texts(monkeypatch):
+    counts, _ = toxicity._gram_counts(["x" * 80 + "vileword"])
+    assert counts["vileword"] == 1
+    used = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: used.extend(samples) or type("D", (), {"as_bytes": bytes})())
+    spans = [str(i).encode() for i in range(120_000)]
+    toxicity._trained(spans)
+    assert len(used) == len(set(used)) == toxicity.TRAINING_SPANS
+    third = len(spans) // 3
+    assert all(sum(k * third <= int(s) < (k + 1) * third for s in used) > 10_000 for k in range(3))
