@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import (decontamination, jaccard_join, line_rules, mixing, personal_data, quality_model, repeats, token_files,
-                          tool_calls, toxicity)
+from keepsake.llm import (decontamination, fill_in_middle, jaccard_join, line_rules, mixing, personal_data, quality_model, repeats,
+                          suffix_trees, token_alignment, token_files, tool_calls, toxicity)
 from keepsake.llm.common import table
 from keepsake.session import fresh_path
 
@@ -86,8 +86,30 @@ def op10_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score_quality(table(spark, folder, "documents"))
 
 
+def op11_prefix_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without passages of 20 words that came before."""
+    found = suffix_trees.remove_passages(table(spark, folder, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_counted_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in fill-in-the-middle form, and the text rebuilt from that."""
+    made = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_shared_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two vocabularies over every document, aligned, with corpus-wide counts of linked ids."""
+    found = token_alignment.align_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                         public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_orc, op2_line_frequency, op3_deep_shallow, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op8_tool_calls,
-    op8_all_messages, op9_compression_toxicity, op10_weak_label_quality)}
+    op8_all_messages, op9_compression_toxicity, op10_weak_label_quality, op11_prefix_suffix_trees, op12_counted_fim, op13_shared_cuts)}
 SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL, "op8_tool_calls": tool_calls.SQL,
-                       "op8_all_messages": tool_calls.ALL_SQL}
+                       "op8_all_messages": tool_calls.ALL_SQL, "op12_counted_fim": fill_in_middle.SQL}
