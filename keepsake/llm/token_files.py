@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import whole
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
-KNOWN_PRETOKENS = 600_000
+KNOWN_PRETOKENS = 400_000
 CHUNK_CHARS = 1_000_000
 ENCODE_AT_ONCE = 2_000
 
@@ -49,8 +49,9 @@ class PretokenEncoder:
 
     A byte-level vocabulary splits a text into pre-tokens (``pattern``) before merging, and merges never cross
     them. So each distinct pre-token is given to the library once and the ids are joined; the result is that of
-    encoding the whole text. A text that holds the string of a special token goes to the library whole. What is
-    known is forgotten at ``limit`` entries, so memory is bounded.
+    encoding the whole text. A text that holds the string of a special token goes to the library whole. At
+    ``limit`` entries a new table is begun; the one before it serves until the next is full, so what is frequent stays
+    and memory is bounded.
     """
 
     def __init__(self, path: str, pattern: str, limit: int = KNOWN_PRETOKENS):
@@ -63,6 +64,7 @@ class PretokenEncoder:
         self.split_latin = re.compile(latin_pattern(pattern)).findall
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pretokens(self, text: str) -> list[str]:
         if any(s in text for s in self.specials):
@@ -72,15 +74,34 @@ class PretokenEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        cut = [self.pretokens(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        rows, new = [], {}
+        for text in texts:
+            words = self.pretokens(text)
+            parts = list(map(known.get, words))
+            holes, at = [], -1
+            try:
+                while True:
+                    at = parts.index(None, at + 1)
+                    holes.append((at, words[at]))
+            except ValueError:
+                for _, word in holes:
+                    if word in older:
+                        known[word] = older[word]
+                    else:
+                        new[word] = None
+                rows.append((parts, holes))
+        new = list(new)
         for i in range(0, len(new), ENCODE_AT_ONCE):
             some = new[i:i + ENCODE_AT_ONCE]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 known[w] = array("I", e.ids).tobytes()
-        out = [b"".join([known[w] for w in words]) for words in cut]
+        out = []
+        for parts, holes in rows:
+            for at, word in holes:
+                parts[at] = known[word]
+            out.append(b"".join(parts))
         for text in texts:  # whole texts are not kept
             if any(s in text for s in self.specials):
                 known.pop(text, None)
@@ -185,6 +206,9 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    rows = read_tokens(spark, path).select("doc_id", "start", F.col("n_tokens").cast("long"), "ids")
-    return rows.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files. The ids end in their checksums where they are read;
+    only those meet the files' starts."""
+    rows = spark.read.schema(FILE_SCHEMA).orc(path).select("doc_id", "part", "part_start", F.col("n_tokens").cast("long"), "ids")
+    sums = rows.mapInArrow(_checksums, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return sums.join(file_starts(spark, path), "part").select(
+        "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
