@@ -42,7 +42,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows.written_to = path
+    return rows
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of ``written`` tables that no later plan reads."""
+    for rows in tables:
+        if rows is not None and (name := getattr(rows, "written_to", None)):
+            path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def same(left: DataFrame, right: DataFrame, *keys: str) -> Column:

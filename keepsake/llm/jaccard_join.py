@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import whole, written
-from keepsake.llm.components import connected_components
+from keepsake.llm.common import discard, whole, written
+from keepsake.llm.components import joined_components
 from keepsake.llm.hashing import mixed, spaced_word_hashes, text_chunks
 
 FRAGMENTS = 8
 FREQUENT_KEPT = 500_000
 FREQUENT_LOCAL, FREQUENT_GLOBAL = 4, 16
 WANTED_BITS = 24
+BATCH_CHARS = 2_000_000
+PIVOT_STEP = 8
 _FACTORS = mixed(np.arange(101, 201, dtype=np.uint64))
 
 
@@ -65,7 +67,7 @@ def _batches(docs: DataFrame, work, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids, versions = batch.column(2).to_pylist(), batch.column(0), batch.column(1)
-            for a, b in text_chunks(texts, 8_000_000):
+            for a, b in text_chunks(texts, BATCH_CHARS):
                 yield pa.RecordBatch.from_arrays(work(ids.slice(a, b - a), versions.slice(a, b - a), texts[a:b]), names=names)
 
     return docs.mapInArrow(run, schema)
@@ -90,31 +92,33 @@ def _describe(n: int):
 
 
 def _prefixes(n: int, percent: int, order):
-    """The first n-grams of each set in the global order: two sets that link share one of them."""
+    """The first n-grams of each set in the global order, with their places: two sets that link share one of them."""
 
     def work(ids, versions, texts):
         sets = {set_id(s): s for s in ngram_sets(texts, n) if len(s)}
-        grams, owners, sizes = [], [], []
+        grams, owners, sizes, places = [], [], [], []
         for key, s in sets.items():
             first = len(s) - (percent * len(s) + 99) // 100 + 1
-            at = np.argpartition(order.value.keys(s), first - 1)[:first] if first < len(s) else np.arange(len(s))
-            grams.append(s[at])
+            ranks = order.value.keys(s)
+            at = np.argpartition(ranks, first - 1)[:first] if first < len(s) else np.arange(len(s))
+            grams.append(s[at[np.argsort(ranks[at])]])
             owners.append(np.full(first, key, dtype=np.int64))
             sizes.append(np.full(first, len(s), dtype=np.int64))
+            places.append(np.arange(first))
         if not grams:
-            return [pa.array([], pa.int64())] * 3
-        return [pa.array(np.concatenate(x).view(np.int64)) for x in (grams, owners, sizes)]
+            return [pa.array([], pa.int64())] * 4
+        return [pa.array(np.concatenate(x).view(np.int64)) for x in (grams, owners, sizes, places)]
 
     return work
 
 
 def _fragments(n: int, order, wanted):
-    """The sets of the wanted documents, cut along the global order."""
+    """The sets of the wanted texts, cut along the global order. Other texts aren't hashed."""
 
     def work(ids, versions, texts):
         rows = {}
-        for s in ngram_sets(texts, n):
-            if len(s) and _in(wanted.value, key := set_id(s)) and key not in rows:
+        for s in ngram_sets([t for t, v in zip(texts, versions.to_pylist()) if _in(wanted.value, v)], n):
+            if len(s) and (key := set_id(s)) not in rows:
                 keys = order.value.keys(s)
                 part = np.where(keys >> np.uint64(63) == 1, s % np.uint64(FRAGMENTS), keys >> np.uint64(60)).astype(np.int64)
                 rows[key] = [(int(f), s[part == f].view(np.int64)) for f in np.unique(part)]
@@ -132,11 +136,11 @@ def _in(bits: np.ndarray, key: int) -> bool:
     return bool(bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over set ids; it only spares work, a set in it by accident changes nothing."""
-    at = F.pmod(F.col("sid"), F.lit(1 << WANTED_BITS))
-    rows = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(pmod(sid, 64) as int))")).alias("bits")).collect()
+def _wanted(versions: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashes of texts; it only spares work, a text in it by accident changes nothing."""
+    at = F.pmod(F.col("version"), F.lit(1 << WANTED_BITS))
+    rows = versions.groupBy(F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(pmod(version, 64) as int))")).alias("bits")).collect()
     bits = np.zeros(1 << (WANTED_BITS - 6), dtype=np.uint64)
     for r in rows:
         bits[r["word"]] = np.int64(r["bits"]).view(np.uint64)
@@ -151,13 +155,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     and lower-cased in A-Z; a text with fewer than n words has one shingle, one without words none and no links.
 
     Equal sets are one class, so copies are never compared. Two classes that link share an n-gram among their
-    first ones in a global order that puts frequent n-grams last; each n-gram's list is worked off from its first
-    entries, 1, 1, 2, 4, ... at a time: such a pivot is compared with all later entries of other components. A
+    first ones in a global order that puts frequent n-grams last. Each n-gram's list is divided by bands of set sizes, a
+    set being in its own band and the next, so that sets of too different sizes don't meet; and a pair must still be able to
+    link if the places of the n-gram in both sets are those of their first common one. A list is worked off from its
+    first entries, 1, 7, 56, ... at a time: such a pivot is compared with all later entries of other components. A
     list whose entries have come together needs no more pairs, and in the end every pair of a list is either
     compared or in one component, so no link is lost and no list is squared that holds one group. Compared
     pairs are counted by vertical partitioning: sets are cut into fragments along the global order, each fragment
     counts its partial overlaps by itself, and the counts are summed per pair. The first n-grams are counted
-    first; most pairs can't link any more after that, and only the sets of the others are cut.
+    first; most pairs can't link any more after that, and only the sets of the others are cut. New links join the components
+    found so far, and tables that are no longer read are deleted.
 
     Null text: no words. Null doc_id: a row of its own that never names a component. Repeated rows are in one
     class and each give a row. An empty table gives no rows; other columns are ignored.
@@ -172,40 +179,49 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     found = frequent["gram"].to_numpy(dtype=np.int64).view(np.uint64)
     by_gram = np.argsort(found)
     order = spark.sparkContext.broadcast(Order(found[by_gram], (len(found) - by_gram).astype(np.uint64)))
-    one_list = Window.partitionBy("gram")
-    lists = _batches(source, _prefixes(n, percent, order), "gram long, sid long, size long").repartition("gram").distinct()
-    lists = written(lists.withColumn("at", F.row_number().over(one_list.orderBy(F.xxhash64("sid"), "sid")))
-                    .withColumn("n", F.count(F.lit(1)).over(one_list)).where("n > 1").drop("n"), "lists")
-    fronts = written(lists.groupBy("sid").agg(F.collect_list("gram").alias("front")), "fronts")
-    links, roots, low, high = [], None, 0, 1
+    found = _batches(source, _prefixes(n, percent, order), "gram long, sid long, size long, place long").repartition("gram").distinct()
+    shared = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1").drop("n")
+    # A little over the largest ratio of sizes that can link, so that rounding never puts such a pair two bands apart.
+    band = F.floor(F.log(F.col("size")) / F.log(F.lit(100 / percent * (1 + 1e-9))))
+    one_list = Window.partitionBy("gram", "band")
+    banded = (shared.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("own", F.col("band") == band)
+              .withColumn("at", F.row_number().over(one_list.orderBy(F.xxhash64("sid"), "sid")))
+              .withColumn("n", F.count(F.lit(1)).over(one_list)).withColumn("any", F.max("own").over(one_list)))
+    lists = written(banded.where("n > 1 and any").drop("n", "any"), "lists")
+    fronts = written(lists.groupBy("sid").agg(F.collect_set("gram").alias("front")), "fronts")
+    roots, low, high = None, 0, 1
     while True:
         open_lists = lists.withColumn("root", F.col("sid"))
         if roots is not None:
             open_lists = lists.join(roots, lists["sid"] == roots["node"], "left").select(
                 lists["*"], F.coalesce("root", "sid").alias("root"))
-        mixed_lists = open_lists.groupBy("gram").agg(F.max("at").alias("last"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        mixed_lists = open_lists.groupBy("gram", "band").agg(F.max("at").alias("last"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         mixed_lists = mixed_lists.where((F.col("r0") != F.col("r1")) & (F.col("last") > low + (low > 0)))
-        open_lists = written(open_lists.join(mixed_lists.select("gram"), "gram"), "open-lists")
-        left = open_lists.select("gram", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"),
-                                 F.col("at").alias("at_a"))
-        pivots = open_lists.where((F.col("at") > low) & (F.col("at") <= high)).select(
-            "gram", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("at").alias("at_b"))
-        pairs = left.join(pivots, "gram").where(
-            (F.col("at_a") > F.col("at_b")) & (F.col("root_a") != F.col("root_b"))
-            & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")))
-        pairs = _possible(pairs.select("a", "b", "size_a", "size_b").distinct(), fronts, percent)
-        pairs = written(pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes")), "pairs")
-        if pairs.isEmpty():
-            if open_lists.isEmpty():
-                break
-        else:
-            needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-            links.append(_linked(pairs, _pieces(source, rows, n, order, needed, few=low > 0), percent))
-            everything = links[0]
-            for more in links[1:]:
-                everything = everything.unionByName(more)
-            roots = written(connected_components(everything), "roots")
-        low, high = high, 2 * high
+        superseded = lists
+        lists = written(open_lists.join(mixed_lists.select("gram", "band"), ["gram", "band"]).select(*lists.columns, "root"), "lists")
+        discard(superseded)
+        left = lists.select("gram", "band", *(F.col(c).alias(f"{c}_a") for c in ("sid", "size", "root", "place", "own", "at")))
+        pivots = lists.where((F.col("at") > low) & (F.col("at") <= high)).select(
+            "gram", "band", *(F.col(c).alias(f"{c}_b") for c in ("sid", "size", "root", "place", "own", "at")))
+        most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+        pairs = left.join(pivots, ["gram", "band"]).where(
+            (F.col("at_a") > F.col("at_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("own_a") | F.col("own_b"))
+            & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+            & ((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))))
+        pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), "size_a", "size_b").distinct()
+        pairs = written(_possible(pairs, fronts, percent).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes")), "pairs")
+        if not pairs.isEmpty():
+            needed = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "needed")
+            linked = _linked(pairs, _pieces(source, rows, n, order, needed, few=low > 0), percent)
+            if not linked.isEmpty():
+                roots = joined_components(roots, linked)
+            discard(needed, linked)
+        elif lists.isEmpty():
+            discard(pairs)
+            break
+        discard(pairs)
+        lists, low, high = _without_root(lists), high, PIVOT_STEP * high
+    discard(lists, fronts)
     classes = rows.withColumn("class", F.col("sid"))
     if roots is not None:
         classes = rows.join(roots, rows["sid"] == roots["node"], "left").select(rows["*"], F.coalesce("root", "sid").alias("class"))
@@ -217,7 +233,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that with the smallest doc_id, all its columns unchanged; of rows alike in
-    doc_id and text one. Documents without words are in no component and all stay. Rows without a doc_id can't name
+    doc_id and text one, always the same. Documents without words are in no component and all stay. Rows without a doc_id can't name
     a component: one made of such rows only keeps each different text."""
     found = jaccard_components(docs, n, percent)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
@@ -225,7 +241,8 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> D
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
                        F.xxhash64(whole(docs["text"])).alias("version"))
     met = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["version"] == kept["of"]), "left_semi")
-    alike = Window.partitionBy("doc_id", "version").orderBy("doc_id")
+    others = [F.col("row")[c] for c in docs.columns if c != "text"]
+    alike = Window.partitionBy("doc_id", "version").orderBy(F.xxhash64(*others), F.to_json(F.struct(*others)))
     return met.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")
 
 
@@ -242,14 +259,19 @@ def _possible(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b")))
 
 
+def _without_root(lists: DataFrame) -> DataFrame:
+    rows = lists.drop("root")
+    rows.written_to = lists.written_to
+    return rows
+
+
 def _pieces(source: DataFrame, rows: DataFrame, n: int, order, needed: DataFrame, few: bool) -> DataFrame:
-    """``sid, fragment, grams`` of the sets in ``needed``. With ``few``, as in all rounds but the first, the texts are
-    first narrowed to one of each set."""
-    needed = written(needed.distinct(), "needed")
+    """``sid, fragment, grams`` of the sets in ``needed``, cut from one text of each. With ``few``, as in all rounds but the first, the
+    table is narrowed to these texts before it goes to Python."""
+    texts = rows.join(needed, "sid").groupBy("sid").agg(F.min("version").alias("version")).select("version")
+    wanted = source.sparkSession.sparkContext.broadcast(_wanted(texts))
     if few:
-        texts = written(rows.join(needed, "sid").groupBy("sid").agg(F.min("version").alias("version")).select("version"), "texts")
         source = source.join(texts, "version", "left_semi").select("doc_id", "version", "text")
-    wanted = source.sparkSession.sparkContext.broadcast(_wanted(needed))
     cut = _batches(source, _fragments(n, order, wanted), "sid long, fragment int, grams array<long>")
     return cut.join(needed, "sid", "left_semi")
 
