@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from keepsake.llm.hashing import SPACED_BYTES, cut_words, mixed, range_sums
 
 GRAM = 4  # words of an anchor
 CHUNK_BYTES, COMBINED_ANCHORS, BATCH_SUFFIXES = 500_000, 200_000, 30_000
+ROWS_AT_ONCE, DOCS_AT_ONCE = 5_000, 500
 _FACTORS = mixed(np.arange(501, 501 + GRAM, dtype=np.uint64))
 DOC = "doc long, version long"
 ANCHORS = f"gram long, context long, {DOC}, low int, high int, anchor int, again boolean"
@@ -121,33 +121,25 @@ def _anchor_batches(window: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts, in the last column, as zstandard frames."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        frames = pa.array([pack(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], frames], names=[*batch.schema.names[:-1], "packed"])
-
-
-def _unpacked(frames: pa.Array) -> Iterator[bytes]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    for x in frames:
-        yield unpack(x.as_py())
-
-
 def _suffix_batches(window: int):
     """The words of each wanted place, from the first window's first to the last one's last, joined by one space."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                          names=[c.split()[0] for c in SUFFIXES.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
-            rows = []
-            for doc, version, places, data in zip(batch.column("doc").to_pylist(), batch.column("version").to_pylist(),
-                                                  batch.column("places").to_pylist(), _unpacked(batch.column("packed"))):
-                words = data.split()
-                rows += [(p["gram"], doc, version, p["low"], p["high"], p["anchor"], b" ".join(words[p["low"]:p["high"] + window])) for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
-                                             names=[c.split()[0] for c in SUFFIXES.split(", ")])
+            for doc, version, places, text in zip(*(batch.column(n) for n in ("doc", "version", "places", "text"))):
+                words, doc, version = text.as_py().split(), doc.as_py(), version.as_py()
+                rows += [(p["gram"], doc, version, p["low"], p["high"], p["anchor"], b" ".join(words[p["low"]:p["high"] + window]))
+                         for p in places.as_py()]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield batch_of(rows)
+                    rows = []
+        yield batch_of(rows)
 
     return run
 
@@ -241,7 +233,7 @@ def _longer_prefixes(ranges: list[tuple[int, int]], window: int):
     """Suffixes of groups too large, once for each range (a, b) of distances d between window and anchor: with the windows at those
     distances alone, and as prefix all that these have in common, a words before the anchor and ``window`` - b from it on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole_batch.slice(k, ROWS_AT_ONCE) for whole_batch in batches for k in range(0, whole_batch.num_rows, ROWS_AT_ONCE)):
             low, high, anchor = (batch.column(k).to_numpy().astype(np.int64) for k in ("low", "high", "anchor"))
             hashes, bounds = _hashed(batch.column("words"))
             texts = [t.split(b" ") for t in batch.column("words").to_pylist()]
@@ -277,7 +269,7 @@ def distance_ranges(window: int) -> list[list[tuple[int, int]]]:
     return [[(int(q[0]), int(q[-1])) for q in quarters], [(d, d) for d in all_of_them]]
 
 
-def repeated_passages(docs: DataFrame, window: int = 20, group_size: int = 20_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 20, group_size: int = 10_000) -> DataFrame:
     """``doc, version, low, high``: runs of starts of ``window``-word windows that also start earlier.
 
     ``doc`` is the doc_id (the largest long for null), ``version`` a hash of the text. Suffixes start at anchors, content-defined
@@ -309,11 +301,10 @@ def repeated_passages(docs: DataFrame, window: int = 20, group_size: int = 20_00
     marks = judged.where("again").select("doc", "version", "low", "high")
     firsts = judged.where("not again").drop("again", "several")
     large = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_size).select("gram"), "large")
-    packed = rows.mapInArrow(_packed, f"{DOC}, packed binary")
 
     def suffixes(places: DataFrame) -> DataFrame:
         of_doc = places.groupBy("doc", "version").agg(F.collect_set(F.struct("gram", "low", "high", "anchor")).alias("places"))
-        return packed.join(of_doc, ["doc", "version"]).mapInArrow(_suffix_batches(window), SUFFIXES)
+        return rows.join(of_doc, ["doc", "version"]).mapInArrow(_suffix_batches(window), SUFFIXES)
 
     def repeats(groups: DataFrame) -> DataFrame:
         return groups.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), MARKS)
@@ -347,10 +338,10 @@ def removed_spans(runs: list[tuple[int, int]], window: int) -> list[tuple[int, i
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (whole_batch.slice(k, DOCS_AT_ONCE) for whole_batch in batches for k in range(0, whole_batch.num_rows, DOCS_AT_ONCE)):
             size, spans, kept = [], [], []
-            for runs, data in zip(batch.column("runs").to_pylist(), _unpacked(batch.column("packed"))):
-                words = data.split()
+            for runs, text in zip(batch.column("runs").to_pylist(), batch.column("text")):
+                words = text.as_py().split()
                 gone = removed_spans([(r["low"], r["high"]) for r in runs or []], window)
                 size.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in gone])
@@ -377,6 +368,5 @@ def remove_passages(docs: DataFrame, window: int = 20, **options) -> DataFrame:
     runs = marks.groupBy("doc", "version").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
                        F.xxhash64(whole(docs["text"])).alias("version"), whole(docs["text"]).cast("binary").alias("text"))
-    packed = rows.mapInArrow(_packed, f"doc_id long, {DOC}, packed binary")
-    return packed.join(runs, ["doc", "version"], "left").select("doc_id", "runs", "packed").mapInArrow(
+    return rows.join(runs, ["doc", "version"], "left").select("doc_id", "runs", "text").mapInArrow(
         _cut(window), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept_text string")
