@@ -23,7 +23,8 @@ from keepsake.llm.hashing import text_chunks
 
 # A unit goes from a space that follows a non-space to the next such space. No token of either kind crosses it.
 UNIT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
-KNOWN_UNITS = 250_000
+KNOWN_UNITS = 400_000
+FEW_LINKS = 64
 BLOCK_CHARS = 2_000_000
 LEARN_AT_ONCE = 2_000
 
@@ -88,6 +89,8 @@ class Aligner:
             self.bytes_a[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.text_a, self.text_b = [f"{i}|" for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
         self.space = pieces.index("▁")
         self.units = UNIT.findall if not any("▁" in p.lstrip("▁") for p in pieces) else lambda text: [text]
         self.limit = limit
@@ -112,26 +115,35 @@ class Aligner:
     def learn(self, units: list[str], keep: bool = True) -> int:
         """Entries for new units; the last one's number, -1 if its tokens don't give its bytes."""
         entry = -1
+        bytes_a, bytes_b, size_a, size_b = (x.__getitem__ for x in (self.bytes_a, self.bytes_b, self.size_a, self.size_b))
         for unit, in_a, in_b in self.ids(units):
-            of_a, of_b = [self.bytes_a[i] for i in in_a], [self.bytes_b[i] for i in in_b]
             entry, data = -1, unit.encode("utf-8", "surrogatepass")
-            if b"".join(of_a) == data and b"".join(of_b) == data:
+            if b"".join(map(bytes_a, in_a)) == data and b"".join(map(bytes_b, in_b)) == data:
                 entry = len(self.groups)
-                self._add(in_a, in_b, shared_groups(list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))))
+                self._add(in_a, in_b, shared_groups(list(accumulate(map(size_a, in_a))), list(accumulate(map(size_b, in_b)))))
             if keep:
                 self.known[unit] = entry
         return entry
 
     def _add(self, in_a: list[int], in_b: list[int], groups: list[tuple[int, int, int, int]]) -> None:
         links: dict[int, int] = {}
-        n_links, said = 0, []
+        n_links, said, text_a, text_b = 0, [], self.text_a, self.text_b
         for a, a_end, b, b_end in groups:
+            if a_end - a == 1 and b_end - b == 1:
+                x, y = in_a[a], in_b[b]
+                said.append(text_a[x] + text_b[y])
+                pair = x << 32 | y
+                links[pair] = links.get(pair, 0) + 1
+                n_links += 1
+                continue
             group_a, group_b = in_a[a:a_end], in_b[b:b_end]
             said.append(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
             n_links += len(group_a) * len(group_b)
-            if len(group_a) == 1 and len(group_b) == 1:
-                pair = group_a[0] << 32 | group_b[0]
-                links[pair] = links.get(pair, 0) + 1
+            if len(group_a) * len(group_b) <= FEW_LINKS:
+                for x in group_a:
+                    for y in group_b:
+                        pair = x << 32 | y
+                        links[pair] = links.get(pair, 0) + 1
                 continue
             times_b = Counter(group_b)
             for x, n in Counter(group_a).items():
