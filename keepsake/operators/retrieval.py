@@ -1,4 +1,4 @@
-"""Vector search: one query, many queries, similar pairs, novelty, chunks and an approximate index.
+"""Vector search: one query, many queries, similar pairs, novelty and chunks.
 
 Exact search over one query is a scan with a top-k, nothing is shuffled. Everything that compares
 vectors with vectors runs on a grid of blocks: rows are hashed by id into blocks of bounded size, each
@@ -9,7 +9,6 @@ equal or similar vectors, however many, spread evenly.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -348,78 +347,6 @@ def match_documents(docs: DataFrame, chunks: DataFrame, query_vec, predicate: Co
     return found.orderBy(F.col("similarity").desc(), F.col("doc_id").asc()).limit(k)
 
 
-# ── approximate index ────────────────────────────────────────────────────────────────────────────
-
-
-def _planes(width: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, width))
-
-
-def ann_index(thoughts: DataFrame, tables: int = 8, bits: int = 8, seed: int = 7) -> DataFrame:
-    """Signed random projections of every vector: ``id, embedding, table_no, bucket``.
-
-    Write it with ``write_ann_index``; a query then reads only its buckets.
-    """
-    rows = usable_vectors(thoughts)
-    planes = _planes(_width(rows), tables, bits, seed)
-    weights = 1 << np.arange(bits)
-
-    @F.arrow_udf("array<int>")
-    def buckets(v: pa.Array) -> pa.Array:
-        if not len(v):
-            return pa.array([], type=pa.list_(pa.int32()))
-        signs = np.einsum("nd,tbd->ntb", matrix_of(v), planes) > 0
-        codes = (signs * weights).sum(axis=2).astype(np.int32)
-        offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))
-
-    return rows.select("id", "embedding", F.posexplode(buckets("embedding")).alias("table_no", "bucket"))
-
-
-def write_ann_index(index: DataFrame, path: str) -> DataFrame:
-    """Store an index laid out for bucket lookups: one folder per hash table, sorted by bucket."""
-    (index.repartitionByRange("table_no", "bucket").sortWithinPartitions("table_no", "bucket")
-     .write.mode("overwrite").partitionBy("table_no").parquet(path))
-    return index.sparkSession.read.parquet(path)
-
-
-def match_thoughts_ann(index: DataFrame, query_vec, k: int = DEFAULT_COUNT, tables: int = 8, bits: int = 8,
-                       seed: int = 7, probes: int = 8, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Approximate nearest thoughts: ``id, similarity``.
-
-    Reads, per hash table, the query's bucket and its ``probes`` nearest neighbours (flipping the
-    least certain bits), then scores those rows exactly. The bucket test is a plain predicate on the
-    stored columns and reaches the scan. ``match_thoughts`` remains the exact contract.
-    """
-    q = np.asarray(query_vec, dtype=np.float64)
-    margins = np.einsum("tbd,d->tb", _planes(len(q), tables, bits, seed), q)
-    wanted = F.lit(False)
-    for t in range(tables):
-        code = int(((margins[t] > 0) * (1 << np.arange(bits))).sum())
-        wanted = wanted | ((F.col("table_no") == t) & F.col("bucket").isin(*_nearby(code, np.abs(margins[t]), probes)))
-    scored = index.where(wanted).select("id", similarity_to("embedding", q, once=True).alias("similarity"))
-    # An id occurs at most once per table, so the first k * tables rows hold the k best ids.
-    top = (scored.where(F.col("similarity") > threshold)
-           .orderBy(F.col("similarity").desc(), F.col("id").asc()).limit(k * tables))
-    return (top.groupBy("id").agg(F.max("similarity").alias("similarity"))
-            .orderBy(F.col("similarity").desc(), F.col("id").asc()).limit(k))
-
-
-def _nearby(code: int, certainty: np.ndarray, probes: int) -> list[int]:
-    """The bucket itself and the ``probes`` buckets reached by flipping the least certain bits."""
-    order = np.argsort(certainty)
-    costs = certainty[order]
-    out, heap = [code], [(float(costs[0]), 0, 1 << int(order[0]))] if len(costs) else []
-    while heap and len(out) <= probes:  # sets of flips in order of their summed margins
-        cost, last, flips = heapq.heappop(heap)
-        out.append(code ^ flips)
-        if last + 1 < len(costs):
-            bit = 1 << int(order[last + 1])
-            heapq.heappush(heap, (cost + float(costs[last + 1]), last + 1, flips | bit))
-            heapq.heappush(heap, (cost + float(costs[last + 1] - costs[last]), last + 1, (flips ^ 1 << int(order[last])) | bit))
-    return out
-
-
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact answer that the approximate one found."""
     hits = exact.select("id").join(approximate.select("id", F.lit(1).alias("hit")), "id", "left")

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.predicates import json_contains
 from keepsake.functions.vectors import cosine
-from keepsake.operators import lookups, retrieval
+from keepsake.operators import lookups, retrieval, vector_index
 from keepsake.operators.hooks import embed
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import query, time_text
+from keepsake.session import fresh_path
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _SIM = f"list_cosine_similarity(embedding::DOUBLE[], {_Q})"
@@ -123,11 +124,37 @@ def match_documents(t):
         "doc_id", "position", _rounded())
 
 
+_INDEXES: dict[tuple[str, str], vector_index.VectorIndex] = {}  # (application, tables) -> stored index
+
+
+def _index(t):
+    """The stored index over all vectors, built when first asked for."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = vector_index.build_index(A.vectors(t), fresh_path(t.spark, "vector-index"))
+    return _INDEXES[key]
+
+
 @query("match_thoughts_ann")
 def match_thoughts_ann(t):
-    """Approximate search; its recall against the exact search is measured in the tests."""
-    index = retrieval.ann_index(A.vectors(t))
-    return retrieval.match_thoughts_ann(index, A.query_vector(t), k=10, probes=32, threshold=0.2).select("id", _rounded())
+    """Search of a stored index; ``indexed_recall`` measures it against the exact search."""
+    return vector_index.match_indexed(t.spark, _index(t), A.query_vector(t), k=10, threshold=0.2).select("id", _rounded())
+
+
+@query("indexed_recall", """
+  , s AS (SELECT q.id AS query_id, t.id, list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS sim
+          FROM vectors q, vectors t WHERE q.id < 100),
+  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM s)
+  SELECT count(DISTINCT query_id) AS queries, count(*) AS expected, true AS reached FROM r WHERE n <= 10""", ("vectors",))
+def indexed_recall(t):
+    """Whether the stored index finds nine tenths of the ten nearest vectors of a hundred questions."""
+    vectors = A.vectors(t)
+    asked = vectors.where("id < 100").select("id", "embedding")
+    exact = retrieval.match_many(asked, vectors, threshold=-2.0, k=10)
+    found = vector_index.match_many_indexed(_index(t), asked, k=10, threshold=-2.0).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(
+        F.countDistinct("query_id").alias("queries"), F.count("*").alias("expected"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
 @query("cosine_by_label", f"""

@@ -60,13 +60,6 @@ def test_other_widths_and_unusable_vectors_have_no_similarity(spark, blocks):
     assert {r.id for r in R.novelty(df, n=None).collect()} == {1, 2, 3, 4}
 
 
-def test_nearby_buckets_come_in_order_of_certainty():
-    certainty = np.array([0.5, 0.1, 0.4, 0.2, 0.9, 0.3, 0.8, 0.7, 0.6, 1.1, 1.3, 1.2])
-    out = R._nearby(0, certainty, 4095)
-    cost = [sum(c for b, c in enumerate(certainty) if m >> b & 1) for m in out]
-    assert len(set(out)) == 4096 and np.diff(cost).min() > -1e-9
-
-
 def test_match_thoughts(thoughts, data, sims):
     query = [float(x) for x in data[3]]
     found = R.match_thoughts(thoughts, query, threshold=0.2, k=6).collect()
@@ -140,27 +133,3 @@ def test_match_documents(spark, thoughts, data, sims):
     best = {d: max(range(5 * d, 5 * d + 5), key=lambda i: (sims[3, i], -i)) for d in range(1, 12, 2)}
     order = sorted((d for d in best if sims[3, best[d]] > 0), key=lambda d: -sims[3, best[d]])[:4]
     assert [(r.doc_id, r.position) for r in found] == [(d, best[d] % 5) for d in order]
-
-
-def test_approximate_index(spark, thoughts, data, tmp_path):
-    index = R.write_ann_index(R.ann_index(thoughts, tables=4, bits=4), str(tmp_path / "index"))
-    query = [float(x) for x in data[3]]
-    exact = R.match_thoughts(thoughts, query, threshold=0.0, k=10)
-    everything = R.match_thoughts_ann(index, query, k=10, tables=4, bits=4, probes=15, threshold=0.0)
-    assert [r.id for r in everything.collect()] == [r.id for r in exact.collect()]
-    some = R.match_thoughts_ann(index, query, k=10, tables=4, bits=4, probes=3, threshold=0.0)
-    assert R.recall(exact, some).first().recall >= 0.5
-    plan = some._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.split("\n") if "FileScan" in line)
-    assert "table_no" in scan.split("PartitionFilters: [")[1].split("]")[0]
-    assert "In(bucket" in scan.split("PushedFilters: [")[1]
-
-
-def test_recall_on_the_benchmark_vectors(spark):
-    from keepsake.plans import adapters as A
-    t = A.Tables(spark, "/root/testdata/sf0.01")
-    vectors = A.vectors(t).withColumn("content", F.lit("")).withColumn("metadata", F.lit("{}"))
-    query = A.query_vector(t)
-    exact = R.match_thoughts(vectors, query, threshold=0.2, k=10)
-    found = R.match_thoughts_ann(R.ann_index(vectors), query, k=10, probes=64, threshold=0.2)
-    assert R.recall(exact, found).first().recall >= 0.7
