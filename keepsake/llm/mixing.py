@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import same, whole, word_count, written
@@ -85,33 +85,18 @@ def _round_lists(seed: int, last: bool):
     return rounded
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_copies: float = 3.0, seed: int = 7,
-                bucket_units: int = 50_000, fan_in: int = 16) -> DataFrame:
-    """Copies of each document such that each source gives what its weight asks for.
-
-    Returns one row per row of ``docs``: ``doc_id, source, size, source_size, target, copies``. The size of a
-    document is its number of words. Every document of a source expects target / source_size copies: the whole
-    part is given, the fraction is rounded by pivotal sampling on word mass, so a source's words differ from its
-    target by less than one document. Units are dealt to buckets by hash, so a hot source is spread; each bucket
-    leaves one fractional unit per source, and those meet ``fan_in`` at a time up a tree. Buckets and draws
-    depend on the rows alone, so reruns agree.
-
-    Null text: size 0, like a text without words; such documents take nothing and get the whole part of the
-    copies. Null source: a source of its own, last in order. Null doc_id: a value like any other. Rows alike in
-    doc_id, source and text are one unit and get the same number of copies. An empty table gives no rows. Other
-    columns are ignored.
-    """
-    rows = written(docs.select("doc_id", "source", F.xxhash64(whole()).alias("text_hash"),
-                               word_count(whole()).alias("size")), "mix-rows")
+def _rounded_units(docs: DataFrame, weights: Sequence[float], max_copies: float, seed: int, bucket_units: int,
+                   fan_in: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (with ``task``, the file they were written to), and for each unit its number of rows ``times`` and of copies ``total``."""
+    rows = written(docs.select("doc_id", "source", F.xxhash64(whole()).alias("text_hash"), word_count(whole()).alias("size"),
+                               F.spark_partition_id().alias("task")), "mix-rows")
     targets = written(source_targets(rows.select("source", "size"), weights, max_copies), "mix-targets")
     alike = rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("times"))
     units = alike.join(targets, same(alike, targets, "source")).drop(targets["source"])
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    expected = F.least(expected, F.lit(float(max_copies)))
-    full = (F.col("size") * F.col("times")).cast("double")
-    units = units.select(*UNIT, "source_size", "target", F.floor(expected).alias("base"), full.alias("full"),
-                         ((expected - F.floor(expected)) * full).alias("mass"),
-                         F.xxhash64(*UNIT, F.lit(seed)).alias("draw_key"))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    expected = F.least(share, F.lit(float(max_copies))) * F.col("times")
+    units = units.select(*UNIT, "source_size", "target", "times", F.floor(expected).alias("base"), F.col("size").cast("double").alias("full"),
+                         ((expected - F.floor(expected)) * F.col("size")).alias("mass"), F.xxhash64(*UNIT, F.lit(seed)).alias("draw_key"))
     buckets = max(1, -(-rows.count() // bucket_units))
     level = units.withColumn("node", F.pmod(F.xxhash64("draw_key"), F.lit(buckets)))
     columns = level.columns
@@ -128,19 +113,57 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_copie
     decided = done[0]
     for more in done[1:]:
         decided = decided.unionByName(more)
-    decided = decided.select(*UNIT, "source_size", "target", (
-        F.col("base") + F.when(F.col("mass") > 0, 1).otherwise(0)).cast("long").alias("copies"))
-    joined = rows.join(decided, same(rows, decided, *UNIT), "left")
-    return joined.select(rows["doc_id"], rows["source"], rows["text_hash"], rows["size"], "source_size", "target",
-                         "copies")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each repeated as often as the mix takes it. Same columns as ``docs``."""
-    counts = mix_sources(docs, **options).where("copies > 0").groupBy(*UNIT).agg(F.first("copies").alias("copies"))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"),
-                        docs["source"].alias("source"), F.xxhash64(whole(docs["text"])).alias("text_hash"))
+    return rows, decided.select(*UNIT, "source_size", "target", "times", (
+        F.col("base") + F.when(F.col("mass") > 0, 1).otherwise(0)).cast("long").alias("total"))
+
+
+def _share_of(before: str, rows: str) -> Column:
+    """Copies that fall to ``rows`` rows of a unit after the ``before`` first ones: equal parts, and one more for the first of them."""
+    whole_part, extra = F.floor(F.col("total") / F.col("times")), F.col("total") % F.col("times")
+    return (whole_part * F.col(rows) + F.least(F.greatest(extra - F.col(before), F.lit(0)), F.col(rows))).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_copies: float = 3.0, seed: int = 7,
+                bucket_units: int = 50_000, fan_in: int = 16) -> DataFrame:
+    """Copies of each document such that each source gives what its weight asks for.
+
+    Returns one row per row of ``docs``: ``doc_id, source, size, source_size, target, copies``. The size of a
+    document is its number of words. Every document of a source expects target / source_size copies. Rows alike in doc_id,
+    source and text are one unit, which expects as many times that: the whole part is given, the fraction, which is less
+    than one document, is rounded by pivotal sampling on word mass, so a source's words differ from its target by less than
+    one document. A unit's copies are dealt to its rows in equal parts, the first rows getting one more. Units are dealt to
+    buckets by hash, so a hot source is spread; each bucket leaves one fractional unit per source, and those meet ``fan_in`` at
+    a time up a tree. Buckets and draws depend on the rows alone, so reruns agree. A unit's rows are numbered within the
+    files they come in, so that one of very many rows is not numbered by one task.
+
+    Null text: size 0, like a text without words; such documents take nothing and get the whole part of the
+    copies. Null source: a source of its own, last in order. Null doc_id: a value like any other. An empty table gives no rows. Other
+    columns are ignored.
+    """
+    rows, decided = _rounded_units(docs, weights, max_copies, seed, bucket_units, fan_in)
+    counts = rows.groupBy(*UNIT, "task").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*UNIT).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    own = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*UNIT, "task").orderBy("doc_id")) - 1).withColumn("one", F.lit(1))
+    placed = own.join(starts, same(own, starts, *UNIT, "task")).select(own["*"], (F.col("start") + F.col("nth")).alias("place"))
+    joined = placed.join(decided, same(placed, decided, *UNIT), "left")
+    return joined.select(placed["doc_id"], placed["source"], placed["text_hash"], placed["size"], "source_size", "target",
+                         _share_of("place", "one").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_copies: float = 3.0, seed: int = 7,
+                    bucket_units: int = 50_000, fan_in: int = 16) -> DataFrame:
+    """The documents themselves, each repeated as often as the mix takes it. Same columns as ``docs``. A unit's rows that differ in
+    other columns get their copies in the order of a hash of the row."""
+    _, decided = _rounded_units(docs, weights, max_copies, seed, bucket_units, fan_in)
+    counts = decided.where("total > 0").select("doc_id", "source", "text_hash", "times", "total")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    keyed = docs.select(row.alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.xxhash64(whole(docs["text"])).alias("text_hash"))
     keys = ("doc_id", "source", "text_hash")
-    return (keyed.join(counts, same(keyed, counts, *keys))
-            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-            .select("row.*"))
+    joined = keyed.join(counts, same(keyed, counts, *keys)).select(keyed["*"], "times", "total")
+    variants = (joined.where("times > 1").groupBy(*keys, "times", "total", F.xxhash64("row").alias("variant"))
+                .agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n")))
+    earlier = Window.partitionBy(*keys).orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)
+    several = variants.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("row", _share_of("before", "n").alias("copies"))
+    taken = joined.where("times = 1").select("row", F.col("total").alias("copies")).unionByName(several).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
