@@ -166,17 +166,18 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, sample_rows: int = 3_000, sample_chars: int = 20_000) -> tuple[Accuracies, np.ndarray] | None:
     """Reliabilities from the votes on all documents, and a scorer trained on a bounded sample: the first
-    ``sample_rows`` documents at most in the order of a hash of id and text, none over ``sample_chars``. Rows alike in both
-    count as one in the sample. At most that much reaches the driver."""
+    ``sample_rows`` different texts at most in the order of a hash, none over ``sample_chars``. Copies of a text, however many,
+    count as one. At most that much reaches the driver."""
     patterns = np.array([tuple(r) for r in vote_patterns(docs).collect()], dtype=np.int64).reshape(-1, 2)
     if not len(patterns):
         return None
     found = expectation_maximisation(_decoded(patterns[:, 0]), patterns[:, 1].astype(float))
-    share = min(1.0, 2 * sample_rows / patterns[:, 1].sum())  # more than enough, so that only these are compared
     text = whole(docs["text"])
-    place = F.pmod(F.xxhash64(docs["doc_id"], text), F.lit(1 << 30))
-    rows = (docs.where((F.length(text) <= sample_chars) & (place < int(share * (1 << 30))))
-            .select(place.alias("place"), "doc_id", text.alias("text")).distinct().orderBy("place", "doc_id", "text").limit(sample_rows))
+    short = docs.where(F.length(text) <= sample_chars).select(text.alias("text"), F.xxhash64(text).alias("hash"))
+    different = short.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
+    share = min(1.0, 2 * sample_rows / max(1, different))  # more than enough, so that only these are compared
+    place = F.pmod("hash", F.lit(1 << 30))
+    rows = short.where(place < int(share * (1 << 30))).distinct().orderBy(place, "text").limit(sample_rows)
     x, target = [], []
     for t in sorted(r["text"] for r in rows.collect()):
         words = t.split()

@@ -65,3 +65,11 @@ def test_sample_takes_copies_once_and_is_bounded(documents, monkeypatch):
     Q.fit(documents([(1, clean(1), "s")] * 500 + [(i, clean(i), "s") for i in range(2, 60)]))
     Q.fit(documents([(i, clean(i), "s") for i in range(300)]), sample_rows=40)
     assert sizes == [59, 40]
+
+
+def test_copies_of_one_text_leave_room_in_the_sample(spark, documents, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(Q, "train_scorer", lambda x, target: sizes.append(len(x)))
+    copies = spark.range(200_000).selectExpr("id as doc_id", "'one and the same text' as text", "'en' lang", "'s' source", "1L n_chars")
+    Q.fit(copies.unionByName(documents([(k, f"short text number {k}", "s") for k in range(700)])), sample_rows=600)
+    assert sizes == [600]
