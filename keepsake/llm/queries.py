@@ -61,15 +61,15 @@ def op7_vertical_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """The user and assistant turns of every conversation as linked tool calls and results. Turns of other roles are not in
-    it, nor in its SQL; ``op8_all_messages`` has all rows."""
-    return tool_calls.link_calls(*tool_calls.turns_as_calls(table(spark, folder, "conversations")), {"ask": tool_calls.ASK})
+    """Every row of every conversation: user and assistant turns as linked tool calls and results, and turns of any other role."""
+    turns = table(spark, folder, "conversations")
+    return tool_calls.link_calls(*tool_calls.turns_as_calls(turns), {"ask": tool_calls.ASK}, tool_calls.other_turns(turns))
 
 
 def op8_all_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row of every conversation: linked tool calls and results, and turns of any other role or none."""
+    """The same with calls that need the next one, four to a chain, so that levels order them."""
     turns = table(spark, folder, "conversations")
-    return tool_calls.link_calls(*tool_calls.turns_as_calls(turns), {"ask": tool_calls.ASK}, tool_calls.other_turns(turns))
+    return tool_calls.link_calls(*tool_calls.turns_as_calls(turns, chain=4), {"ask": tool_calls.ASK}, tool_calls.other_turns(turns))
 
 
 def op9_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,4 +112,4 @@ QUERIES = {f.__name__: f for f in (
     op1_token_orc, op2_line_frequency, op3_deep_shallow, op4_weak_pii, op5_spaced_seeds, op6_pivotal_mix, op7_vertical_jaccard, op8_tool_calls,
     op8_all_messages, op9_compression_toxicity, op10_weak_label_quality, op11_prefix_suffix_trees, op12_counted_fim, op13_shared_cuts)}
 SQL: dict[str, str] = {"op2_line_frequency": line_rules.SQL, "op8_tool_calls": tool_calls.SQL,
-                       "op8_all_messages": tool_calls.ALL_SQL, "op12_counted_fim": fill_in_middle.SQL}
+                       "op8_all_messages": tool_calls.CHAIN_SQL, "op12_counted_fim": fill_in_middle.SQL}

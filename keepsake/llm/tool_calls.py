@@ -190,14 +190,17 @@ ASK = {"type": "object", "required": ["question", "words"], "additionalPropertie
     "question": {"type": "string", "minLength": 1, "maxLength": 200}, "words": {"type": "integer", "minimum": 1, "maximum": 40}}}
 
 
-def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conversations as tool traffic: each user turn calls ``ask`` with its text and number of words and needs the
-    user turn before, each assistant turn is the result of the call one turn earlier. ``other_turns`` has the rest."""
+def turns_as_calls(turns: DataFrame, chain: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Conversations as tool traffic: each user turn calls ``ask`` with its text and number of words, each assistant turn is the
+    result of the call one turn earlier. ``other_turns`` has the rest. A call needs the user turn before; with
+    ``chain`` over 1 it needs the user turn after, but for every ``chain``-th, so calls wait for later ones."""
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    inside = F.pmod(F.floor(F.col("turn") / 2), F.lit(chain)) < chain - 1
+    needs = F.array(name(F.col("turn") - 2)) if chain == 1 else F.when(inside, F.array(name(F.col("turn") + 2))).otherwise(F.array())
     calls = turns.where("role = 'user'").select(
         "conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("ask").alias("name"), F.to_json(F.struct(
             F.col("text").alias("question"), word_count(F.coalesce("text", F.lit(""))).alias("words"))).alias("arguments"),
-        F.array(name(F.col("turn") - 2)).alias("depends_on"))
+        needs.alias("depends_on"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"),
                                                        F.col("text").alias("content"))
     return calls, results
@@ -208,28 +211,34 @@ def other_turns(turns: DataFrame) -> DataFrame:
     return turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
-SQL = r"""
+_CALLS = r"""
 WITH u AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || turn AS call_id,
     len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
     FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant')
-SELECT conv_id, call_id, turn AS after, CAST(0 AS BIGINT) AS level, turn, 'assistant' AS role,
+a AS (SELECT conv_id, turn, text, 'c' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+n AS (SELECT DISTINCT conv_id, turn FROM u),
+l AS (SELECT n.conv_id, n.turn, {level} AS level FROM n LEFT JOIN n n1 ON n1.conv_id = n.conv_id AND n1.turn = n.turn + 2
+    LEFT JOIN n n2 ON n2.conv_id = n.conv_id AND n2.turn = n.turn + 4 LEFT JOIN n n3 ON n3.conv_id = n.conv_id AND n3.turn = n.turn + 6)
+SELECT u.conv_id, call_id, u.turn + 2 * level AS after, CAST(level AS BIGINT) AS level, u.turn, 'assistant' AS role,
     CASE WHEN call_id IN (SELECT call_id FROM a) THEN 'linked' ELSE 'no_result' END AS status,
     CASE WHEN length(text) < 1 THEN '$.question: minLength' WHEN length(text) > 200 THEN '$.question: maxLength'
          WHEN words < 1 THEN '$.words: minimum' WHEN words > 40 THEN '$.words: maximum' END AS problem,
-    '{"role":"assistant","tool_calls":[{"arguments":{"question":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || words
-        || '},"id":"' || call_id || '","name":"ask"}]}' AS json
-FROM u
+    '{{"role":"assistant","tool_calls":[{{"arguments":{{"question":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || words
+        || '}},"id":"' || call_id || '","name":"ask"}}]}}' AS json
+FROM u JOIN l ON l.conv_id = u.conv_id AND l.turn = u.turn
+UNION ALL
+SELECT a.conv_id, a.call_id, l.turn + 2 * l.level, CAST(l.level AS BIGINT), a.turn, 'tool',
+    CASE WHEN l.turn IS NULL THEN 'orphan' ELSE 'linked' END, NULL,
+    '{{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || a.call_id || '"}}'
+FROM a LEFT JOIN l ON l.conv_id = a.conv_id AND l.turn = a.turn - 1
 UNION ALL
-SELECT a.conv_id, a.call_id, u.turn, CASE WHEN u.turn IS NOT NULL THEN CAST(0 AS BIGINT) END, a.turn, 'tool',
-    CASE WHEN u.turn IS NULL THEN 'orphan' ELSE 'linked' END, NULL,
-    '{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || a.call_id || '"}'
-FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
-"""
-
-#: Every row of the table: what SQL has, and the turns of other roles.
-ALL_SQL = SQL + r"""UNION ALL
 SELECT conv_id, NULL, turn, CAST(0 AS BIGINT), turn, role, 'other', NULL,
-    '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+    '{{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}}'
 FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
+
+#: Every row of the table. Calls need earlier ones, so none waits.
+SQL = _CALLS.format(level="0")
+#: The same with chains of four.
+CHAIN_SQL = _CALLS.format(level="""CASE WHEN n1.turn IS NULL OR n.turn // 2 % 4 >= 3 THEN 0
+    WHEN n2.turn IS NULL OR n.turn // 2 % 4 >= 2 THEN 1 WHEN n3.turn IS NULL OR n.turn // 2 % 4 >= 1 THEN 2 ELSE 3 END""")

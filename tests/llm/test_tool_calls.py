@@ -90,9 +90,23 @@ def test_turns_of_other_roles_are_carried(spark, folder_of):
     folder = folder_of(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{folder.removeprefix('file://')}/conversations.parquet/*.parquet'")
-    answer = con.execute(T.ALL_SQL)
+    answer = con.execute(T.SQL)
     columns = [c[0] for c in answer.description]
-    found = list(map(tuple, QUERIES["op8_all_messages"](spark, folder).select(*columns).collect()))
+    found = list(map(tuple, QUERIES["op8_tool_calls"](spark, folder).select(*columns).collect()))
     assert len(found) == len(rows) and sorted(found, key=str) == sorted(answer.fetchall(), key=str)
     assert (1, None, 3, 0, 3, None, "other", None, '{"content":"odd","role":null}') in found
     assert (1, None, 0, 0, 0, "system", "other", None, '{"content":"be \\"brief\\", é","role":"system"}') in found
+
+
+def test_chains_of_later_calls_are_levelled(spark, folder_of):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for c, turns in ((1, range(20)), (2, [0, 1, 2, 3, 6, 7, 8, 9]), (3, [4, 8]))
+            for t in turns] + [(1, 30, "system", "s")]
+    folder = folder_of(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder.removeprefix('file://')}/conversations.parquet/*.parquet'")
+    answer = con.execute(T.CHAIN_SQL)
+    columns = [c[0] for c in answer.description]
+    found = QUERIES["op8_all_messages"](spark, folder).select(*columns).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(answer.fetchall(), key=str)
+    assert {(r["turn"], r["after"], r["level"]) for r in found if r["conv_id"] == 1 and r["turn"] < 9 and r["role"] == "assistant"} == {
+        (0, 6, 3), (2, 6, 2), (4, 6, 1), (6, 6, 0), (8, 14, 3)}
