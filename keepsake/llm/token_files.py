@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import whole
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
-KNOWN_PRETOKENS = 400_000
+KNOWN_PRETOKENS = 250_000
 CHUNK_CHARS = 1_000_000
 ENCODE_AT_ONCE = 2_000
 
