@@ -27,8 +27,8 @@ def summarise(df: DataFrame, fn: Callable[[str, str, str], Iterable[str]] | None
     """Add ``thoughts`` (array of text) from ``title_shown``, ``date_text`` and ``user_text``.
 
     Without ``fn`` the raw mode applies: one thought holding the whole user text. Otherwise
-    ``fn(title, date, text)`` returns any number of thoughts; blank ones are dropped, and a failing
-    model should return none. ``max_chars`` cuts the text given to ``fn`` (not the stored one).
+    ``fn(title, date, text)`` returns any number of thoughts; blank ones are dropped. None, for a model that
+    failed, gives NULL. ``max_chars`` cuts the text given to ``fn`` (not the stored one).
     """
     if fn is None:
         return df.withColumn("thoughts", F.array("user_text"))
@@ -36,10 +36,10 @@ def summarise(df: DataFrame, fn: Callable[[str, str, str], Iterable[str]] | None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["thoughts"] = [
-                [t for t in fn(title, day, text[:max_chars]) if isinstance(t, str) and t.strip()]
-                for title, day, text in zip(pdf["title_shown"], pdf["date_text"], pdf["user_text"])]
-            yield pdf
+            answers = [fn(title, day, text[:max_chars])
+                       for title, day, text in zip(pdf["title_shown"], pdf["date_text"], pdf["user_text"])]
+            thoughts = [None if a is None else [t for t in a if isinstance(t, str) and t.strip()] for a in answers]
+            yield pdf.assign(thoughts=pd.Series(thoughts, index=pdf.index, dtype=object))
 
     return df.mapInPandas(run, schema)
 

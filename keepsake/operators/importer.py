@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from keepsake.functions.dates import epoch_date
 from keepsake.functions.text import (MESSAGE_SEPARATOR, chat_metadata, preview, thought_content,
                                      trivial_title, word_count)
+from keepsake.operators.answers import summarise_kept
 from keepsake.operators.hooks import embed, summarise
 from keepsake.session import fresh_path, reliable_checkpoint
 from keepsake.sources.sinks import read_ledger, stored_keys, update_ledger, write_thoughts
@@ -193,13 +194,22 @@ def _nth(rows: DataFrame, n: int) -> DataFrame:
     return placed.limit(0).drop("_part", "_at")
 
 
-def extract_thoughts(decisions: DataFrame, fn=None, max_chars: int | None = None) -> DataFrame:
+def extract_thoughts(decisions: DataFrame, fn=None, max_chars: int | None = None, store: str | None = None,
+                     version: str = "1") -> DataFrame:
     """Thoughts of the processed conversations, one row each, ready for embedding.
 
+    With ``store`` the answers of ``fn`` are kept there under ``version`` and asked for once. Conversations without an answer, because
+    the model failed, are left out: they are not done.
+
     ``thought_no`` counts from 1; a conversation whose summary is empty yields one row with NULL
     ``content`` so that the ledger can record it (drop it before the sink).
     """
-    summed = summarise(decisions.where("skip_reason is null"), fn, max_chars)
+    wanted = decisions.where("skip_reason is null")
+    if fn is None or store is None:
+        summed = summarise(wanted, fn, max_chars)
+    else:
+        summed = summarise_kept(wanted, fn, store, version, max_chars)
+    summed = summed.where("thoughts is not null")
     each = summed.select(
         "conv_hash", "id", "title_shown", "date_text", "message_count", "user_words", "user_text",
         F.posexplode_outer("thoughts").alias("_i", "thought"))
@@ -276,24 +286,25 @@ def import_report(decisions: DataFrame, thoughts: DataFrame) -> tuple[DataFrame,
 
 def run_import(conversations: DataFrame, folder: str, as_of, after: str | None = None, before: str | None = None,
                limit: int = 0, fn=None, embedder=None, dry_run: bool = False, max_chars: int | None = None,
-               dim: int = 64) -> DataFrame:
+               dim: int = 64, embed_chars: int | None = None, version: str = "1") -> DataFrame:
     """A whole batch import into ``folder``; returns the one-row summary with its cost.
 
     Message trees are walked once, into a written decision table; counters, thoughts and ledger all
-    read that table. Writes ``decisions``, ``thoughts`` (split by outcome) and ``ledger`` below
-    ``folder``; a dry run writes decisions only.
+    read that table. Writes ``decisions``, ``thoughts`` (split by outcome), ``ledger`` and the summariser's ``answers`` below
+    ``folder``; a dry run writes decisions and answers only. An answer is asked for once per conversation text and ``version``, also
+    over later runs. ``max_chars`` limits what the summariser sees, ``embed_chars`` what the embedder sees.
     """
     spark = conversations.sparkSession
     below = lambda name: os.path.join(folder, name)
     ledger = read_ledger(spark, below("ledger"))
     decisions = limit_processed(decision_table(conversations, below("decisions"), ledger, after, before), limit)
-    thoughts = extract_thoughts(decisions, fn, max_chars)
+    thoughts = extract_thoughts(decisions, fn, max_chars, below("answers"), version)
     if dry_run:
         return import_cost(import_totals(decisions, thoughts), raw=fn is None)
     summed, run = fresh_path(spark, "import-thoughts"), fresh_path(spark, "import-run")
     thoughts.write.parquet(summed)
     embed_new(spark.read.schema(thoughts.schema).parquet(summed), stored_keys(spark, below("thoughts")), embedder,
-              max_chars, dim).write.parquet(run)
+              embed_chars, dim).write.parquet(run)
     results = spark.read.parquet(run)
     totals = import_cost(import_totals(decisions, results), raw=fn is None)
     summary = spark.createDataFrame([totals.first()], totals.schema)  # one row

@@ -1,7 +1,10 @@
 """Streams run to their end over the tables, compared with the batch answer."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from keepsake.operators import importer
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import day_text, query
 from keepsake.session import fresh_path
@@ -119,3 +122,20 @@ def import_incremental_partial_failure(t):
         texts = t.spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
         capture.import_incremental(texts, out, fresh_path(t.spark, "import-state"), "2024-02-01", embedder=embedder).awaitTermination()
     return capture.imported_thoughts(t.spark, out).select("conv_hash", "content")
+
+
+@query("import_keeps_answers", """
+  SELECT conv_hash, 3::BIGINT AS thoughts, 1::BIGINT AS answers FROM decisions WHERE skip_reason IS NULL""", ("turns", "convs", "decisions"))
+def import_keeps_answers(t):
+    """A summariser that never answers alike and an embedder that fails on some thoughts, then a second import: every
+    conversation holds the thoughts of one answer."""
+    folder = fresh_path(t.spark, "imported")
+
+    def fn(title, day, text):
+        call = uuid.uuid4().hex
+        return [f"{k} {call}" for k in range(3)]
+
+    for embedder in (lambda texts: [None if "] 1 " in x else [1.0] for x in texts], lambda texts: [[1.0] for _ in texts]):
+        importer.run_import(A.chat_export(t), folder, "2024-02-01", fn=fn, embedder=embedder)
+    stored = t.spark.read.parquet(f"{folder}/thoughts").where("outcome = 'accepted'")
+    return stored.groupBy("conv_hash").agg(F.count("*").alias("thoughts"), F.countDistinct(F.element_at(F.split("content", " "), -1)).alias("answers"))

@@ -127,13 +127,14 @@ def export_texts(spark: SparkSession, exports: str) -> DataFrame:
 
 
 def import_incremental(texts: DataFrame, out: str, checkpoint: str, as_of, summariser=None,
-                       embedder=None, dim: int = 64) -> StreamingQuery:
+                       embedder=None, dim: int = 64, version: str = "1") -> StreamingQuery:
     """Import new exports as they appear; a restart goes on where the last run stopped.
 
     ``texts`` is a stream of ``file, value`` such as ``export_texts``. Per batch: parse, gate against
     the ledger, summarise, embed, store thoughts, then record finished conversations. Every batch
     writes its own folders below ``out`` (decisions, summaries, thoughts, ledger), so repeating a batch after a
-    failure stores nothing twice. The summariser's answers are written before anything reads them. Thoughts that
+    failure stores nothing twice. The summariser's answers are kept below ``out`` and asked for once, so a conversation that comes
+    again after a partial failure meets the same ones. Thoughts that
     an earlier batch, also of another checkpoint, has stored are not embedded or stored again.
     """
     spark = texts.sparkSession
@@ -143,7 +144,7 @@ def import_incremental(texts: DataFrame, out: str, checkpoint: str, as_of, summa
         here = lambda kind: os.path.join(out, kind, own)
         earlier = _earlier(spark, os.path.join(out, "ledger"), LEDGER_SCHEMA, own)
         decided = decision_table(parse_export_files(batch), here("decisions"), earlier)
-        thoughts = extract_thoughts(decided, summariser)
+        thoughts = extract_thoughts(decided, summariser, store=os.path.join(out, "answers"), version=version)
         thoughts.write.mode("overwrite").parquet(here("summaries"))
         stored = _earlier(spark, os.path.join(out, "thoughts"), "conv_hash string, thought_no int, ok boolean", own)
         rows = embed_new(spark.read.schema(thoughts.schema).parquet(here("summaries")),

@@ -171,10 +171,10 @@ def test_template_tagging(evaluate, capture, kind, people, topics, actions, days
 
 
 def test_clean_note(evaluate):
-    raw = "---\ntitle: x\n---\n# Catch-up\n[[Sarah Chen]] left the [[Platform Migration|platform]] team.\n#people #career"
+    raw = "---\ntitle: x\n---\n# Greenhouse\n[[Odile Varga]] repaired the [[North Pump|pump]] today.\n#water #repairs"
     row = evaluate(text.clean_note(F.lit(raw)))
-    assert row["text"] == "# Catch-up\nSarah Chen left the platform team.\npeople career"
-    assert row["tags"] == ["people", "career"]
+    assert row["text"] == "# Greenhouse\nOdile Varga repaired the pump today.\nwater repairs"
+    assert row["tags"] == ["water", "repairs"]
 
 
 def test_row_sentence(spark):

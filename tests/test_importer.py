@@ -2,13 +2,14 @@
 
 import hashlib
 import json
+import uuid
 import zipfile
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from keepsake.operators import hooks, importer
+from keepsake.operators import answers, hooks, importer
 from keepsake.sources import imports, sinks
 from keepsake.sources.chat_export import read_chat_export
 from keepsake.streaming import capture
@@ -258,7 +259,7 @@ def test_incremental_import_resumes_and_repeats_nothing(spark, tmp_path):
     assert sorted(r.title_shown for r in capture.imported_thoughts(spark, out).collect()) == ["one", "two"]
 
 
-def test_summariser_runs_once_per_conversation_and_run(spark, tmp_path):
+def test_summariser_runs_once_per_conversation(spark, tmp_path):
     calls, out = tmp_path / "calls", str(tmp_path / "out")
     (tmp_path / "in").mkdir()
 
@@ -271,11 +272,55 @@ def test_summariser_runs_once_per_conversation_and_run(spark, tmp_path):
     for names, embedder in ((["a", "b"], flaky), (["a", "b", "c"], lambda texts: [[1.0] for _ in texts])):
         write(tmp_path / "in", "conversations.json", [conversation(n) for n in names])
         importer.run_import(read_chat_export(spark, str(tmp_path / "in")), out, "2024-02-01", fn=fn, embedder=embedder)
-    assert sorted(calls.read_text(encoding="utf-8").split()) == ["a", "b", "b", "c"]  # a is in the ledger
+    assert sorted(calls.read_text(encoding="utf-8").split()) == ["a", "b", "c"]  # b failed in part and came again
     stored = spark.read.parquet(out + "/thoughts").where("outcome = 'accepted'")
     assert sorted(r.thought for r in stored.collect()) == [f"{n} {k}" for n in "abc" for k in (1, 2)]
 
 
+@pytest.mark.parametrize("streamed", [False, True])
+def test_no_conversation_holds_two_answers(spark, tmp_path, streamed):
+    """A summariser that never answers alike, over a failed and a repeated run."""
+    calls, out = tmp_path / "calls", str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "conversations.json", [conversation("a"), conversation("b")])
+
+    def fn(title, day, text, log=str(calls)):
+        call = uuid.uuid4().hex
+        with open(log, "a", encoding="utf-8") as f:
+            f.write(title + "\n")
+        return [f"{call} first {title}", f"{call} second {title}"]
+
+    for turn, embedder in enumerate((lambda texts: [None if "second b" in t else [1.0] for t in texts], lambda texts: [[1.0] for _ in texts])):
+        if streamed:
+            capture.import_incremental(capture.export_texts(spark, str(tmp_path / "in")), out, str(tmp_path / f"state{turn}"), "2024-02-01",
+                                       fn, embedder).awaitTermination()
+        else:
+            importer.run_import(read_chat_export(spark, str(tmp_path / "in")), out, "2024-02-01", fn=fn, embedder=embedder)
+    assert sorted(calls.read_text(encoding="utf-8").split()) == ["a", "b"]
+    stored = (capture.imported_thoughts(spark, out) if streamed else spark.read.parquet(out + "/thoughts").where("outcome = 'accepted'")).collect()
+    assert len(stored) == 4 and len({(r.title_shown, r.thought.split()[0]) for r in stored}) == 2
+
+
+def test_failing_models_are_asked_again_and_not_recorded(spark, tmp_path):
+    seen = []
+
+    def third_time(*args):
+        seen.append(args)
+        if len(seen) < 3:
+            raise OSError("no answer")
+        return ["x"]
+
+    assert answers.with_retries(third_time, attempts=3, wait=0.0)("t") == ["x"] and len(seen) == 3
+    assert answers.with_retries(lambda *a: None, attempts=2, wait=0.0)("t") is None
+    df = spark.createDataFrame([(t, "2024-01-01", f"text {t}") for t in ("good", "bad", "empty", "good")], "title_shown string, date_text string, user_text string")
+    answer = lambda title, day, text: None if title == "bad" else [] if title == "empty" else [text.upper(), " "]
+    ask = lambda fn, **o: sorted(map(tuple, answers.summarise_kept(df, fn, str(tmp_path / "kept"), wait=0.0, **o).select("title_shown", "thoughts").collect()))
+    first = [("bad", None), ("empty", []), ("good", ["TEXT GOOD"]), ("good", ["TEXT GOOD"])]
+    assert ask(answer) == first
+    assert ask(lambda *a: ["late"]) == [("bad", ["late"]), *first[1:]]
+    assert ask(lambda *a: ["new"], version="2") == [(t, ["new"]) for t in ("bad", "empty", "good", "good")]
+
+
 def test_incremental_import_after_a_partial_failure_and_under_a_new_checkpoint(spark, tmp_path):
     exports, out = tmp_path / "exports", str(tmp_path / "out")
     exports.mkdir()

@@ -35,11 +35,11 @@ def test_gate_retries_and_restart(spark, tmp_path):
         payload("1700000000.000100"), payload("1700000000.000100"), payload("1700000001.0", subtype="message_changed"),
         payload("1700000002.0", bot_id="B1"), payload("1700000003.0", text="  \n"), payload("1700000004.0", channel="other"),
         {"type": "url_verification", "challenge": "x"}, payload("1700000005.0", type="reaction_added"),
-        payload("1700000006.5", text="Marcus — wants a change")])
+        payload("1700000006.5", text="Ilse — plays the oboe on Sundays")])
     rows = start(spark, folder, tmp_path).collect()
     found = {json.loads(r.metadata)["slack_ts"]: json.loads(r.metadata) for r in rows}
     assert len(rows) == 2 and set(found) == {"1700000000.000100", "1700000006.5"}
-    assert found["1700000006.5"]["people"] == ["Marcus"] and found["1700000000.000100"]["type"] == "idea"
+    assert found["1700000006.5"]["people"] == ["Ilse"] and found["1700000000.000100"]["type"] == "idea"
     assert all(m["source"] == "slack" for m in found.values())
     assert sorted(r.created_at for r in rows)[0] == datetime(2023, 11, 14, 22, 13, 20, 100)
     drop(folder, "2.json", [payload("1700000000.000100"), payload("1700000010.0")])   # a late retry and a new message
