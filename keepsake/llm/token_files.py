@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import whole
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
-KNOWN_PRETOKENS = 250_000
+KNOWN_PRETOKENS = 400_000
 CHUNK_CHARS = 1_000_000
 ENCODE_AT_ONCE = 2_000
 
@@ -111,10 +111,11 @@ class PretokenEncoder:
 _ENCODERS: dict[tuple[str, str], PretokenEncoder] = {}  # of this Python worker: what it knows serves its later tasks
 
 
-def _encoder(path: str, pattern: str) -> PretokenEncoder:
+def _encoder(path: str, pattern: str, limit: int) -> PretokenEncoder:
     if (path, pattern) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[path, pattern] = PretokenEncoder(path, pattern)
+    _ENCODERS[path, pattern].limit = limit
     return _ENCODERS[path, pattern]
 
 
@@ -129,9 +130,9 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _encode_batches(tokenizer_path: str, pattern: str, end_id: int):
+def _encode_batches(tokenizer_path: str, pattern: str, end_id: int, known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer_path, pattern), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = _encoder(tokenizer_path, pattern, known), np.array([end_id], dtype="<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -152,10 +153,11 @@ def _encode_batches(tokenizer_path: str, pattern: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 2, row_index_stride: int = 1000,
-                 stripe_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:
+                 stripe_bytes: int = 16 << 20, bloom_fpp: float = 0.01, known: int = KNOWN_PRETOKENS) -> None:
     """Encode every whole text, append ``end_id`` and write the ids as ORC files in ascending doc_id order.
 
-    ``pattern`` is the vocabulary's pre-token pattern.
+    ``pattern`` is the vocabulary's pre-token pattern. ``known`` bounds the memory of a worker: it remembers the ids of twice as
+    many pre-tokens at most (about 250 bytes each). The result doesn't depend on it.
 
     Rows are range partitioned by doc_id (ties by a hash of the text, null ids last), so file after file and row
     after row ids ascend; each row also has the number of ids before it in its file. Integer columns, the ids
@@ -168,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     ordered = (docs.select("doc_id", whole().alias("text"))
                .repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
                .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")))
-    (ordered.mapInArrow(_encode_batches(tokenizer_path, pattern, end_id), FILE_SCHEMA)
+    (ordered.mapInArrow(_encode_batches(tokenizer_path, pattern, end_id, known), FILE_SCHEMA)
      .write.option("compression", "zstd").option("orc.create.index", "true")
      .option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes))
      .option("orc.rows.between.memory.checks", str(row_index_stride))
