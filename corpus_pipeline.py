@@ -33,7 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, written as ORC files and read back: ``doc_id, start, n_tokens, ids_crc32``."""
     path = fresh_path(spark, "pipeline-tokens")
-    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    # Workers still hold memory of the stages before, so fewer pre-tokens are remembered than by default.
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, known=250_000)
     return token_files.token_digests(spark, path)
 
 
