@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import conv_hash, number_text
+from keepsake.sources.json_arrays import archive_chunks, array_elements, file_chunks
 
 # Names of the conversation files of an export.
 FILE_PATTERN = r"^conversations(-\d+)?\.json$"
@@ -21,23 +16,16 @@ _ITEM = ("struct<id:string,title:string,create_time:string,is_do_not_remember:bo
          "mapping:string>")
 
 
-def _entries_of(archives: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in archives:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in archive.namelist():
-                    if re.search(ENTRY_PATTERN, name):
-                        yield pd.DataFrame({"file": [f"{path}!{name}"],
-                                            "value": [archive.read(name).decode("utf-8")]})
-
-
 def parse_export_files(texts: DataFrame) -> DataFrame:
-    """Conversations of whole export files given as ``file, value``."""
+    """Conversations of whole export files given as ``file, value``, such as a stream delivers them."""
     body = F.ltrim(F.col("value"), F.lit("\ufeff \t\r\n"))
     arrays = texts.select("file", body.alias("body")).where(F.col("body").startswith("["))
-    raw = arrays.select(
-        "file", F.posexplode(F.from_json("body", "array<string>", {"mode": "FAILFAST"}))
-        .alias("position", "raw"))
+    return parse_conversations(arrays.select(
+        "file", F.posexplode(F.from_json("body", "array<string>", {"mode": "FAILFAST"})).alias("position", "raw")))
+
+
+def parse_conversations(raw: DataFrame) -> DataFrame:
+    """Conversations given as ``file, position, raw``, the JSON text of one each."""
     item = F.from_json("raw", _ITEM, {"mode": "FAILFAST"})
     parsed = raw.select("file", "position", item.alias("c"), F.json_object_keys("raw").alias("keys"))
     # A missing key hashes as empty text, a JSON null as the word None.
@@ -52,6 +40,16 @@ def parse_export_files(texts: DataFrame) -> DataFrame:
         F.coalesce("c.is_do_not_remember", F.lit(False)).alias("is_do_not_remember"), "c.mapping")
 
 
+def export_parts(spark: SparkSession, path: str, zipped: bool = False, **chunks) -> tuple[DataFrame, DataFrame]:
+    """The conversations of an export as ``file, position, raw``, and what became of each file: ``file, elements, state``.
+
+    A file whose top level is not an array is skipped with the state ``not an array``; a file of no bytes has no row.
+    """
+    found = (archive_chunks(spark, path, ENTRY_PATTERN, **chunks) if zipped
+             else file_chunks(spark, path, "conversations*.json", FILE_PATTERN, **chunks))
+    return array_elements(found, "export-chunks")
+
+
 def read_chat_export(spark: SparkSession, path: str, zipped: bool = False,
                      require_rows: bool = True) -> DataFrame:
     """Conversations of an export directory, or of zip archives (``zipped=True``).
@@ -59,21 +57,11 @@ def read_chat_export(spark: SparkSession, path: str, zipped: bool = False,
     Columns: ``conv_hash, file, position, id, title, title_shown, create_time,
     is_do_not_remember, mapping`` with ``mapping`` as the raw JSON text of the message tree.
 
-    Each file is read whole by one task and parsed in the JVM; files are independent, so an import
-    of many exports spreads over the cluster. Files whose top level is not an array are skipped,
-    malformed JSON fails the job, and an export without conversations is an error
-    (``require_rows=False`` leaves that check out).
+    A file is read in byte ranges by many tasks, an archive one member to a task; no file, archive or member is ever a
+    single row (``json_arrays``). Files whose top level is not an array are skipped (``export_parts`` names them), malformed
+    JSON fails the job, and an export without conversations is an error (``require_rows=False`` leaves that check out).
     """
-    if zipped:
-        archives = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                    .load(path).select("path", "content"))
-        texts = archives.mapInPandas(_entries_of, "file string, value string")
-    else:
-        texts = (spark.read.option("pathGlobFilter", "conversations*.json")
-                 .text(path, wholetext=True)
-                 .where(F.col("_metadata.file_name").rlike(FILE_PATTERN))
-                 .select(F.col("_metadata.file_path").alias("file"), "value"))
-    out = parse_export_files(texts)
-    if require_rows and out.isEmpty():
+    parts, files = export_parts(spark, path, zipped)
+    if require_rows and files.where("elements > 0 OR state = 'malformed'").isEmpty():
         raise ValueError(f"no conversations found in {path}")
-    return out
+    return parse_conversations(parts)

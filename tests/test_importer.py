@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keepsake.operators import answers, hooks, importer
 from keepsake.sources import imports, sinks
+from keepsake.sources import chat_export
 from keepsake.sources.chat_export import read_chat_export
 from keepsake.streaming import capture
 
@@ -384,3 +385,74 @@ def test_promoted_keys_reach_the_scan(spark, tmp_path):
     assert [r.id for r in found.collect()] == [1, 3, 5]
     scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line)
     assert "EqualNullSafe(source,slack)" in scan and "outcome" in scan.split("PartitionFilters:")[1]
+
+
+# ── arrays cut into parts ────────────────────────────────────────────────────────────────────────
+
+TRICKY = [{"t": 'a "quoted" } , ] [ {', "n": [1, [2, {"x": "\\"}]]}, {"t": "\\\\"}, {}, [], 7, "plain , text", None,
+          {"t": "Zoë, 漢字 }{ \U0001f600", "deep": {"a": {"b": [[], [{}, {"c": "],["}]]}}}, {"t": "x" * 500, "e": "\\\"}\\"}] * 9
+
+
+@pytest.mark.parametrize("indent, ascii, size, split", [(None, True, 1, 1 << 27), (None, False, 90, 256), (1, False, 40, 333), (None, False, 1 << 20, 1 << 27)])
+def test_arrays_are_cut_alike_at_every_size(spark, tmp_path, indent, ascii, size, split):
+    (tmp_path / "conversations.json").write_text(json.dumps(TRICKY, indent=indent, ensure_ascii=ascii), encoding="utf-8")
+    (tmp_path / "conversations-7.json").write_text("﻿ \n" + json.dumps(TRICKY[::-1], indent=indent, ensure_ascii=ascii) + "\n", encoding="utf-8")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name in names:
+            spark.conf.set(name, split)
+        parts, files = chat_export.export_parts(spark, str(tmp_path), size=size)
+        rows = parts.collect()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    for name, expected in (("conversations.json", TRICKY), ("conversations-7.json", TRICKY[::-1])):
+        mine = sorted((r for r in rows if r.file.endswith("/" + name)), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(len(expected)))
+        assert [json.loads(r.raw) for r in mine] == expected
+    assert [(r.elements, r.state) for r in files.collect()] == [(len(TRICKY), "read")] * 2
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    write(tmp_path, "conversations.json", [conversation(str(i)) for i in range(200)])
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name in names:
+            spark.conf.set(name, 4096)
+        chunks = chat_export.file_chunks(spark, str(tmp_path), "*.json", chat_export.FILE_PATTERN).select("block").distinct().count()
+        rows = read_chat_export(spark, str(tmp_path)).orderBy("position").collect()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert chunks > 5 and [r.title for r in rows] == [str(i) for i in range(200)]
+
+
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_members_of_archives_are_cut_alike(spark, tmp_path, size):
+    for name in ("one", "two"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("conversations.json", json.dumps(TRICKY))
+            z.writestr("in/conversations-1.json", json.dumps([name]))
+            z.writestr("conversations-2.json", json.dumps({"no": "array"}))
+    parts, files = chat_export.export_parts(spark, str(tmp_path), zipped=True, size=size)
+    found = {}
+    for r in parts.orderBy("file", "position").collect():
+        found.setdefault(r.file.rsplit("/", 1)[-1] if "!in" not in r.file else r.file.rsplit("/", 2)[-2], []).append(json.loads(r.raw))
+    assert found == {"one.zip!conversations.json": TRICKY, "two.zip!conversations.json": TRICKY, "one.zip!in": ["one"], "two.zip!in": ["two"]}
+    assert sorted((r.elements, r.state) for r in files.collect()) == [(0, "not an array")] * 2 + [(1, "read")] * 2 + [(len(TRICKY), "read")] * 2
+
+
+@pytest.mark.parametrize("text, elements, state", [
+    ("", None, None), (" \n", 0, "not an array"), ("{}", 0, "not an array"), ("[]", 0, "read"), ("﻿ [ \n ] ", 0, "read"), ("[[]]", 1, "read"),
+    ("[1]", 1, "read"), ('["]"', 0, "malformed"), ('[{"a": 1}', 0, "malformed"), ('[{"a": "x]', 0, "malformed"), ("[1] x", 0, "malformed")])
+def test_states_of_files(spark, tmp_path, text, elements, state):
+    (tmp_path / "conversations.json").write_text(text, encoding="utf-8")
+    parts, files = chat_export.export_parts(spark, str(tmp_path))
+    assert [(r.elements, r.state) for r in files.collect()] == ([] if state is None else [(elements, state)])
+    if state == "malformed":
+        with pytest.raises(Exception, match="malformed JSON array"):
+            parts.collect()
+    else:
+        assert parts.count() == (elements or 0)
