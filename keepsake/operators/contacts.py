@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -114,14 +114,43 @@ def append_linked_thoughts(contacts: DataFrame, thoughts: DataFrame, links: Data
             .select(*contacts.columns))
 
 
-def thoughts_about(contacts: DataFrame, thoughts: DataFrame, n: int = 5) -> DataFrame:
+def _words(text) -> Column:
+    """Letters and digits of a text in lower case, as words."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def named_in_text(names: DataFrame, thoughts: DataFrame) -> DataFrame:
+    """Which ``name`` (of the column ``name``) stands in which text, as whole words and in any case: ``thought_id, created_at, name``.
+
+    Every run of as many words as some name has is a key, so texts and names meet in a hash join, however many names
+    there are; only the different lengths of names, a handful, are known beforehand. A name without letters and digits is
+    found nowhere.
+    """
+    keyed = names.select("name", _words("name").alias("w")).where(F.size("w") > 0).distinct()
+    lengths = sorted(r["n"] for r in keyed.select(F.size("w").alias("n")).distinct().collect())
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return F.when(F.size("w") >= n, F.transform(places, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
+
+    split = thoughts.where(F.col("content").isNotNull()).select(F.col("id").alias("thought_id"), "created_at", _words("content").alias("w"))
+    said = split.select("thought_id", "created_at", F.explode(F.array_distinct(F.concat(none, *map(runs, lengths)))).alias("key"))
+    return said.join(keyed.select("name", F.array_join("w", " ").alias("key")), "key").select("thought_id", "created_at", "name")
+
+
+def thoughts_about(contacts: DataFrame, thoughts: DataFrame, n: int = 5, in_text: bool = False) -> DataFrame:
     """The newest ``n`` thoughts that name each contact, with ``rank`` 1 for the newest.
 
-    Thoughts are ranked per person before they meet the contacts: each task keeps at most ``n`` rows
-    per person ahead of the shuffle, so a name that is in a third of all thoughts costs little.
+    A thought names a contact if its ``people`` do, or with ``in_text`` also if the name stands in its text. Thoughts are ranked
+    per person before they meet the contacts: each task keeps at most ``n`` rows per person ahead of the shuffle, so a name that is
+    in a third of all thoughts costs little.
     """
     named = thoughts.select(F.col("id").alias("thought_id"), "created_at",
                             F.explode(F.array_distinct(F.transform("people", F.lower))).alias("_who"))
+    if in_text:
+        found = named_in_text(contacts.select(F.lower("name").alias("name")), thoughts)
+        named = named.unionByName(found.withColumnRenamed("name", "_who")).distinct()
     newest = Window.partitionBy("_who").orderBy(F.col("created_at").desc(), F.col("thought_id").asc())
     top = named.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
     return (contacts.select(F.col("id").alias("contact_id"), "user_id", "name", F.lower("name").alias("_who"))

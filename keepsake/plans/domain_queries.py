@@ -377,6 +377,18 @@ def thoughts_about_contacts(t):
     return contacts.thoughts_about(A.contacts(t), A.captures(t), 3).select("contact_id", "thought_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("thoughts_about_contacts_in_text", r"""
+  , texts AS (SELECT id, created_at, ' ' || trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS text FROM captures)
+  , names AS (SELECT id, ' ' || trim(regexp_replace(lower(name), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS name FROM contacts)
+  SELECT contact_id, thought_id, rank FROM (
+    SELECT n.id AS contact_id, e.id AS thought_id, row_number() OVER (PARTITION BY n.id ORDER BY e.created_at DESC, e.id) AS rank
+    FROM names n JOIN texts e ON contains(e.text, n.name)) WHERE rank <= 3""", ("contacts", "captures"))
+def thoughts_about_contacts_in_text(t):
+    """The newest captures whose people or text name a contact; also captures that the templates read no person from."""
+    return contacts.thoughts_about(A.contacts(t), A.captures(t), 3, in_text=True).select(
+        "contact_id", "thought_id", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("opportunities_by_stage", """
   SELECT user_id, stage, count(*) AS opportunities, sum(value)::DOUBLE AS value, grouping(user_id, stage)::BIGINT AS level
   FROM opportunities GROUP BY ROLLUP (user_id, stage)""", ("opportunities",))

@@ -1,5 +1,11 @@
 """Chat import and other sources."""
 
+import json
+import os
+import uuid
+import zipfile
+
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import preview
@@ -7,7 +13,7 @@ from keepsake.operators import hooks, importer
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import query, time_text
 from keepsake.session import fresh_path
-from keepsake.sources import imports, sinks
+from keepsake.sources import chat_export, imports, sinks
 
 
 def _decisions(t, **options):
@@ -253,3 +259,79 @@ def planned_meals(t):
     requests = t.read("orders").select(F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("week_start"),
                                        F.array(meal("lunch"), meal("dinner")).alias("meals"))
     return plan_rows(requests).select(F.col("recipe_id").alias("id"), "meal_type")
+
+
+def _written_export(t, zipped=False):
+    """The conversations as files of an export, one array per task that writes, and a file that is no array.
+
+    Files are written in the shared folder, renamed when they are complete, so a task that is run again changes nothing.
+    """
+    folder = fresh_path(t.spark, "export")
+    os.makedirs(folder)
+
+    def arrays(number, batches):
+        name = f"conversations-{number:03d}.json"
+        target = os.path.join(folder, name + ".zip" if zipped else name)
+        part = f"{target}.{uuid.uuid4().hex}.part"
+
+        def put(out):
+            out.write(b"[")
+            for i, value in enumerate(v for batch in batches for v in batch.column(0).to_pylist()):
+                out.write((", " if i else "").encode() + value.encode())
+            out.write(b"]\n")
+
+        if zipped:
+            with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as archive:
+                with archive.open(f"inner/{name}", "w") as out:
+                    put(out)
+                archive.writestr("conversations.json", "{}")
+        else:
+            with open(part, "wb") as out:
+                put(out)
+        os.replace(part, target)
+
+    def write(batches):
+        arrays(TaskContext.get().partitionId(), batches)
+        yield from ()
+
+    one = F.struct("id", "title", F.col("create_time").cast("bigint").alias("create_time"), "is_do_not_remember",
+                   F.parse_json("mapping").alias("mapping"))
+    rows = A.chat_export(t).select(F.to_json(one).alias("value")).repartition(3)
+    rows.mapInArrow(write, "done boolean").count()
+    if not zipped:
+        with open(os.path.join(folder, "conversations.json"), "w", encoding="utf-8") as out:
+            json.dump({"user": "no array"}, out)
+    return folder
+
+
+_EXPORTED = """
+  SELECT conv_hash, conv_id::VARCHAR AS id, message_count, user_words::BIGINT AS user_words, date_text FROM decisions"""
+
+
+def _read_back(t, zipped):
+    read = chat_export.read_chat_export(t.spark, _written_export(t, zipped), zipped=zipped)
+    decided = importer.decision_table(read, fresh_path(t.spark, "decisions"))
+    return decided.select("conv_hash", "id", F.col("message_count").cast("bigint").alias("message_count"),
+                          F.col("user_words").cast("bigint").alias("user_words"), "date_text")
+
+
+@query("read_export_directory", _EXPORTED, ("turns", "convs", "decisions"))
+def read_export_directory(t):
+    """Conversations written as an export directory and read back in byte ranges."""
+    return _read_back(t, zipped=False)
+
+
+@query("read_export_archives", _EXPORTED, ("turns", "convs", "decisions"))
+def read_export_archives(t):
+    """Conversations written as zip archives and read back member by member."""
+    return _read_back(t, zipped=True)
+
+
+@query("export_files", """
+  SELECT 'not an array' AS state, 1::BIGINT AS files, 0::BIGINT AS conversations
+  UNION ALL SELECT 'read', least(3, count(*)), count(*) FROM convs""", ("turns", "convs"))
+def export_files(t):
+    """What became of each file of an export directory."""
+    _, files = chat_export.export_parts(t.spark, _written_export(t))
+    return files.where("state <> 'read' OR elements > 0").groupBy("state").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("elements").alias("conversations"))

@@ -19,6 +19,12 @@ _OWNER = "CAST(c % 25 AS VARCHAR(9))"
 
 # table: (columns of the rows, broken rules with their conditions, expected values)
 LOADS = {
+    "household_items": (
+        {"name": _GAP, "category": "CASE WHEN k % 2 = 0 THEN '' ELSE 'paint' END", "location": "CASE WHEN k % 3 = 0 THEN 'hall' END",
+         "notes": "''", "details": "CASE WHEN k % 4 = 0 THEN '{\"coats\":2}' END"},
+        [("name required", "k % 5 = 0")],
+        {"category": "CASE WHEN k % 2 <> 0 THEN 'paint' END", "location": "CASE WHEN k % 3 = 0 THEN 'hall' END", "notes": "NULL",
+         "details": "CASE WHEN k % 4 = 0 THEN '{\"coats\":2}' ELSE '{}' END"}),
     "maintenance_tasks": (
         {"name": _GAP, "priority": "CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'high' WHEN 2 THEN 'soon' END", "frequency_days": "CAST(k % 3 AS INT)"},
         [("name required", "k % 5 = 0"), ("priority legal", "k % 4 = 2")],

@@ -262,6 +262,21 @@ def test_thoughts_about_and_staleness(spark, people):
     assert days == {1: 9, 3: None, 4: None, 5: None}
 
 
+def test_names_in_texts(spark):
+    who = spark.createDataFrame([(1, "u", "Ann"), (2, "u", "Ann  de Vries"), (3, "v", "ann"), (4, "u", "?!"), (5, "u", None), (6, "u", "Zoë-K")],
+                                "id int, user_id string, name string")
+    thoughts = spark.createDataFrame(
+        [(1, datetime(2024, 1, 1), "Met ANN, twice: ann", ["x"]), (2, datetime(2024, 1, 2), "Planning with Anna", []),
+         (3, datetime(2024, 1, 3), "ann de\nvries called", None), (4, datetime(2024, 1, 4), None, ["Ann"]), (5, datetime(2024, 1, 5), "", []),
+         (6, datetime(2024, 1, 6), "zoË k?", []), (7, datetime(2024, 1, 7), "de Vries " + "word " * 3000 + "Ann", ["ann"])],
+        "id int, created_at timestamp, content string, people array<string>")
+    found = contacts.thoughts_about(who, thoughts, 9, in_text=True).collect()
+    assert sorted((r.contact_id, r.thought_id, r["rank"]) for r in found) == [
+        (1, t, 5 - i) for i, t in enumerate((1, 3, 4, 7), 1)] + [(2, 3, 1)] + [(3, t, 5 - i) for i, t in enumerate((1, 3, 4, 7), 1)] + [(6, 6, 1)]
+    assert contacts.thoughts_about(who.where("id = 4"), thoughts, 9, in_text=True).count() == 0
+    assert contacts.thoughts_about(who, thoughts.limit(0), 9, in_text=True).count() == 0
+
+
 def test_opportunity_totals(spark):
     df = spark.createDataFrame([("u", "won", Decimal("1.10")), ("u", "won", Decimal("2.20")), ("v", "lost", None)], "user_id string, stage string, value decimal(12,2)")
     rows = {(r.user_id, r.stage, r.level): (r.opportunities, r.value) for r in contacts.opportunities_by_stage(df).collect()}
