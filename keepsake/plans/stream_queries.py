@@ -8,6 +8,7 @@ from keepsake.operators import importer
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import day_text, query
 from keepsake.session import fresh_path
+from keepsake.sources import capture as channels
 from keepsake.sources.capture import accept_events
 from keepsake.streaming import capture
 
@@ -95,6 +96,70 @@ def daily_digest_stream(t):
     return done.select(day_text("window_start"), "topic", "captures")
 
 
+def _payload_files(t, payload):
+    """Events as payload lines in files; of every tenth event also a line that is cut off, of every fifteenth a blank one."""
+    folder, k = fresh_path(t.spark, "payloads"), F.col("event_id")
+    lines = A.capture_events(t).withColumn("json", F.to_json(payload)).select(F.explode(F.array_compact(F.array(
+        "json", F.when(k % 10 == 0, F.expr("left(json, 40)")), F.when(k % 15 == 0, F.lit(" "))))).alias("value"))
+    lines.write.text(folder)
+    return folder
+
+
+def _intake(t, payload, schema):
+    """The folder of the intake table, filled by a stream that has ended."""
+    table, state = fresh_path(t.spark, "intake"), fresh_path(t.spark, "intake-state")
+    capture.start_intake(channels.payload_lines(t.spark, _payload_files(t, payload)), table, state, schema).awaitTermination()
+    return table
+
+
+def _slack():
+    ts = F.format_string("%d.%06d", F.unix_seconds("event_time"), F.col("event_id") % 1_000_000)
+    return F.struct(F.lit("event_callback").alias("type"), F.col("event_id").alias("team_seq"),
+                    F.struct("type", "channel", "text", ts.alias("ts")).alias("event"))
+
+
+def _discord():
+    return F.struct(F.col("event_id").cast("string").alias("message_id"), F.lit("home").alias("server"), "channel",
+                    F.format_string("user %d", "user_id").alias("author"), F.col("text").alias("content"),
+                    F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+
+
+@query("payload_intake", """
+  SELECT 'parsed' AS state, '["team_seq"]' AS rescued, count(*) AS lines FROM events
+  UNION ALL SELECT 'malformed', NULL, count(*) FROM events WHERE event_id % 10 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'blank', NULL, count(*) FROM events WHERE event_id % 15 = 0 HAVING count(*) > 0""")
+def payload_intake(t):
+    """What became of every line of written Slack payloads."""
+    table = _intake(t, _slack(), channels.SLACK_PAYLOAD)
+    return t.spark.read.parquet(table).groupBy("state", F.to_json("rescued").alias("rescued")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("slack_payload_capture", """
+  SELECT event_type AS channel, type, count(*) AS thoughts FROM captures WHERE event_type <> 'error' GROUP BY ALL""", ("captures",))
+def slack_payload_capture(t):
+    """Slack payload files through intake, gate, de-duplication and tagging."""
+    events = channels.slack_events(capture.parsed_payloads(t.spark, _intake(t, _slack(), channels.SLACK_PAYLOAD)))
+    sink = fresh_path(t.spark, "captured")
+    source = {"source": F.lit("slack"), "slack_ts": "ts", "channel": "channel"}
+    capture.start_capture(accept_events(events, CHANNELS), sink, fresh_path(t.spark, "capture-state"), source=source, dim=16).awaitTermination()
+    meta = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
+    return t.spark.read.parquet(sink).groupBy(meta("channel"), meta("type")).agg(F.count("*").alias("thoughts"))
+
+
+@query("discord_payload_capture", """
+  SELECT 'discord' AS source, 'home' AS server, event_type AS channel, 'user ' || user_id AS author,
+         strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, content
+  FROM captures WHERE event_type IN ('view', 'signup')""", ("captures",))
+def discord_payload_capture(t):
+    """Discord message files through intake and capture, with the fields that the metadata keeps."""
+    found = capture.parsed_payloads(t.spark, _intake(t, _discord(), channels.DISCORD_MESSAGE), channels.DISCORD_MESSAGE)
+    sink = fresh_path(t.spark, "captured")
+    capture.start_capture(accept_events(channels.discord_events(found), ["view", "signup"]), sink, fresh_path(t.spark, "capture-state"),
+                          source=capture.discord_source(), dim=16).awaitTermination()
+    meta = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("source", "server", "channel", "author", "timestamp")]
+    return t.spark.read.parquet(sink).select(*meta, "content")
+
+
 @query("import_incremental", """
   SELECT conv_hash, '[ChatGPT: ' || title || ' | ' || date_text || '] ' || user_text AS content FROM decisions WHERE skip_reason IS NULL""",
        ("turns", "convs", "decisions"))

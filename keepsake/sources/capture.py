@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.functions.text import is_blank
 
@@ -23,6 +24,29 @@ def read_capture_stream(spark: SparkSession, source: str, schema: str = SLACK_PA
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
 
 
+def parse_payloads(lines: DataFrame, schema: str = SLACK_PAYLOAD) -> DataFrame:
+    """Lines ``file, value`` parsed without losing any: the fields of ``schema``, ``file``, ``state``, ``rescued`` and ``line``.
+
+    ``state`` is ``parsed``, ``blank`` or ``malformed`` (no JSON object, cut off, or a value that its type can't hold); only such
+    lines keep their text in ``line``. ``rescued`` names the keys at the top that the schema does not know.
+    """
+    names = T._parse_datatype_string(schema).fieldNames()
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    told = lines.select("file", "value", parsed.alias("p"), F.json_object_keys("value").alias("keys"))
+    state = (F.when(is_blank("value"), "blank")
+             .when(F.col("keys").isNull() | F.col("p").isNull() | F.col("p._broken").isNotNull(), "malformed").otherwise("parsed"))
+    out = told.withColumn("state", state)
+    good = F.col("state") == "parsed"
+    return out.select(
+        *[F.when(good, F.col("p")[n]).alias(n) for n in names], "file", "state",
+        F.when(good, F.array_except("keys", F.array(*map(F.lit, names)))).alias("rescued"), F.when(~good, F.col("value")).alias("line"))
+
+
+def payload_lines(spark: SparkSession, source: str) -> DataFrame:
+    """The lines of payload files below ``source`` as a stream ``file, value``."""
+    return spark.readStream.text(source).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
 def slack_events(payloads: DataFrame) -> DataFrame:
     """``type, subtype, bot_id, channel, text, ts, event_time`` of channel messages."""
     return payloads.where(F.col("event").isNotNull()).select(

@@ -17,10 +17,27 @@ from keepsake.functions.text import TAG_KEYS, merge_metadata, strip, tag_text
 from keepsake.operators.hooks import embed, tag
 from keepsake.operators.importer import decision_table, embed_new, extract_thoughts
 from keepsake.operators.state import latest_edit
+from keepsake.sources.capture import SLACK_PAYLOAD, parse_payloads
 from keepsake.sources.chat_export import parse_export_files
 from keepsake.sources.sinks import LEDGER_SCHEMA, ledger_rows
 
 
+def start_intake(lines: DataFrame, table: str, checkpoint: str, schema: str = SLACK_PAYLOAD, available_now: bool = True) -> StreamingQuery:
+    """Append payload lines to ``table``, parsed and laid by ``state``, every line exactly once.
+
+    Nothing that arrives is lost: lines that can't be parsed stand beside the others, with their text and file, and a stream of
+    the parsed ones (``parsed_payloads``) goes on to the capture.
+    """
+    writer = (parse_payloads(lines, schema).writeStream.format("parquet").partitionBy("state").outputMode("append")
+              .option("path", table).option("checkpointLocation", checkpoint))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def parsed_payloads(spark: SparkSession, table: str, schema: str = SLACK_PAYLOAD) -> DataFrame:
+    """The parsed payloads of an intake table as a stream; other states are not read."""
+    return spark.readStream.schema(f"{schema}, state string").parquet(table).where("state = 'parsed'").drop("state")
+
+
 def dedup_retries(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop redeliveries of a message (same channel and timestamp) within ``delay``.
 

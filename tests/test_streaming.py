@@ -60,6 +60,29 @@ def test_custom_tagger_and_embedder(spark, tmp_path):
     assert found["b"]["topics"] == ["uncategorized"] and all(r.embedding == [1.0] for r in rows)
 
 
+def test_intake_keeps_every_line(spark, tmp_path):
+    folder, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    folder.mkdir()
+    good = json.dumps(payload("1700000000.1"))
+    lines = [good, good[:-4], "", "  ", "7", "[]", "null", "not json", '{"type": 5, "extra": 1, "event": null}', json.dumps({"event": "text"})]
+    (folder / "1.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    run = lambda: capture.start_intake(source.payload_lines(spark, str(folder)), table, state).awaitTermination()
+    run()
+    run()   # nothing new: nothing stored twice
+    rows = spark.read.parquet(table).collect()
+    assert sorted(r.line for r in rows if r.state == "malformed") == sorted([good[:-4], "7", "[]", "null", "not json", json.dumps({"event": "text"})])
+    assert [r.line for r in rows if r.state == "blank"] == ["", "  "]
+    parsed = {r.type: r for r in rows if r.state == "parsed"}
+    assert len(parsed) == 2 and parsed["5"].rescued == ["extra"] and parsed["5"].event is None
+    assert all(r.file.endswith("/1.json") for r in rows) and len(rows) == len(lines)
+    (folder / "2.json").write_text(good + "\n{", encoding="utf-8")
+    run()
+    events = source.slack_events(capture.parsed_payloads(spark, table))
+    sink = str(tmp_path / "sink")
+    capture.start_capture(source.accept_events(events, CHANNEL), sink, str(tmp_path / "capture"), dim=8).awaitTermination()
+    assert spark.read.parquet(sink).count() == 1 and spark.read.parquet(table).count() == len(lines) + 2
+
+
 def test_discord_messages(spark):
     df = spark.createDataFrame([("1", "srv", "general", "ann", "Insight: x.", datetime(2024, 1, 1), datetime(2024, 1, 1))], source.DISCORD_MESSAGE)
     events = source.accept_events(source.discord_events(df), ["general", "random"])
