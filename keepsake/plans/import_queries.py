@@ -8,7 +8,7 @@ import zipfile
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import preview
+from keepsake.functions.text import merge_metadata, preview
 from keepsake.operators import hooks, importer
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import query, time_text
@@ -335,3 +335,23 @@ def export_files(t):
     _, files = chat_export.export_parts(t.spark, _written_export(t))
     return files.where("state <> 'read' OR elements > 0").groupBy("state").agg(
         F.count(F.lit(1)).alias("files"), F.sum("elements").alias("conversations"))
+
+
+def _answer(text: str) -> str:
+    """A tagger as unreliable as a model: JSON, JSON that is no object, prose, and JSON without topics."""
+    if text.startswith("Meeting"):
+        return json.dumps({"type": "meeting", "topics": ["people", "plans"], "source": "model"})
+    return "[1, 2]" if text.startswith("Decision") else "I can't tell." if text.startswith("Insight") else '{"type": "note"}'
+
+
+@query("custom_tagger", """
+  SELECT id, 'mcp' AS source,
+    CASE event_type WHEN 'view' THEN 'meeting' WHEN 'purchase' THEN 'observation' WHEN 'error' THEN 'observation' ELSE 'note' END AS type,
+    CASE event_type WHEN 'view' THEN '["people","plans"]' WHEN 'purchase' THEN '["uncategorized"]' WHEN 'error' THEN '["uncategorized"]' END AS topics
+  FROM captures""", ("captures",))
+def custom_tagger(t):
+    """Captures tagged by a function of one's own, whose answers are checked; the source's keys win."""
+    tagged = hooks.tag(A.captures(t).select("id", "content"), _answer).withColumn(
+        "metadata", merge_metadata("tags_json", {"source": F.lit("mcp")}))
+    get = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
+    return tagged.select("id", get("source"), get("type"), get("topics"))
