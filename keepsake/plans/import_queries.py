@@ -1,7 +1,6 @@
 """Chat import and other sources."""
 
 import json
-import os
 import uuid
 import zipfile
 
@@ -14,6 +13,7 @@ from keepsake.plans import adapters as A
 from keepsake.plans.catalog import query, time_text
 from keepsake.session import fresh_path
 from keepsake.sources import chat_export, imports, sinks
+from keepsake.sources.json_arrays import located
 
 
 def _decisions(t, **options):
@@ -267,11 +267,13 @@ def _written_export(t, zipped=False):
     Files are written in the shared folder, renamed when they are complete, so a task that is run again changes nothing.
     """
     folder = fresh_path(t.spark, "export")
-    os.makedirs(folder)
+    system, base = located(folder)
+    system.create_dir(base)
 
     def arrays(number, batches):
         name = f"conversations-{number:03d}.json"
-        target = os.path.join(folder, name + ".zip" if zipped else name)
+        system, base = located(folder)
+        target = f"{base}/{name}.zip" if zipped else f"{base}/{name}"
         part = f"{target}.{uuid.uuid4().hex}.part"
 
         def put(out):
@@ -280,15 +282,15 @@ def _written_export(t, zipped=False):
                 out.write((", " if i else "").encode() + value.encode())
             out.write(b"]\n")
 
-        if zipped:
-            with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as archive:
-                with archive.open(f"inner/{name}", "w") as out:
-                    put(out)
-                archive.writestr("conversations.json", "{}")
-        else:
-            with open(part, "wb") as out:
+        with system.open_output_stream(part) as out:
+            if zipped:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    with archive.open(f"inner/{name}", "w") as member:
+                        put(member)
+                    archive.writestr("conversations.json", "{}")
+            else:
                 put(out)
-        os.replace(part, target)
+        system.move(part, target)
 
     def write(batches):
         arrays(TaskContext.get().partitionId(), batches)
@@ -299,8 +301,8 @@ def _written_export(t, zipped=False):
     rows = A.chat_export(t).select(F.to_json(one).alias("value")).repartition(3)
     rows.mapInArrow(write, "done boolean").count()
     if not zipped:
-        with open(os.path.join(folder, "conversations.json"), "w", encoding="utf-8") as out:
-            json.dump({"user": "no array"}, out)
+        with system.open_output_stream(f"{base}/conversations.json") as out:
+            out.write(b'{"user": "no array"}')
     return folder
 
 

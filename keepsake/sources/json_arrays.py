@@ -78,10 +78,14 @@ def _joined(size: int):
     return run
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, if pyarrow knows it, and the path within."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
 def _opened(path: str):
-    """A file of any file system that pyarrow knows, for reading in any order."""
-    uri = re.sub(r"^file:/+", "file:///", path)
-    system, name = fs.FileSystem.from_uri(uri)
+    """A file for reading in any order."""
+    system, name = located(path)
     return system.open_input_file(name)
 
 
