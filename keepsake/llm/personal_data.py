@@ -4,6 +4,8 @@ reliabilities, and a span classifier trained on the posterior decides. Column fu
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,22 +39,39 @@ GAZETTEER = {"email": r"(?i)(com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$", "ip"
 LABELLERS = ("pattern", "check", "gazetteer", "context", "company")
 FOUND = "array<struct<start:int,end:int,value:string>>"
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"  # private use
+BLOCK = 64  # numbers summed at once
+CONTEXT_CHARS = 40  # code points before a span that the context labeller reads
+CHUNK_CHARS = 1000
+
+
+def _places(lengths: Column, levels: int = 2) -> Column:
+    """For each number the sum of those before it. Sums of blocks of ``BLOCK`` numbers are summed first, so the work
+    grows with the numbers; a list that grows by one number a step would be copied at each."""
+    if not levels:
+        return F.slice(F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n))),
+                       1, F.size(lengths))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda k: F.aggregate(F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda x, n: x + n))
+    starts = let(sums, lambda of_blocks: _places(of_blocks, levels - 1))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    return let(starts, lambda known: F.transform(lengths, lambda _, i: F.aggregate(
+        F.slice(lengths, block(i) * BLOCK + 1, i % BLOCK), F.get(known, block(i)), lambda x, n: x + n)))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost, non-overlapping matches with their places in code points: the text is marked around each match,
-    cut at the marks, and the lengths of the pieces add up. Marks in the text itself are other characters first."""
+    cut at the marks, and the lengths of the pieces add up. Marks in the text itself are other characters first.
+    Every second piece is a match."""
     safe = F.translate(text, OPEN + CLOSE, OTHER + OTHER)
     pieces = F.split(F.regexp_replace(safe, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(FOUND).alias("out"))
 
-    def step(state, piece):
-        end = state["at"] + F.length(piece)
-        span = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("value"))
-        return F.struct(end.alias("at"), (~state["hit"]).alias("hit"),
-                        F.when(state["hit"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def spans(cut, places):
+        return F.filter(F.transform(cut, lambda piece, i: F.struct(
+            F.get(places, i).alias("start"), (F.get(places, i) + F.length(piece)).alias("end"), piece.alias("value"))),
+            lambda _, i: i % 2 == 1)
 
-    return F.aggregate(pieces, start, step, lambda state: state["out"])
+    return let(pieces, lambda cut: let(F.transform(cut, lambda p: F.length(p)), lambda lengths: let(
+        _places(lengths), lambda places: spans(cut, places))))
 
 
 def digits(value: Column) -> Column:
@@ -85,16 +104,38 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINT[kind] if kind != "email" else "@"), found).otherwise(F.array().cast(FOUND))
 
 
-def wide_spans(text: Column, kind: str, base: Column) -> Column:
-    """Wider candidates, away from the base spans of every kind."""
-    found = F.filter(matches(text, WIDE[kind]), lambda s: ~F.exists(
-        base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+def _meets(base: Column, span: Column) -> Column:
+    """Whether a span overlaps one of ``base``, spans of one kind in order: the first that ends behind its start is found by bisection."""
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(base) + 1)).cast("int"))
+
+    def halve(state, _):
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        behind, is_open = F.get(base, middle)["end"] > span["start"], state["low"] < state["high"]
+        return F.struct(F.when(is_open & ~behind, middle + 1).otherwise(state["low"]).alias("low"),
+                        F.when(is_open & behind, middle).otherwise(state["high"]).alias("high"))
+
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(base).alias("high")), halve, lambda state: state["low"])
+    return F.coalesce(F.get(base, first)["start"] < span["end"], F.lit(False))
+
+
+def wide_spans(text: Column, kind: str, base: list[Column]) -> Column:
+    """Wider candidates, away from the base spans of every kind (``base``: one array per kind)."""
+    found = F.filter(matches(text, WIDE[kind]), lambda s: ~reduce(or_, (_meets(b, s) for b in base)))
     return F.when(text.rlike(HINT[kind]), found).otherwise(F.array().cast(FOUND))
 
 
-def _vote(kind: str, text: Column, span: Column, strict: bool, company: Column) -> Column:
+def _before(chunks: Column, start: Column) -> Column:
+    """The code points before a place. They are taken from the chunks of the text that hold them: a substring of
+    the text itself is counted from its beginning, for each span anew."""
+    first = F.greatest(F.lit(0), start - CONTEXT_CHARS)
+    chunk = F.floor(first / CHUNK_CHARS).cast("int")
+    near = F.concat(F.get(chunks, chunk), F.coalesce(F.get(chunks, chunk + 1), F.lit("")))
+    return F.substring(near, first - chunk * CHUNK_CHARS + 1, start - first)
+
+
+def _vote(kind: str, chunks: Column, span: Column, strict: bool, company: Column) -> Column:
     """The votes as one number, a digit of base 3 each: 0 against, 1 for, 2 silent."""
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - 39), F.least(F.lit(40), span["start"]))
+    before = _before(chunks, span["start"])
     value, number = span["value"], digits(span["value"])
     sound = {"email": F.lit(2), "ip": F.lit(1 if strict else 2), "card": F.when(
         F.length(number).between(13, 19), F.when(luhn(number), 1).otherwise(0)).otherwise(0),
@@ -115,13 +156,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     def tagged(spans, kind, strict, company):
         return F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"),
-            F.lit(strict).alias("strict"), _vote(kind, text, s, strict, company).alias("votes")))
+            F.lit(strict).alias("strict"), _vote(kind, F.col("chunks"), s, strict, company).alias("votes")))
 
     rows = rows.select("doc_id", "text", *[base_spans(text, k).alias(k) for k in KINDS])
-    rows = rows.withColumn("all", F.concat(*[F.col(k) for k in KINDS]))
-    rows = rows.select("doc_id", "text", "all", *KINDS, *[wide_spans(text, k, F.col("all")).alias(f"wide_{k}") for k in KINDS])
+    rows = rows.select("doc_id", "text", *KINDS, *[
+        wide_spans(text, k, [F.col(b) for b in KINDS]).alias(f"wide_{k}") for k in KINDS])
     total = sum((F.size(F.col(k)) for k in [*KINDS, *[f"wide_{k}" for k in KINDS]]), F.lit(0))
     company = total > 1
+    rows = rows.withColumn("chunks", F.when(total > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK_CHARS}}}+"), F.lit(0))))
     return rows.select(
         "doc_id", "text", F.concat(*[tagged(F.col(k), k, True, company) for k in KINDS]).alias("base"),
         F.concat(*[tagged(F.col(f"wide_{k}"), k, False, company) for k in KINDS]).alias("wide"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,33 @@ def test_masked_text_and_empty_table(documents):
     one = P.find_personal_data(docs).select(P.masked_text(F.col("text"), F.col("spans")).alias("t")).first()
     assert one["t"] == "<email> and <ip>!"
     assert P.find_personal_data(documents([])).count() == 0
+
+
+def wide_brute(text):
+    base = [tuple(map(int, s.split(":")[1:])) for s in brute(text)]
+    return sorted((m.start(), k, m.end()) for k, kind in enumerate(P.KINDS) for m in re.finditer(P.WIDE[kind], text)
+                  if not any(a < m.end() and m.start() < b for a, b in base))
+
+
+def test_wide_candidates_and_context_against_brute_force(documents):
+    rng = random.Random(5)
+    parts = ["a@b.co", "jo (at) site (dot) com", "x@y.z [at] q.de", "10.0.0.1", "1:2:3:4:5:6:7:8", "4111 1111 1111 1111", "4111.1111.1111.1112",
+             "1234 5678 9012 3456", "(212) 555-0187", "212-555-0187", "+1 (988) 555-2485", "call", "mail", "é🙂", "card", "12 12", "\n"]
+    texts = [rng.choice([" ", "", " - "]).join(rng.choice(parts) for _ in range(rng.choice([3, 30, 700]))) for _ in range(60)]
+    for r in P.candidates(documents([(i, t, "s") for i, t in enumerate(texts)])).collect():
+        assert sorted((s["start"], s["kind"], s["end"]) for s in r["wide"]) == wide_brute(r["text"])
+        for s in [*r["base"], *r["wide"]]:
+            near = r["text"][max(0, s["start"] - 40):s["start"]]
+            heard = re.search(P.CONTEXT[P.KINDS[s["kind"]]].replace("(?i)", ""), near, re.I)
+            assert s["votes"] // 3 % 3 == (1 if heard else 2)
+
+
+def test_many_matches_of_one_text_take_time_in_proportion(documents):
+    took = []
+    for n in (10_000, 20_000, 80_000):  # the first one warms up
+        text = " ".join(f"u{i}@b.co" for i in range(n))
+        docs, start = documents([(1, text, "s")]), time.monotonic()
+        found = P.candidates(docs).select("base").first()["base"]
+        took.append(time.monotonic() - start)
+        assert [(s["start"], s["end"]) for s in found if s["kind"] == 0] == [m.span() for m in re.finditer(r"\S+", text)]
+    assert took[2] < 8 * took[1] + 2
