@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.predicates import json_contains
 from keepsake.functions.vectors import cosine
-from keepsake.operators import lookups, retrieval, vector_index
+from keepsake.operators import lookups, retrieval, sign_bands, vector_index
 from keepsake.operators.hooks import embed
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import query, time_text
@@ -88,6 +88,23 @@ def similar_pairs(t):
     return retrieval.similar_pairs(A.vectors(t), threshold=0.3).select("id_a", "id_b", "copies_a", "copies_b", _rounded())
 
 
+@query("near_pairs_recall", """
+  , g AS (SELECT embedding, min(id) AS id, min(created_at::DATE) AS d0, max(created_at::DATE) AS d1 FROM vectors GROUP BY embedding),
+  p AS (SELECT a.id FROM g a JOIN g b ON a.id < b.id
+        WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4
+          AND NOT (a.d0 = a.d1 AND b.d0 = b.d1 AND a.d0 = b.d0)
+        UNION ALL SELECT id FROM g WHERE d0 <> d1)
+  SELECT count(*) AS pairs, 0::BIGINT AS wrong, true AS reached FROM p""", ("vectors",))
+def near_pairs_recall(t):
+    """Whether banded signs find nine tenths of the pairs that the exact comparison finds, and no other."""
+    vectors = A.vectors(t)
+    exact = retrieval.similar_pairs(vectors, threshold=0.4).select("id_a", "id_b", F.lit(1).alias("is_pair"))
+    found = sign_bands.near_pairs(vectors, threshold=0.4, recall=0.99, always=True).select("id_a", "id_b", F.lit(1).alias("is_found"))
+    return exact.join(found, ["id_a", "id_b"], "full").agg(
+        F.count("is_pair").alias("pairs"), F.count(F.when(F.col("is_pair").isNull(), 1)).alias("wrong"),
+        (F.count("is_found") >= 0.9 * F.count("is_pair")).alias("reached"))
+
+
 @query("vector_copies", """
   SELECT id, min(id) OVER (PARTITION BY embedding) AS representative FROM vectors""", ("vectors",))
 def vector_copies(t):
