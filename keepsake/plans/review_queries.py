@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from keepsake.operators import lookups, review, transcripts
+from keepsake.operators import themes as themes_of
 from keepsake.plans import adapters as A
 from keepsake.plans.catalog import day_text, query
 
@@ -53,6 +54,13 @@ def vector_themes(t):
     return review.vector_themes(A.vectors(t), n=5).groupBy("theme").agg(F.count("*").alias("thoughts"))
 
 
+@query("labelled_themes")
+def labelled_themes(t):
+    """Bisected themes of the vectors, each with its most frequent label (an iterative fit; no SQL form)."""
+    vectors = A.vectors(t)
+    return themes_of.theme_labels(themes_of.bisected_themes(vectors, n=5), vectors.select("id", F.col("label").cast("string").alias("topic")))
+
+
 @query("daily_digest", f"""
   , d AS (SELECT * FROM captures WHERE created_at >= TIMESTAMP '2024-01-14' AND created_at < TIMESTAMP '2024-01-15'),
     k AS (SELECT topic, count(*) AS n FROM (SELECT unnest(list_distinct(topics)) AS topic FROM d) GROUP BY topic ORDER BY n DESC, topic LIMIT 5)
