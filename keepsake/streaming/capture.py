@@ -7,6 +7,7 @@ is how they are checked against batch results.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,25 @@ def read_edited(spark: SparkSession, table: str) -> DataFrame:
     return latest_edit(spark.read.parquet(table).drop("query", "batch"))
 
 
+def compact_edits(spark: SparkSession, table: str) -> int:
+    """Replace the finished batches of ``apply_edits`` by one folder with the newest version of each message; how many were replaced.
+
+    The new folder is complete before the first batch goes, and a version that is there twice changes no result, so a
+    run that dies at any point loses nothing and the next one ends its work. Batches without a success marker are
+    still being written and stay. One compaction at a time; a reader that began before it must read again.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [marker.getPath().getParent() for marker in files.globStatus(path(f"{table}/query=*/batch=*/_SUCCESS")) or []]
+    if len(done) < 2:
+        return 0
+    rows = spark.read.option("basePath", table).parquet(*[folder.toString() for folder in done]).drop("query", "batch")
+    latest_edit(rows).write.parquet(os.path.join(table, f"query=compacted-{uuid.uuid4().hex}", "batch=0"))
+    for folder in done:
+        files.delete(folder, True)
+    return len(done)
+
+
 def windowed_digest(thoughts: DataFrame, period: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Captures per topic and tumbling window: ``window_start, topic, captures``.
 

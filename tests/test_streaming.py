@@ -114,6 +114,26 @@ def test_edits_over_batches(spark, tmp_path):
     assert {r.message_id: r.content for r in capture.read_edited(spark, table).collect()} == {"1": "third", "2": "changed", "3": "new"}
 
 
+def test_compaction_bounds_the_store_and_changes_no_answer(spark, tmp_path):
+    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
+    assert capture.compact_edits(spark, table) == 0
+    answer = lambda: sorted((r.message_id, r.content) for r in capture.read_edited(spark, table).collect())
+    run = lambda: capture.apply_edits(spark.readStream.schema(source.DISCORD_MESSAGE).json(folder), table, str(tmp_path / "state")).awaitTermination()
+    for at in range(6):
+        drop(folder, f"{at}.json", [{"message_id": str(i), "server": "s", "channel": "c", "author": "a", "content": f"{i} at {at}",
+                                     "timestamp": "2024-01-01T00:00:00", "edited_at": f"2024-01-01T00:00:{at:02d}"} for i in range(at % 2, 4)])
+        run()
+        if at in (2, 5):
+            unfinished = os.path.join(table, "query=x", "batch=0")  # no marker: left alone
+            spark.read.parquet(table).drop("query", "batch").limit(1).write.mode("overwrite").parquet(unfinished)
+            os.remove(os.path.join(unfinished, "_SUCCESS"))
+            before = answer()
+            assert capture.compact_edits(spark, table) == (3 if at == 2 else 4)
+            assert answer() == before and spark.read.parquet(table).where("query <> 'x'").count() == 4 and os.path.isdir(unfinished)
+    assert capture.compact_edits(spark, table) == 0
+    assert answer() == [("0", "0 at 4"), *((str(i), f"{i} at 5") for i in range(1, 4))]
+
+
 def test_windows_match_the_batch_form(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows = [{"created_at": f"2024-01-{d:02d}T{h:02d}:00:00", "topics": ["a", "b"][: 1 + h % 2]} for d in range(1, 6) for h in (3, 9, 23)]
