@@ -73,3 +73,17 @@ def test_opened_again_and_empty(spark, vectors, index, tmp_path):
     empty = V.build_index(vectors.where("id < 0"), str(tmp_path / "none"))
     assert V.match_indexed(spark, empty, [1.0]).count() == 0
     assert V.match_many_indexed(empty, vectors.where(F.lit(False))).count() == 0
+
+
+def test_recall_over_rows_that_were_not_trained_on(spark, tmp_path):
+    m = np.random.default_rng(3).standard_normal((6000, DIM))
+    m[:800] = m[0]  # copies: their neighbours are the smallest ids
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>").cache()
+    index = V.build_index(rows, str(tmp_path / "index"), sample_rows=600)
+    asked = rows.where("id < 5 or id >= 5900")
+    found = V.match_many_indexed(index, asked, k=10, threshold=-2)
+    exact = R.match_many(asked, rows, threshold=-2, k=10)
+    hits = {(r.query_id, r.id) for r in found.collect()} & {(r.query_id, r.id) for r in exact.collect()}
+    assert len(hits) >= 0.9 * 105 * 10
+    assert [r.id for r in found.where("query_id = 3").orderBy("rank").collect()] == list(range(10))
+    assert V.open_index(spark, index.path).candidates(10) == index.candidates(10) >= 200
