@@ -31,7 +31,7 @@ DEFAULT_THRESHOLD = 0.7
 DEFAULT_COUNT = 10
 BLOCK_ROWS = 8192
 BROADCAST_BYTES = 64 * 1024 * 1024
-_TILE = 2048
+_TILE = 1024  # a tile of similarities has at most so many numbers squared, 8 MB
 
 
 def match_thoughts(thoughts: DataFrame, query_vec, threshold: float = DEFAULT_THRESHOLD,
@@ -114,9 +114,10 @@ def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
 def match_many(queries: DataFrame, thoughts: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
     """The ``k`` best thoughts for every query: ``query_id, id, similarity, rank``.
 
-    ``queries``: ``id, embedding``. A query set below a checked size travels to every task, which
+    ``queries``: ``id, embedding``. A query set of one block at most travels to every task, which
     scores its rows against all queries at once and passes on at most ``k`` rows per query. A larger
-    one is cut into blocks and meets the blocks of thoughts on a grid; the result is the same.
+    one is cut into blocks and meets the blocks of thoughts on a grid, so that a task never holds more
+    than two blocks and their best rows; the result is the same.
     """
     asked, rows = usable_vectors(queries), usable_vectors(thoughts)
     width, n = _width(asked), asked.count()
@@ -124,8 +125,8 @@ def match_many(queries: DataFrame, thoughts: DataFrame, threshold: float = 0.5,
                            T.StructField("id", thoughts.schema["id"].dataType),
                            T.StructField("similarity", T.DoubleType())])
     id_types = to_arrow_schema(schema)
-    if n * width * 8 <= BROADCAST_BYTES:
-        block = asked.toArrow()  # bounded by BROADCAST_BYTES
+    if n <= BLOCK_ROWS and n * width * 8 <= BROADCAST_BYTES:
+        block = asked.toArrow()  # one block
         sizes = pc.list_value_length(block["embedding"])
         asked_by_width = {w: block.filter(pc.equal(sizes, w)) for w in pc.unique(sizes).to_pylist()}
         sides = {w: (_numbers(part, "id")[0], _unit_of(part)) for w, part in asked_by_width.items()}
@@ -158,6 +159,11 @@ def match_many(queries: DataFrame, thoughts: DataFrame, threshold: float = 0.5,
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _step(columns: int) -> int:
+    """Rows of a tile with so many columns."""
+    return max(1, _TILE * _TILE // max(1, columns))
+
+
 def _empty(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
@@ -170,7 +176,7 @@ def _keep(df: pd.DataFrame, k: int) -> pd.DataFrame:
 def _best(queries: np.ndarray, query_ids, rows: np.ndarray, ids, threshold: float, k: int) -> pd.DataFrame:
     """The ``k`` best rows of every query, in tiles of bounded memory; ties at the end go by id."""
     found = []
-    step = max(1, _TILE * _TILE // max(1, len(rows)))
+    step = _step(len(rows))
     for at in range(0, len(queries), step):
         sims = queries[at:at + step] @ rows.T
         good = sims > threshold

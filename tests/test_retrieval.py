@@ -133,3 +133,14 @@ def test_match_documents(spark, thoughts, data, sims):
     best = {d: max(range(5 * d, 5 * d + 5), key=lambda i: (sims[3, i], -i)) for d in range(1, 12, 2)}
     order = sorted((d for d in best if sims[3, best[d]] > 0), key=lambda d: -sims[3, best[d]])[:4]
     assert [(r.doc_id, r.position) for r in found] == [(d, best[d] % 5) for d in order]
+
+
+def test_queries_of_more_than_a_block_meet_on_the_grid(spark, thoughts, sims, monkeypatch):
+    queries = thoughts.where("id < 20").select("id", "embedding")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow local" in plan(R.match_many(queries, thoughts, threshold=0.1, k=4))
+    monkeypatch.setattr(R, "BLOCK_ROWS", 19)  # 20 queries are no longer held by every task
+    found = R.match_many(queries, thoughts, threshold=0.1, k=4)
+    assert "FlatMapGroupsInArrow" in plan(found) and "MapInArrow local" not in plan(found)
+    rows = [(r.query_id, r.id, r["rank"]) for r in found.orderBy("query_id", "rank").collect()]
+    assert rows == [(q, i, n + 1) for q in range(20) for n, i in enumerate(ranked(sims[q], 0.1, 4))]
