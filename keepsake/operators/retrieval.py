@@ -252,8 +252,9 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD, cro
         ib, nb, from_b, to_b = _numbers(b, "id", "copies", "first_day", "last_day")
         diagonal = key[0].as_py() == key[1].as_py()
         found = []
-        for at in range(0, len(ia), _TILE):
-            sims = x[at:at + _TILE] @ y.T
+        step = _step(len(ib))
+        for at in range(0, len(ia), step):
+            sims = x[at:at + step] @ y.T
             r, c = np.nonzero(sims > threshold)
             s = sims[r, c]
             r = r + at
@@ -309,14 +310,7 @@ def novelty(thoughts: DataFrame, start=None, end=None, n: int | None = 3) -> Dat
             return _empty(arrow)
         x, y = _unit_of(a), _unit_of(b)
         (ia,), (ib,) = _numbers(a, "id"), _numbers(b, "id")
-        across, down = np.full(len(ia), -np.inf), np.full(len(ib), -np.inf)
-        for at in range(0, len(ia), _TILE):
-            sims = x[at:at + _TILE] @ y.T
-            if key[0].as_py() == key[1].as_py():
-                sims[ia[at:at + _TILE, None] == ib[None, :]] = -np.inf
-            across[at:at + _TILE] = sims.max(axis=1)
-            down = np.maximum(down, sims.max(axis=0))
-        best = np.concatenate([across, down])
+        best = np.concatenate(_highest(x, y, ia, ib, key[0].as_py() == key[1].as_py()))
         real = np.isfinite(best)
         ids = pa.concat_arrays([a["id"].combine_chunks(), b["id"].combine_chunks()]).filter(pa.array(real))
         return pa.Table.from_arrays([ids, pa.array(best[real])], schema=arrow)
@@ -330,6 +324,19 @@ def novelty(thoughts: DataFrame, start=None, end=None, n: int | None = 3) -> Dat
     return ranked if n is None else ranked.orderBy(F.col("novelty").desc(), F.col("id").asc()).limit(n)
 
 
+def _highest(x: np.ndarray, y: np.ndarray, ia, ib, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The highest similarity of each row of ``x`` and of each row of ``y``, in tiles of bounded memory; on the diagonal a row
+    does not meet itself."""
+    across, down, step = np.full(len(ia), -np.inf), np.full(len(ib), -np.inf), _step(len(ib))
+    for at in range(0, len(ia), step):
+        sims = x[at:at + step] @ y.T
+        if diagonal:
+            sims[ia[at:at + step, None] == ib[None, :]] = -np.inf
+        across[at:at + step] = sims.max(axis=1)
+        np.maximum(down, sims.max(axis=0), out=down)
+    return across, down
+
+
 def chunk_documents(docs: DataFrame, max_chars: int = 800) -> DataFrame:
     """Documents cut into chunks: ``doc_id, position, content``."""
     return docs.select(F.col("id").alias("doc_id"),

@@ -1,5 +1,7 @@
 """Vector search against brute force, on both the broadcast and the block-grid path."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,20 @@ def test_queries_of_more_than_a_block_meet_on_the_grid(spark, thoughts, sims, mo
     assert "FlatMapGroupsInArrow" in plan(found) and "MapInArrow local" not in plan(found)
     rows = [(r.query_id, r.id, r["rank"]) for r in found.orderBy("query_id", "rank").collect()]
     assert rows == [(q, i, n + 1) for q in range(20) for n, i in enumerate(ranked(sims[q], 0.1, 4))]
+
+
+def test_memory_of_a_block_pair(spark, monkeypatch):
+    """Two whole blocks are compared in tiles: two tiles of 8 MB at a time at most, whatever the number of rows."""
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    x, ids = np.random.default_rng(1).standard_normal((R.BLOCK_ROWS, 4)), np.arange(R.BLOCK_ROWS)
+    (across, down), most = peak(lambda: R._highest(x, x, ids, ids, True))
+    assert most < 20 * 2 ** 20 and across == pytest.approx(down)
+    assert across[7] == pytest.approx(np.delete(x[7] @ x.T, 7).max())
+    best, most = peak(lambda: R._best(x, ids, x, ids, 0.0, 2))
+    assert most < 80 * 2 ** 20 and len(best) == 2 * len(ids)
