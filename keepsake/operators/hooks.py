@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -20,6 +21,14 @@ from keepsake.functions.text import strip, tag_text
 # Input limits of the usual model services, for callers that pass ``max_chars``.
 SUMMARY_INPUT_CHARS = 6000
 EMBEDDING_INPUT_CHARS = 8000
+PART_ROWS = 256  # rows whose texts are Python objects at a time
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of ``PART_ROWS`` at most, so that few long texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
 
 
 def summarise(df: DataFrame, fn: Callable[[str, str, str], Iterable[str]] | None = None,
@@ -34,14 +43,14 @@ def summarise(df: DataFrame, fn: Callable[[str, str, str], Iterable[str]] | None
         return df.withColumn("thoughts", F.array("user_text"))
     schema = T.StructType(df.schema.fields + [T.StructField("thoughts", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_batches(batches):
             answers = [fn(title, day, text[:max_chars])
-                       for title, day, text in zip(pdf["title_shown"], pdf["date_text"], pdf["user_text"])]
+                       for title, day, text in zip(*(part[c].to_pylist() for c in ("title_shown", "date_text", "user_text")))]
             thoughts = [None if a is None else [t for t in a if isinstance(t, str) and t.strip()] for a in answers]
-            yield pdf.assign(thoughts=pd.Series(thoughts, index=pdf.index, dtype=object))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(thoughts, pa.list_(pa.string()))], names=[*part.schema.names, "thoughts"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], list] | None = None, text: str = "content",

@@ -12,16 +12,17 @@ import json
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from keepsake.functions.dates import epoch_date
 from keepsake.functions.text import (MESSAGE_SEPARATOR, chat_metadata, preview, thought_content,
                                      trivial_title, word_count)
 from keepsake.operators.answers import summarise_kept
-from keepsake.operators.hooks import embed, summarise
+from keepsake.operators.hooks import embed, small_batches, summarise
 from keepsake.session import fresh_path, reliable_checkpoint
 from keepsake.sources.sinks import read_ledger, stored_keys, update_ledger, write_thoughts
 
@@ -69,12 +70,14 @@ def walk_messages(conversations: DataFrame) -> DataFrame:
     messages = T._parse_datatype_string(f"array<{MESSAGE}>")
     schema = T.StructType(keep + [T.StructField("messages", messages)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            walked = [_messages_in_order(m) for m in pdf.pop("mapping")]
-            yield pdf.assign(messages=pd.Series(walked, index=pdf.index, dtype=object))
+    names, arrow = [f.name for f in keep], to_arrow_schema(T.StructType([T.StructField("messages", messages)])).field(0).type
 
-    return conversations.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_batches(batches):
+            walked = pa.array([_messages_in_order(m) for m in part["mapping"].to_pylist()], arrow)
+            yield pa.RecordBatch.from_arrays([*(part[n] for n in names), walked], names=[*names, "messages"])
+
+    return conversations.mapInArrow(run, schema)
 
 
 def with_user_text(walked: DataFrame) -> DataFrame:

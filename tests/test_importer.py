@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import tracemalloc
 import uuid
 import zipfile
 from datetime import datetime
@@ -456,3 +457,21 @@ def test_states_of_files(spark, tmp_path, text, elements, state):
             parts.collect()
     else:
         assert parts.count() == (elements or 0)
+
+
+def test_answers_are_passed_on_in_small_parts(spark):
+    """3,000 answers of 20 KB in one task: 60 MB if they were all kept until the batch is done."""
+    def fn(title, day, text):
+        if title == "0":
+            tracemalloc.start()
+        held = tracemalloc.get_traced_memory()[0]
+        if title == "2999":
+            tracemalloc.stop()
+        return [str(held), chr(97 + int(title) % 26) * 20_000]
+
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("title_shown"), F.lit("d").alias("date_text"), F.lit("t").alias("user_text"),
+                                           F.timestamp_seconds("id").alias("at"))
+    rows = hooks.summarise(df, fn).select("title_shown", F.unix_seconds("at").alias("at"), F.col("thoughts")[0].cast("long").alias("held"),
+                                    F.length(F.col("thoughts")[1]).alias("n")).collect()
+    assert [(r.title_shown, r.at, r.n) for r in rows] == [(str(k), k, 20_000) for k in range(3000)]
+    assert max(r.held for r in rows) < 20_000_000
