@@ -25,7 +25,7 @@ from keepsake.operators.retrieval import DEFAULT_THRESHOLD, similar_pairs, usabl
 from keepsake.session import fresh_path
 
 BLOCK_ROWS = 4096  # vectors of one bucket that one side of a comparison holds
-ROW_COST = 64  # moving a vector to a bucket costs as much as so many comparisons
+ROW_COST = 512  # moving a vector to a bucket and into Python costs as much as so many comparisons in a matrix product
 MAX_BITS = 40
 _TILE = 1024
 

@@ -76,3 +76,10 @@ def test_few_vectors_go_to_the_exact_search_and_empty_tables_give_none(spark):
     assert B.near_pairs(df.limit(0), 0.9, always=True).count() == 0
     week = ("2024-01-02", "2024-01-04")
     assert listed(B.near_pairs(df, 0.7, 0.999, True, *week, always=True)) == listed(retrieval.similar_pairs(df, 0.7, True, *week))
+
+
+def test_vectors_move_to_few_bands_at_a_low_threshold():
+    """A comparison inside a bucket is far cheaper than a move, so a plan may not save comparisons by hundreds of bands."""
+    bands = [B.band_plan(n, 0.4, 0.99, always=True)[1] for n in (10_256, 102_564, 615_384)]
+    assert bands[0] <= 10 and bands[1] <= 60 and bands[2] <= 200
+    assert max(n * b for n, b in zip((10_256, 102_564, 615_384), bands)) * 300 < 40e9  # bytes, some 300 a row
