@@ -11,8 +11,8 @@ from keepsake.session import fresh_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. Labels are learned outside the held-out fold. Null and empty texts stay."""
-    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").where(toxicity.in_training_fold("doc_id")))
+    """Documents that score as toxic, from 0.3 as in ``op9``, go. Labels are learned outside the held-out fold. Null and empty texts stay."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").where(toxicity.in_training_fold("doc_id")), threshold=0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,11 @@ def test_stages_take_effect(spark, folder_of, tables):
 
 def test_pipeline_of_empty_tables(spark, folder_of, tables):
     assert corpus_pipeline.run(spark, folder_of(**{k: df.limit(0) for k, df in tables[0].items()})).count() == 0
+
+
+def test_what_op9_marks_is_dropped(spark, folder_of, tables, monkeypatch):
+    folder = folder_of(**tables[0])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for score, kept in ((0.31, 0), (0.29, docs.count())):
+        monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda *_, **__: corpus_pipeline.toxicity.Model(b"", b"", None, score))
+        assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == kept
