@@ -26,11 +26,15 @@ from keepsake.functions.dates import moment
 from keepsake.functions.predicates import json_contains
 from keepsake.functions.text import chunk_array
 from keepsake.functions.vectors import matrix_of, similarity_to, unit_rows
+from keepsake.session import fresh_path
 
 DEFAULT_THRESHOLD = 0.7
 DEFAULT_COUNT = 10
 BLOCK_ROWS = 8192
 BROADCAST_BYTES = 64 * 1024 * 1024
+PAIR_ROWS = 65536  # where similar pairs are listed, vectors of a block at most: each vector goes once to every block
+PAIR_BYTES = 32 * 1024 * 1024  # and their size, eight bytes a number
+PAIR_BLOCKS = 16  # blocks of BLOCK_ROWS there, for the sake of many tasks, as long as there are no more
 _TILE = 1024  # a tile of similarities has at most so many numbers squared, 8 MB
 
 
@@ -231,55 +235,118 @@ def similar_pairs(thoughts: DataFrame, threshold: float = DEFAULT_THRESHOLD, cro
     (``id_a = id_b``). Nothing is dropped: expanding both sides with ``vector_copies`` gives every
     pair.
     """
+    groups = distinct_vectors(thoughts, start, end)
+    n, width = groups.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = _pair_blocks_of(n, width or 1)
+    rows = groups.where("id IS NOT NULL").withColumn("width", F.size("embedding")).withColumn("block", _block_of(blocks))
+    schema = pairs_schema(thoughts)
+    arrow = to_arrow_schema(schema)
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, low, high = (k.as_py() for k in key)
+        table = pa.Table.from_batches(list(batches))
+        numbers, (block, *facts) = numbers_of(table, width), _numbers(table, "block", *PAIR_FACTS)
+        a, b = np.nonzero(block == low)[0], np.nonzero(block == high)[0]
+        for i, j, s in places_above(numbers, a, b, threshold, low == high):
+            yield from pair_rows(facts, i, j, s, cross_day, arrow)
+
+    pairs = with_partners(rows, F.lit(blocks)).groupBy("width", "low", "high").applyInArrow(meet, schema)
+    return pairs.unionByName(pairs_of_copies(groups, threshold, cross_day))
+
+
+def pair_block_rows(width: int, most: int) -> int:
+    """Vectors of a block of ``most`` at most."""
+    return max(1, min(most, PAIR_BYTES // (8 * max(1, width))))
+
+
+def _pair_blocks_of(n: int, width: int) -> int:
+    return max(1, math.ceil(n / pair_block_rows(width, PAIR_ROWS)), min(PAIR_BLOCKS, math.ceil(n / BLOCK_ROWS)))
+
+
+def with_partners(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows with a ``block`` of so many, once for each pair of blocks that it is in: with ``low, high``."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder and read back."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def distinct_vectors(thoughts: DataFrame, start=None, end=None) -> DataFrame:
+    """Each usable vector of a window once, written: ``embedding, id, copies, first_day, last_day``, with the smallest id that holds
+    it and days as numbers."""
     on = F.to_date("created_at").alias("day") if "created_at" in thoughts.columns else F.lit(None).cast("date").alias("day")
-    groups = usable_vectors(_window(thoughts, start, end), on).groupBy("embedding").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"))
+    return written(usable_vectors(_window(thoughts, start, end), on).groupBy("embedding").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.unix_date(F.min("day")).alias("first_day"),
+        F.unix_date(F.max("day")).alias("last_day")), "vectors")
+
+
+def pairs_schema(thoughts: DataFrame) -> T.StructType:
     id_type = thoughts.schema["id"].dataType
-    schema = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type),
-                           T.StructField("copies_a", T.LongType()), T.StructField("copies_b", T.LongType()),
-                           T.StructField("similarity", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-    days = groups.withColumn("first_day", F.unix_date("first_day")).withColumn("last_day", F.unix_date("last_day"))
-    grid = _triangle(days, _block_count(groups.count(), _width(groups)))
+    return T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("copies_a", T.LongType()),
+                         T.StructField("copies_b", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
-    def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a, b = _side(table, 0), _side(table, 1)
-        if not a.num_rows or not b.num_rows:
-            return _empty(arrow)
-        x, y = _unit_of(a), _unit_of(b)
-        ia, na, from_a, to_a = _numbers(a, "id", "copies", "first_day", "last_day")
-        ib, nb, from_b, to_b = _numbers(b, "id", "copies", "first_day", "last_day")
-        diagonal = key[0].as_py() == key[1].as_py()
-        found = []
-        step = _step(len(ib))
-        for at in range(0, len(ia), step):
-            sims = x[at:at + step] @ y.T
-            r, c = np.nonzero(sims > threshold)
-            s = sims[r, c]
-            r = r + at
-            keep = ia[r] < ib[c] if diagonal else np.ones(len(r), dtype=bool)
-            if cross_day:
-                known = np.isfinite(from_a[r].astype(float)) & np.isfinite(from_b[c].astype(float))
-                keep &= known & ~((from_a[r] == to_a[r]) & (from_b[c] == to_b[c]) & (from_a[r] == from_b[c]))
-            r, c, s = r[keep], c[keep], s[keep]
-            swap = ia[r] > ib[c]
-            found.append(pa.Table.from_arrays([
-                pa.array(np.where(swap, ib[c], ia[r]), arrow.field(0).type),
-                pa.array(np.where(swap, ia[r], ib[c]), arrow.field(1).type),
-                pa.array(np.where(swap, nb[c], na[r])), pa.array(np.where(swap, na[r], nb[c])),
-                pa.array(s)], schema=arrow))
-        return pa.concat_tables(found)
-
-    distinct = grid.applyInArrow(pair, schema)
-    same = groups.where(F.col("copies") > 1)
+
+def pairs_of_copies(groups: DataFrame, threshold: float, cross_day: bool) -> DataFrame:
+    """The pairs that copies of one vector make, one row for each vector."""
+    same = groups.where("copies > 1" if threshold < 1.0 else "false")
     if cross_day:
-        same = same.where(F.col("first_day") != F.col("last_day"))
-    if threshold >= 1.0:
-        same = same.limit(0)
-    same = same.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.col("copies").alias("copies_a"),
+        same = same.where("first_day <> last_day")
+    return same.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.col("copies").alias("copies_a"),
                        F.col("copies").alias("copies_b"), F.lit(1.0).alias("similarity"))
-    return distinct.unionByName(same)
+
+
+PAIR_FACTS = ("id", "copies", "first_day", "last_day")
+
+
+def numbers_of(table: pa.Table, width: int) -> np.ndarray:
+    """Vectors of one width as the rows of a matrix, in their own type."""
+    return table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def places_above(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float,
+                 same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows ``a`` and rows ``b`` of ``numbers`` more similar than the threshold, in parts of bounded memory; where both sides are the
+    ``same``, each pair once. Doubles are made of a tile at a time."""
+    down, across, most = _TILE, max(1, _TILE // 4), max(1, _TILE * _TILE // 16)
+    unit = lambda rows: unit_rows(numbers[rows].astype(np.float64, copy=False))
+    found, held = [], 0
+    for at in range(0, len(a), down):
+        x = unit(a[at:at + down])
+        for begin in range(at if same else 0, len(b), across):
+            sims = x @ unit(b[begin:begin + across]).T
+            place = np.flatnonzero(sims > threshold)
+            r, c = np.divmod(place, sims.shape[1])
+            r, c = r + at, c + begin
+            if same and begin < at + down:
+                place, r, c = place[c > r], r[c > r], c[c > r]
+            if len(place):
+                found.append((a[r], b[c], sims.ravel()[place]))
+                held += len(place)
+            if held >= most:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, held = [], 0
+    if found:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def pair_rows(facts: list[np.ndarray], i: np.ndarray, j: np.ndarray, s: np.ndarray, cross_day: bool,
+              schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of ``pairs_schema`` for rows ``i`` and ``j``, if any. Facts: ids, copies, first and last days."""
+    (ia, na, from_a, to_a), (ib, nb, from_b, to_b) = ([of[i] for of in facts], [of[j] for of in facts])
+    keep = ia != ib
+    if cross_day:
+        known = np.isfinite(from_a.astype(float)) & np.isfinite(from_b.astype(float))
+        keep &= known & ~((from_a == to_a) & (from_b == to_b) & (from_a == from_b))
+    if keep.any():
+        ia, ib, na, nb = ia[keep], ib[keep], na[keep], nb[keep]
+        swap = ia > ib
+        sides = np.where(swap, ib, ia), np.where(swap, ia, ib), np.where(swap, nb, na), np.where(swap, na, nb), s[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(part, f.type) for part, f in zip(sides, schema)], schema=schema)
 
 
 def _window(thoughts: DataFrame, start, end) -> DataFrame:
